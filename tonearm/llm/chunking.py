@@ -1,6 +1,6 @@
 """Splitting oversized texts at natural boundaries, with overlap.
 
-A recursive hierarchy of separators - section, paragraph, line, sentence, word, character - cuts a text into units that fit;
+A recursive hierarchy of separators - section, paragraph, line, sentence, word, mark, character - cuts a text into units that fit;
 consecutive units are packed greedily into pieces up to the limit, and each piece begins with the end of the one before.
 Texts that can't exceed the limit by their number of bytes never leave the JVM.
 """
@@ -24,6 +24,7 @@ LEVELS: list[tuple[str, re.Pattern[str]]] = [
     ("line", re.compile(r"\r\n?|\n| | |<br\s*/?>")),
     ("sentence", re.compile(r"[.!?…]+[\"'’”)\]»]*\s+|[。！？]+[」』）]*\s*")),
     ("word", re.compile(r"\s+|[、，]")),
+    ("mark", re.compile(r"[,;|/]+")),
 ]
 CHARACTER = len(LEVELS)
 NAMES = [name for name, _ in LEVELS] + ["character"]
@@ -86,7 +87,7 @@ class _Text:
         i = int(np.searchsorted(unit_starts, first))
         if i < len(unit_starts) and unit_starts[i] < stop:
             return int(unit_starts[i])
-        for level in (2, 3, 4):
+        for level in range(2, CHARACTER):
             for m in LEVELS[level][1].finditer(self.text, first, stop):
                 if m.end() < stop:
                     return m.end()

@@ -3,8 +3,10 @@
 A source that is to give r times its size gives every document floor(r) times and one more copy to documents chosen with
 probability r - floor(r). The cube method moves these probabilities along the null space of the constraints (documents and
 tokens of the source), until all but a few are 0 or 1, so that the totals are met exactly on the way. The flight runs in
-blocks of bounded size, what they leave undecided flies again, and the at most two documents that stay undecided in a
-source are landed by trying all choices.
+blocks of bounded size, what they leave undecided flies again, and at most two documents of a source stay undecided. These
+are landed together with a reserve of RESERVE short documents that didn't fly: all choices for the undecided are tried, the
+reserve's probabilities are set to what tokens then remain, and the reserve flies last, so that what can't be met is a part
+of a short document and not of a long one.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.storage import cut
 
 EPS = 1e-9
-BLOCK = 4096
+#: Documents of a block of the flight, and short documents of a source that are kept for the landing.
+BLOCK, RESERVE = 4096, 256
 
 
 def flight(x: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
@@ -72,17 +75,29 @@ def flight(x: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
     return np.array(p)
 
 
-def land(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The 0/1 choice for the undecided that comes closest to the expected tokens, then documents."""
-    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+def land(x: np.ndarray, p: np.ndarray, reserve: np.ndarray, seed: int) -> np.ndarray:
+    """The landing: 0/1 choices for the undecided and the reserve whose tokens come closest to what was expected."""
     p = p.copy()
-    want, count = float((p[open_] * x[open_]).sum()), float(p[open_].sum())
-    best = min(
-        product((0.0, 1.0), repeat=len(open_)),
-        key=lambda c: (abs(float(np.dot(c, x[open_])) - want), abs(sum(c) - count)),
-        default=(),
-    )
-    p[open_] = best
+    want = float((p * x).sum())
+    held = np.flatnonzero(reserve & (x > 0))
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS) & ~(reserve & (x > 0)))
+    usual, most = float((p[held] * x[held]).sum()), float(x[held].sum())
+    choices = [np.array(c) for c in product((0.0, 1.0), repeat=len(open_))]
+    rests = [want - float((np.delete(p, held) * np.delete(x, held)).sum()) + float((p[open_] * x[open_]).sum()) - float(np.dot(c, x[open_])) for c in choices]
+    best = min(range(len(choices)), key=lambda i: (max(0.0, -rests[i], rests[i] - most), abs(rests[i] - usual)))
+    p[open_] = choices[best]
+    if len(held):
+        rest = min(max(rests[best], 0.0), most)
+        q = p[held]
+        if rest <= usual:
+            q = q * (rest / usual if usual > 0 else 0.0)
+        else:
+            q = 1 - (1 - q) * ((most - rest) / (most - usual) if most > usual else 0.0)
+        q = flight(x[held], q, seed)
+        left = np.flatnonzero((q > EPS) & (q < 1 - EPS))
+        goal = float((q[left] * x[held][left]).sum())
+        q[left] = min(product((0.0, 1.0), repeat=len(left)), key=lambda c: abs(float(np.dot(c, x[held][left])) - goal), default=())
+        p[held] = q
     return p
 
 
@@ -90,8 +105,14 @@ def _fly(seed: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         x, p = pdf["n_tokens"].to_numpy(float), pdf["p"].to_numpy(float)
-        p = flight(x, p, _seed(seed, key))
-        return pdf.assign(p=land(x, p) if last else p)[["id", "source", "n_tokens", "p"]]
+        if last:
+            held = pdf["reserve"].to_numpy(bool)
+            flown = p.copy()
+            flown[~held] = flight(x[~held], p[~held], _seed(seed, key))
+            p = land(x, flown, held, _seed(seed + 1, key))
+        else:
+            p = flight(x, p, _seed(seed, key))
+        return pdf.assign(p=p)[["id", "source", "n_tokens", "p"]]
 
     return run
 
@@ -127,29 +148,35 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     if len(rows) > 10_000:
         raise ValueError("more than 10,000 sources")
     known = docs.sparkSession.createDataFrame([(r.source,) for r in rows], "source string")
-    docs = cut(docs.where("n_tokens > 0 and id is not null").join(F.broadcast(known), "source", "left_semi").select("id", "source", "n_tokens"), "sizes")
+    wanted = docs.where("n_tokens > 0 and id is not null").join(F.broadcast(known), "source", "left_semi")
+    docs = cut(wanted.select("id", "source", "n_tokens"), "sizes")
     sums = docs.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     uses = plan({r.source: r.t for r in sums}, {r.source: (float(r.w or 0), int(r.r or 0)) for r in rows}, total_tokens)
     spark = docs.sparkSession
-    use = spark.createDataFrame([(r.source, uses[r.source], -(-r.n // BLOCK)) for r in sums if r.source in uses], "source string, use double, blocks int")
+    use = [(r.source, uses[r.source], -(-r.n // BLOCK), r.t / r.n) for r in sums if r.source in uses]
+    use = spark.createDataFrame(use, "source string, use double, blocks int, mean double")
     placed = docs.join(F.broadcast(use), "source")
     placed = placed.withColumn("base", F.floor(F.col("use") + EPS)).withColumn("p", F.greatest(F.col("use") - F.col("base"), F.lit(0.0)))
     schema = "id bigint, source string, n_tokens bigint, p double"
+    near = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+    short = placed.where(F.col("n_tokens") <= F.col("mean")).withColumn("k", F.row_number().over(near)).where(F.col("k") <= RESERVE)
+    placed = cut(placed.join(short.select("source", "id").distinct().withColumn("reserve", F.lit(True)), ["source", "id"], "left"), "placed")
+    placed = placed.withColumn("reserve", F.coalesce("reserve", F.lit(False)))
+    held = placed.where("reserve").select("id", "source", "n_tokens", "p")
     block = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks"))
-    flown = placed.withColumn("block", block).groupBy("source", "block").applyInPandas(_fly(seed, False), schema)
+    flown = placed.where("not reserve").withColumn("block", block).groupBy("source", "block").applyInPandas(_fly(seed, False), schema)
     flown = cut(flown, "flown")
-    open_ = flown.where(f"p > {EPS} and p < {1 - EPS}")
-    most = max((r.n for r in sums), default=0) / BLOCK * 2.5 + 2
-    level = 1
-    settled = flown.where(f"not (p > {EPS} and p < {1 - EPS})")
+    undecided = f"p > {EPS} and p < {1 - EPS}"
+    open_, settled = flown.where(undecided), flown.where(f"not ({undecided})")
+    most, level = max((r.n for r in sums), default=0) / BLOCK * 2.5 + 2, 1
     while most > BLOCK:
         groups = int(-(-most // BLOCK))
         again = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "id"), F.lit(groups)))
         again = cut(again.groupBy("source", "block").applyInPandas(_fly(seed + level, False), schema), "flown")
-        settled = settled.union(again.where(f"not (p > {EPS} and p < {1 - EPS})"))
-        open_ = again.where(f"p > {EPS} and p < {1 - EPS}")
+        settled, open_ = settled.union(again.where(f"not ({undecided})")), again.where(undecided)
         most, level = most / BLOCK * 2.5 + 2, level + 1
-    chosen = settled.union(open_.groupBy("source").applyInPandas(_fly(seed + level, True), schema))
+    last = open_.withColumn("reserve", F.lit(False)).union(held.withColumn("reserve", F.lit(True)))
+    chosen = settled.union(last.groupBy("source").applyInPandas(_fly(seed + level, True), schema))
     chosen = chosen.join(F.broadcast(use.select("source", F.floor(F.col("use") + EPS).alias("base"))), "source")
     out = chosen.withColumn("copies", (F.col("base") + F.round("p")).cast("int"))
     return out.where("copies > 0").select("id", "source", "n_tokens", "copies")

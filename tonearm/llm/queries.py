@@ -8,5 +8,5 @@ from tonearm.plans.registry import Registry
 
 llm = Registry()
 
-for _name in ("q_caps", "q_splits", "q_leaks", "q_overlap", "q_mixing", "q_chunking"):
+for _name in ("q_caps", "q_splits", "q_leaks", "q_neighbours", "q_overlap", "q_mixing", "q_chunking"):
     importlib.import_module(f"tonearm.llm.{_name}")
