@@ -41,15 +41,15 @@ def without_indices(df: DataFrame, index: str, dropped: DataFrame, name: str) ->
     return df.join(dropped.select(F.col(name).alias("__d")).distinct(), F.col(index) == F.col("__d"), "left_anti")
 
 
-def leave_one_out(rows: DataFrame, seller: str, sellers: DataFrame, model: str = "model_id") -> DataFrame:
-    """For each seller number of sellers, as model, all rows but that seller's; model 0 has all rows.
+def leave_one_out(rows: DataFrame, seller: str, sellers: DataFrame, number: str, model: str = "model_id") -> DataFrame:
+    """For each seller number of sellers, as model, all rows but those whose seller it is; model 0 has all rows.
 
     The result has a row per model and kept row by its nature; the list of models is small and broadcast only if it is.
     """
     n = sellers.count()
-    models = sellers.select(F.col(seller).alias(model)).union(sellers.sparkSession.range(1).select(F.lit(0).alias(model)))
+    models = sellers.select(F.col(number).alias(model)).union(sellers.sparkSession.range(1).select(F.lit(0).alias(model)))
     models = F.broadcast(models) if n <= 100_000 else models
-    return rows.join(models, ~F.col(seller).eqNullSafe(F.col(model)), "inner")
+    return rows.join(models, ~F.col(seller).eqNullSafe(F.col(model)) | (F.col(model) == 0), "inner")
 
 
 def priority_match(

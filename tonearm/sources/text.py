@@ -97,7 +97,7 @@ def first_queries(lines: DataFrame, n: int, line_no: str = "line_no", line: str
 
 def integers(lines: DataFrame, line: str = "value") -> DataFrame:
     """(value) of all integers between commas and line ends; blanks are ignored, anything else is an error."""
-    parts = F.filter(F.transform(F.split(line, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(line, ","), lambda x: F.trim(x)), lambda x: x != "")
     return lines.select(F.explode(parts).alias("value")).select(F.col("value").cast("bigint").alias("value"))
 
 
