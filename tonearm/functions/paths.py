@@ -38,17 +38,17 @@ def abspath(c: Column | str, cwd: str = "/") -> Column:
 
 def stem(c: Column | str) -> Column:
     """The last segment without its last suffix; a leading dot begins no suffix."""
-    return F.regexp_replace(basename(_c(c)), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(basename(_c(c)), r"^(\.*[^.].*)\.[^.]*$", "$1")
 
 
 def suffix(c: Column | str) -> Column:
     """The last suffix of the last segment with its dot, lower case; '' if there is none."""
-    return F.lower(F.regexp_extract(basename(_c(c)), r"(?<=.)(\.[^.]*)$", 1))
+    return F.lower(F.regexp_extract(basename(_c(c)), r"^\.*[^.].*(\.[^.]*)$", 1))
 
 
 def strip_extension(c: Column | str) -> Column:
     """The path without its last suffix."""
-    return F.regexp_replace(_c(c), r"(?<=[^/])\.[^./]*$", "")
+    return F.regexp_replace(_c(c), r"(^|/)(\.*[^./][^/]*)\.[^./]*$", "$1$2")
 
 
 def relpath(c: Column | str, root: Column | str) -> Column:

@@ -13,11 +13,9 @@ def modal_values(tags: DataFrame, key: str, value: str, seq: Sequence[str]) -> D
     and its share. Counts are pre-aggregated, so no task gets the rows of a hot key.
     """
     per = tags.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*seq)).alias("__f"))
-    first = per.groupBy(key).agg(
-        F.max("__n").alias("__top"), F.sum("__n").alias("n_tags"), F.count(F.lit(1)).alias("n_unique")
-    )
-    ties = per.join(first, key).where(F.col("__n") == F.col("__top"))
-    best = ties.groupBy(key).agg(F.min_by(value, "__f").alias("primary"), F.first("__top").alias("__top"), F.first("n_unique").alias("n_unique"), F.first("n_tags").alias("n_tags"))
+    first = per.groupBy(F.col(key).alias("__k")).agg(F.max("__n").alias("__top"), F.sum("__n").alias("n_tags"), F.count(F.lit(1)).alias("n_unique"))
+    ties = per.join(first, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__top")))
+    best = ties.groupBy(key, "__top", "n_unique", "n_tags").agg(F.min_by(value, "__f").alias("primary"))
     return best.select(key, "primary", (F.col("__top") / F.col("n_tags")).alias("coherence"), "n_unique", "n_tags")
 
 

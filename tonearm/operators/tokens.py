@@ -130,7 +130,7 @@ def unpad(events: Column | str) -> Column:
 def pad(events: Column | str, end_time: Column | int | None = None, density: int = TICKS) -> Column:
     """Events with rests, so that no gap, from 0 on and up to the end, is longer than density. Events must be in order."""
     ev = _c(events)
-    end = F.when(_truthy(end_time), _truthy(end_time)).otherwise(max_time(ev)) if end_time is not None else max_time(ev)
+    end = F.coalesce(_truthy(end_time), max_time(ev))
 
     def rests(before: Column, until: Column) -> Column:
         some = F.sequence(before + density, F.greatest(until - 1, before + density), F.lit(density))

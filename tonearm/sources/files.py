@@ -33,7 +33,8 @@ def parsed_extensions(c: Column | str) -> Column:
 
 
 def scan(spark: SparkSession, root: str, extensions: Sequence[str], keywords: Sequence[str] = ()) -> DataFrame:
-    """(path, size) of files below root with one of the extensions, in any case; hidden files are left out.
+    """(path, size) of files below root with one of the extensions, in any case; hidden files are left out, and so is whatever
+    Spark takes as hidden, names and folders that begin with an underscore.
 
     With keywords, only files whose name has one of them and none of the names of archive leftovers. Only names and sizes
     are read. A root that doesn't exist gives no row.
@@ -129,7 +130,7 @@ def members(spark: SparkSession, shards: str) -> DataFrame:
                             folder, name = os.path.split(m.name)
                             key, _, field = name.partition(".")
                             rows.setdefault(os.path.join(folder, key), {})[field] = tar.extractfile(m).read()
-                yield pd.DataFrame({"shard": [path] * len(rows), "key": list(rows), "fields": [list(r.items()) for r in rows.values()]})
+                yield pd.DataFrame({"shard": [path] * len(rows), "key": list(rows), "fields": list(rows.values())})
 
     raw = spark.read.format("binaryFile").load(shards).select("path", "content")
     return raw.mapInPandas(run, "shard string, key string, fields map<string, binary>")

@@ -101,10 +101,9 @@ def apply_metadata(df: DataFrame, function: MetadataFunction, reject: str = "__r
     """
     made = function({c: F.col(c) for c in df.columns})
     veto = made.pop(reject, None)
-    out = df.withColumns(made)
-    if veto is not None:
-        out = out.where(~F.coalesce(veto, F.lit(False)))
-    return out
+    if veto is None:
+        return df.withColumns(made)
+    return df.withColumns({**made, reject: F.coalesce(veto, F.lit(False))}).where(~F.col(f"`{reject}`")).drop(reject)
 
 
 def converted(df: DataFrame, converters: dict[str, Callable[[Column], Column]], defaults: dict[str, str] | None = None) -> DataFrame:
