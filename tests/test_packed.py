@@ -31,6 +31,11 @@ def test_quotes_and_lists():
     assert COVER.split('instrument---7" vinyl,live') == ['instrument---7" vinyl', "live"]
 
 
+def test_marks_inside_values_quote_nothing():
+    field = "genre---rock 'n' roll; live; genre---hip hop;genre---rock | 'mood/theme---calm | quiet'"
+    assert COVER.split(field) == ["genre---rock 'n' roll", "live", "genre---hip hop", "genre---rock", "mood/theme---calm | quiet"]
+
+
 def test_nothing():
     for s in ("", "  ", ",;|", "[]", '""', "\t\t", " / "):
         assert COVER.split(s) == []

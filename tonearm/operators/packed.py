@@ -32,8 +32,9 @@ _SKIP = re.compile(r"[\s,;|]*(?:/(?=\s|$)[\s,;|]*)*")
 _AFTER = re.compile(r"\s*(?:[\t\r\n,;|\]]|$|/\s)")
 _BLANK = re.compile(r"\s+")
 
-#: Scores of a cover, as log probabilities: an unknown piece costs more than any known value, and more the longer it is.
-UNKNOWN, UNKNOWN_CHAR, QUOTED, BLANK_CUT = -20.0, -1.5, -14.0, -2.0
+#: Scores of a cover, as log probabilities: an unknown piece costs more than any known value, and more the longer it is;
+#: an unknown quoted value costs less, but grows with its length too, as a stray mark may seem to quote a whole row of values.
+UNKNOWN, UNKNOWN_CHAR, QUOTED, QUOTED_CHAR, BLANK_CUT = -20.0, -1.5, -14.0, -0.4, -2.0
 MAX_VALUE = 256
 
 
@@ -127,7 +128,7 @@ class Cover:
             yield e, p, s[i:e].strip()
         if s[i] in "\"'" and (e := self._close(s, i)):
             v = _unquote(s[i:e])
-            yield e, self.values.get(v, QUOTED), v
+            yield e, self.values.get(v, QUOTED + QUOTED_CHAR * len(v)), v
         end = m.start() if (m := STRONG.search(s, i)) else n
         if end == i:
             yield i + 1, 0.0, ""
