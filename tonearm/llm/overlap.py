@@ -257,7 +257,9 @@ def _runs(sel_sent, bloom_sent):
 
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) -> np.ndarray:
     """Insert-delete distances of pairs of word strings by dynamic programming in the band of max(k); above k: some value above k."""
-    pairs, band = len(a), int(k.max()) if len(k) else 0
+    if not a:
+        return np.empty(0, np.int32)
+    pairs, band = len(a), int(k.max())
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     rows, cols = int(n.max(initial=0)), int(m.max(initial=0))
     left, right = np.zeros((rows, pairs), np.uint64), np.ones((cols + 2 * band + 1, pairs), np.uint64)

@@ -56,8 +56,10 @@ class Tokenizer:
         if self.kind == "json":
             spans = self.encoding.encode(text, add_special_tokens=False).offsets
             return np.maximum.accumulate(np.array([b for _, b in spans], np.int64)) if spans else np.empty(0, np.int64)
-        spans = self.encoding.encode(text, out_type="immutable_proto").pieces
-        return np.maximum.accumulate(np.array([p.end for p in spans], np.int64)) if spans else np.empty(0, np.int64)
+        pieces = self.encoding.encode(text, return_type="proto").pieces
+        ends = np.maximum.accumulate(np.array([p.end for p in pieces], np.int64)) if pieces else np.empty(0, np.int64)
+        return ends if text.isascii() else _chars_at(text, ends)
+
 
     @property
     def least_bytes(self) -> int:
@@ -67,7 +69,7 @@ class Tokenizer:
 
 def _chars_at(text: str, byte_ends: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    return np.cumsum((raw & 0xC0) != 0x80)[byte_ends - 1]
+    return np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[byte_ends]
 
 
 def load(path: str = DEFAULT) -> Tokenizer:
