@@ -22,7 +22,7 @@ def link_edges(df: DataFrame, node: str, via: str) -> DataFrame:
     of the salts' centres. Linear in the distinct (node, via); rows with a null in either column make no edge.
     """
     seen = df.select(F.col(node).alias("u"), F.col(via).alias("__via")).where("u is not null and __via is not null").distinct()
-    seen = seen.withColumn("__salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+    seen = cut(seen.withColumn("__salt", F.pmod(F.xxhash64("u"), F.lit(SALTS))), "seen")
     centres = seen.groupBy("__via", "__salt").agg(F.min("u").alias("v"), F.max("u").alias("__last"))
     spokes = seen.join(centres.where("v <> __last"), ["__via", "__salt"]).where("u <> v").select("u", "v")
     hubs = centres.groupBy("__via").agg(F.min("v").alias("__hub"), F.max("v").alias("__last")).where("__hub <> __last")
