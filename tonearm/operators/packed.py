@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonearm.storage import cut
+
 #: Delimiters that always separate, outside quotes and known values. A slash separates only between blanks.
 STRONG = re.compile(r"[\t\r\n,;|]|(?<=\s)/(?=\s)")
 _PIECE = re.compile(
@@ -216,7 +218,7 @@ def learn_values(df: DataFrame, column: str, min_support: int = 3, min_share: fl
     schema = "value string, plain bigint, quoted bigint"
     counted = df.select(F.col(column).cast("string").alias("v")).where("v is not null").mapInArrow(_pieces, schema)
     counted = counted.groupBy("value").agg(F.sum("plain").alias("plain"), F.sum("quoted").alias("quoted"))
-    counted = counted.where(F.col("plain") + F.col("quoted") >= min_support)
+    counted = cut(counted.where(F.col("plain") + F.col("quoted") >= min_support), "pieces")
     total = counted.agg(F.sum(F.col("plain") + F.col("quoted"))).first()[0] if min_share > 0 else 0
     floor = max(min_support, math.ceil((total or 0) * min_share))
     rows = counted.where(F.col("plain") + F.col("quoted") >= floor).collect()
