@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,14 +22,17 @@ def _fold(done: Column, part: Column, absolute: Column) -> Column:
 
 
 def normpath(c: Column | str) -> Column:
-    """The path without empty and '.' segments and with '..' folded; '.' for nothing; null for null."""
+    """The path without empty and '.' segments and with '..' folded; '.' for nothing; null for null.
+
+    Only paths that have something to fold go through the fold.
+    """
     p = _c(c)
     absolute = F.startswith(p, F.lit("/"))
     parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
-
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: _fold(acc, x, absolute))
     body = F.array_join(folded, "/")
-    return F.when(absolute, F.concat(F.lit("/"), body)).otherwise(F.when(body == "", ".").otherwise(body))
+    slow = F.when(absolute, F.concat(F.lit("/"), body)).otherwise(F.when(body == "", ".").otherwise(body))
+    return F.when(p.rlike(r"//|(^|/)\.{1,2}(/|$)|./$|^$"), slow).otherwise(p)
 
 
 def abspath(c: Column | str, cwd: str = "/") -> Column:
@@ -79,8 +84,13 @@ def candidate_keys(path: Column | str, rel: Column | str | None = None, cwd: str
 def entry_keys(path: Column | str, roots: list[str] = (), cwd: str = "/") -> Column:
     """Keys under which a list of entries may name a file: absolute, as given, name, stem, and below each root with and without extension."""
     p = _c(path)
-    keys = [abspath(p, cwd), normpath(p), basename(p), stem(p)]
-    for root in roots:
-        rel = relpath(p, F.lit(root))
-        keys += [rel, strip_extension(rel)]
-    return F.array_distinct(F.array(*keys))
+    below = [posixpath.normpath(posixpath.join(cwd, r)).rstrip("/") + "/" for r in roots]
+
+    def of(whole: Column) -> Column:
+        keys = [whole, normpath(p), basename(p), stem(p)]
+        for r in below:
+            rel = F.when(F.startswith(whole, F.lit(r)), F.substr(whole, F.lit(len(r) + 1))).otherwise(whole)
+            keys += [rel, strip_extension(rel)]
+        return F.array_distinct(F.array(*keys))
+
+    return F.get(F.transform(F.array(abspath(p, cwd)), of), 0)
