@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row: what a lambda takes from outside is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def doubles(v: Column | str) -> Column:
     """The array as double, so that sums keep their digits."""
     return _c(v).cast("array<double>")
@@ -42,7 +48,7 @@ def unit(v: Column | str, rule: str = "floor") -> Column:
     """The vector divided by its norm. rule: floor the norm at 1e-12, add 1e-8 to it, or leave a zero vector as it is."""
     n = norm(v)
     by = {"floor": F.greatest(n, F.lit(EPS)), "add": n + 1e-8, "leave": F.when(n > 0, n).otherwise(1.0)}[rule]
-    return F.transform(doubles(v), lambda x: x / by)
+    return let(by, lambda b: F.transform(doubles(v), lambda x: x / b))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -92,7 +98,7 @@ def any_channel_silent(channels: Column | str, threshold: float = 0.01, most: fl
 def power_to_db(v: Column | str, floor: float = 1e-10, span: float = 80.0) -> Column:
     """Powers in dB, floored, and no lower than span under the largest."""
     db = F.transform(doubles(v), lambda x: 10 * F.log10(F.greatest(x, F.lit(floor))))
-    return F.transform(db, lambda x: F.greatest(x, F.array_max(db) - span))
+    return let(db, lambda d: let(F.array_max(d) - span, lambda low: F.transform(d, lambda x: F.greatest(x, low))))
 
 
 def pad_crop(v: Column | str, size: int, start: Column | int = 0) -> Column:
@@ -136,7 +142,7 @@ def fold_patches(v: Column | str, size: int) -> Column:
     padded = F.concat(doubles(v), F.array_repeat(F.lit(0.0), whole - n))
     rows = F.sequence(F.lit(0), F.lit(size - 1))
     cols = F.when(whole > 0, F.sequence(F.lit(0), F.greatest((whole / size).cast("int") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(rows, lambda h: F.transform(cols, lambda i: F.get(padded, i * size + h)))
+    return let(padded, lambda p: F.transform(rows, lambda h: F.transform(cols, lambda i: F.get(p, i * size + h))))
 
 
 def unfold_patches(rows: Column | str) -> Column:
@@ -185,8 +191,8 @@ def adapt_channels(channels: Column | str, target: int) -> Column:
     """An array of channels brought to target channels: mean for one, repeated from one, trimmed, or tiled with the rest."""
     c, n = _c(channels), F.size(_c(channels))
     cols = F.sequence(F.lit(0), F.greatest(F.size(F.get(c, 0)) - 1, F.lit(0)))
-    mono = F.array(F.transform(cols, lambda i: mean(F.transform(c, lambda ch: F.get(ch, i)))))
-    tiled = F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda k: F.get(c, F.pmod(k, n).cast("int")))
+    mono = let(c, lambda held: F.array(F.transform(cols, lambda i: mean(F.transform(held, lambda ch: F.get(ch, i))))))
+    tiled = let(c, lambda held: F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda k: F.get(held, F.pmod(k, n).cast("int"))))
     return F.when(n == target, c).otherwise(mono if target == 1 else tiled)
 
 
@@ -236,14 +242,17 @@ def image_loss(a: Column | str, b: Column | str) -> Column:
 
 def distortion_ratio(estimate: Column | str, target: Column | str, zero_mean: bool = True, scaled: bool = True, eps: float = 1e-8) -> Column:
     """The negative signal-to-distortion ratio in dB, scale-invariant (scaled) or scale-dependent."""
-    x, t = doubles(estimate), doubles(target)
-    if zero_mean:
-        mx, mt = mean(x), mean(t)
-        x, t = F.transform(x, lambda v: v - mx), F.transform(t, lambda v: v - mt)
-    alpha = dot(x, t) / (dot(t, t) + eps)
-    fitted = F.transform(t, lambda v: v * alpha)
-    rest = F.zip_with(x, fitted if scaled else t, lambda a, b: a - b)
-    return -10 * F.log10(dot(fitted, fitted) / (dot(rest, rest) + eps) + eps)
+    def centred(v: Column) -> Column:
+        return let(mean(v), lambda m: F.transform(v, lambda e: e - m)) if zero_mean else v
+
+    def ratio(x: Column, t: Column) -> Column:
+        def from_fit(fitted: Column) -> Column:
+            rest = F.zip_with(x, fitted if scaled else t, lambda a, b: a - b)
+            return -10 * F.log10(dot(fitted, fitted) / (dot(rest, rest) + eps) + eps)
+
+        return let(let(dot(x, t) / (dot(t, t) + eps), lambda k: F.transform(t, lambda v: v * k)), from_fit)
+
+    return let(centred(doubles(estimate)), lambda x: let(centred(doubles(target)), lambda t: ratio(x, t)))
 
 
 def gaussian_kl(mean_v: Column | str, scale_v: Column | str) -> Column:
@@ -258,8 +267,7 @@ def gaussian_kl(mean_v: Column | str, scale_v: Column | str) -> Column:
 
 def log_sum_exp(v: Column | str) -> Column:
     """log of the sum of exponentials, without overflow."""
-    top = F.array_max(doubles(v))
-    return top + F.log(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return let(F.array_max(doubles(v)), lambda top: top + F.log(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + F.exp(x - top))))
 
 
 def cross_entropy(logits: Column | str, target: Column | str) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonearm.functions.arrays import let
 from tonearm.functions.ids import basename, first_number
 
 
@@ -53,9 +54,12 @@ def tags_by_type(tags: Column | str, lower: bool = False) -> Column:
     pairs = F.filter(
         F.transform(_c(tags), lambda t: F.struct(tag_type(t, lower).alias("k"), tag_value(t).alias("v"))), lambda p: p["v"].isNotNull()
     )
-    kinds = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    lists = F.transform(kinds, lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]))
-    return F.map_from_arrays(kinds, lists)
+
+    def grouped(held: Column) -> Column:
+        kinds = F.array_distinct(F.transform(held, lambda p: p["k"]))
+        return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.transform(F.filter(held, lambda p: p["k"] == k), lambda p: p["v"])))
+
+    return let(pairs, grouped)
 
 
 def values_of_type(tags: Column | str, kind: str) -> Column:
@@ -191,7 +195,7 @@ def to_int16(v: Column | str) -> Column:
 def peak_normalise(v: Column | str) -> Column:
     """Samples divided by the largest magnitude, if it isn't 0."""
     peak = F.array_max(F.transform(_c(v), F.abs))
-    return F.when(peak > 0, F.transform(_c(v), lambda x: x / peak)).otherwise(_c(v))
+    return let(peak, lambda top: F.when(top > 0, F.transform(_c(v), lambda x: x / top)).otherwise(_c(v)))
 
 
 def cosine_schedule(t: Column | str) -> tuple[Column, Column]:

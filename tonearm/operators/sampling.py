@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonearm.functions.arrays import let
 from tonearm.functions.scalar import draw
 
 
@@ -36,9 +37,9 @@ def inpaint_mask(key: Column, size: Column, real: Column, seed: int = 0, weights
         return F.struct(start.alias("a"), (start + n).alias("b"), (n <= real).alias("ok"))
 
     cuts = F.transform(F.sequence(F.lit(1), count), segment)
-    random = F.transform(at, lambda p: F.when(F.exists(cuts, lambda s: s["ok"] & (p >= s["a"]) & (p < s["b"])), 0).otherwise(1))
+    random = let(cuts, lambda held: F.transform(at, lambda p: F.when(F.exists(held, lambda s: s["ok"] & (p >= s["a"]) & (p < s["b"])), 0).otherwise(1)))
     prefix = F.floor(draw(seed + 4, key) * (real + 1)).cast("int")
-    causal = F.transform(at, lambda p: F.when((p >= prefix) & (p < real), 0).otherwise(1))
+    causal = let(prefix, lambda first: F.transform(at, lambda p: F.when((p >= first) & (p < real), 0).otherwise(1)))
     ones = F.transform(at, lambda p: F.lit(1))
     full = F.transform(at, lambda p: F.lit(0))
     chosen = F.when((kind >= weights[0]) & (kind < weights[0] + weights[1]), full).when(real == 0, ones).when(kind < weights[0], random).otherwise(causal)

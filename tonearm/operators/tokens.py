@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.functions.arrays import let
+
 # Fixed values of the token vocabulary: ticks a second, sizes of the blocks, and what follows from them.
 TICKS, MAX_TIME, MAX_DUR, PITCHES, INSTRUMENTS = 100, 10_000, 1_000, 128, 129
 MAX_NOTE = PITCHES * INSTRUMENTS
@@ -136,9 +138,9 @@ def pad(events: Column | str, end_time: Column | int | None = None, density: int
         some = F.sequence(before + density, F.greatest(until - 1, before + density), F.lit(density))
         return F.when(until > before + density, F.transform(some, lambda t: triple(t, F.lit(DUR), F.lit(REST)))).otherwise(F.array().cast(TRIPLE))
 
-    times = F.concat(F.array(F.lit(TIME)), F.transform(ev, lambda e: e["time"]))
-    filled = F.flatten(F.transform(ev, lambda e, i: F.concat(rests(F.get(times, i), e["time"]), F.array(triple(e["time"], e["dur"], e["note"])))))
-    return F.concat(filled, rests(F.element_at(times, -1), end))
+    before = F.concat(F.array(F.lit(TIME)), F.transform(ev, lambda e: e["time"]))
+    with_rests = F.zip_with(ev, F.slice(before, F.lit(1), F.size(ev)), lambda e, t: F.concat(rests(t, e["time"]), F.array(triple(e["time"], e["dur"], e["note"]))))
+    return F.concat(F.flatten(with_rests), rests(F.element_at(before, -1), end))
 
 
 def _truthy(v: Column | int | None) -> Column:
@@ -155,16 +157,15 @@ def anticipate(events: Column | str, controls: Column | str, delta: int = DELTA)
     clocks = F.slice(clocks, F.lit(1), F.size(ev))
     n = F.size(ev)
 
-    def slot(c: Column) -> Column:
-        first = F.array_position(F.transform(clocks, lambda t: t >= c["time"] - CONTROL - delta), True).cast("int")
-        return F.when(first > 0, first - 1).otherwise(n)
+    def slots(held: Column) -> Column:
+        first = lambda c: F.array_position(F.transform(held, lambda t: t >= c["time"] - CONTROL - delta), True).cast("int")
+        return F.transform(co, lambda c: let(first(c), lambda f: F.when(f > 0, f - 1).otherwise(n)))
 
-    own = F.transform(co, slot)
-    running = F.aggregate(own, F.array().cast("array<int>"), lambda acc, s: F.concat(acc, F.array(F.greatest(s, F.coalesce(F.array_max(acc), F.lit(0))))))
+    zero = F.array().cast("array<int>")
+    running = F.aggregate(let(clocks, slots), zero, lambda acc, s: F.concat(acc, F.array(F.greatest(s, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))))
     placed = F.zip_with(co, running, lambda c, s: F.struct(s.alias("s"), c.alias("c")))
-    tokens = F.flatten(
-        F.transform(ev, lambda e, i: F.concat(F.transform(F.filter(placed, lambda p: p["s"] == i), lambda p: p["c"]), F.array(e)))
-    )
+    own = lambda held, i: F.transform(F.filter(held, lambda p: p["s"] == i), lambda p: p["c"])
+    tokens = let(placed, lambda held: F.flatten(F.transform(ev, lambda e, i: F.concat(own(held, i), F.array(e)))))
     left = F.transform(F.filter(placed, lambda p: p["s"] >= n), lambda p: p["c"])
     return tokens, left
 
@@ -172,7 +173,7 @@ def anticipate(events: Column | str, controls: Column | str, delta: int = DELTA)
 def sparsity(events: Column | str) -> Column:
     """The longest gap between neighbours, from 0 on; separators aside."""
     times = F.concat(F.array(F.lit(TIME)), F.transform(F.filter(_c(events), lambda e: e["note"] != SEPARATOR), lambda e: e["time"]))
-    gaps = F.transform(times, lambda t, i: t - F.coalesce(F.get(times, i - 1), F.lit(TIME)))
+    gaps = F.zip_with(F.slice(times, F.lit(2), F.size(times)), F.slice(times, F.lit(1), F.size(times) - 1), lambda b, a: b - a)
     return F.greatest(F.array_max(gaps), F.lit(0))
 
 
@@ -203,7 +204,7 @@ def translate(events: Column | str, dt: Column | int) -> Column:
     by = F.lit(dt) if isinstance(dt, int) else dt
     n = F.size(before_separator(events))
     moved = lambda e: F.when(ticks(e) + by >= 0, e["time"] + by).otherwise(F.raise_error(F.lit("a time under 0")).cast("int"))
-    return F.transform(_c(events), lambda e, i: F.when(i < n, triple(moved(e), e["dur"], e["note"])).otherwise(triple(e["time"], e["dur"], e["note"])))
+    return let(n, lambda k: F.transform(_c(events), lambda e, i: F.when(i < k, triple(moved(e), e["dur"], e["note"])).otherwise(triple(e["time"], e["dur"], e["note"]))))
 
 
 def combine(events: Column | str, controls: Column | str) -> Column:
@@ -215,8 +216,8 @@ def combine(events: Column | str, controls: Column | str) -> Column:
 def instrument_counts(events: Column | str) -> Column:
     """A map from instrument to its number of events and controls; separators aside, rests under the instrument they decode to."""
     own = F.transform(F.filter(_c(events), lambda e: e["note"] < SEPARATOR), instrument)
-    kinds = F.array_distinct(own)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(own, lambda x: x == k))))
+    counted = lambda held: F.map_from_arrays(F.array_distinct(held), F.transform(F.array_distinct(held), lambda k: F.size(F.filter(held, lambda x: x == k))))
+    return let(own, counted)
 
 
 def compound_to_events(compound: Column | str) -> tuple[Column, Column]:

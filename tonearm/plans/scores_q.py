@@ -167,7 +167,7 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j09_loss_differences",
     f"""
     WITH {LOSSES}
-    SELECT a.model_id AS seller, a.query, round(b.loss, 6) AS loss_full, round(a.loss, 6) AS loss_without, round(a.loss - b.loss, 6) AS a_star
+    SELECT a.model_id AS seller, a.query, round(b.loss, 6) AS loss_full, round(a.loss, 6) AS loss_without, 0.0 + round(a.loss - b.loss, 6) AS a_star
     FROM ls a JOIN ls b ON a.query = b.query AND b.model_id = 0 WHERE a.model_id <> 0
     """,
 )
@@ -181,7 +181,7 @@ def j09_loss_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     "x13_quality_differences",
     f"""
     WITH {LOSSES}
-    SELECT a.model_id AS seller, a.query, round(b.loss - a.loss, 6) AS a_star FROM ls a JOIN ls b ON a.query = b.query AND b.model_id = 0 WHERE a.model_id <> 0
+    SELECT a.model_id AS seller, a.query, 0.0 + round(b.loss - a.loss, 6) AS a_star FROM ls a JOIN ls b ON a.query = b.query AND b.model_id = 0 WHERE a.model_id <> 0
     """,
 )
 def x13_quality_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,14 +194,14 @@ def x13_quality_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j01_join_contributions",
     f"""
     WITH {PAIRS}, a AS (SELECT seller, query, star FROM pairs WHERE query <= 9), b AS (SELECT seller, query, hat FROM pairs WHERE query >= 4)
-    SELECT seller, query, round(star, 6) AS star, round(hat, 6) AS hat FROM a JOIN b USING (seller, query)
+    SELECT seller, query, round(star, 6) AS star, round(hat, 8) AS hat FROM a JOIN b USING (seller, query)
     """,
 )
 def j01_join_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True and estimated contributions joined on seller and query."""
     p = pairs(spark, sf_dir)
     a, b = p.where("query <= 9").select("seller", "query", "star"), p.where("query >= 4").select("seller", "query", "hat")
-    return a.join(b, ["seller", "query"]).select("seller", "query", _r("star").alias("star"), _r("hat").alias("hat"))
+    return a.join(b, ["seller", "query"]).select("seller", "query", _r("star").alias("star"), _r("hat", 8).alias("hat"))
 
 
 @core.add(
@@ -294,14 +294,14 @@ def a07_ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a08_timestep_mean",
     f"""
     WITH {SCORES}, s AS (SELECT seller AS model, query, CAST(train % 5 AS INTEGER) AS t, avg(CAST(cents AS DOUBLE)) AS score FROM sc GROUP BY seller, query, train % 5)
-    SELECT model, query, round(avg(score), 3) AS score, count(*) AS n FROM s GROUP BY model, query
+    SELECT model, query, round(avg(score), 4) AS score, count(*) AS n FROM s GROUP BY model, query
     """,
 )
 def a08_timestep_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over timesteps of the mean score per timestep."""
     sc = scores(spark, sf_dir).select(F.col("seller").alias("model"), "query", (F.col("train") % 5).cast("int").alias("t"), F.col("cents").cast("double").alias("c"))
     per = sc.groupBy("model", "query", "t").agg(F.avg("c").alias("score"))
-    return per.groupBy("model", "query").agg(_r(F.avg("score"), 3).alias("score"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy("model", "query").agg(_r(F.avg("score"), 4).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
 _SUMMARY = """count(c) AS n, round(avg(c), 3) AS mean, round(stddev_pop(c), 3) AS std, min(c) AS least, round(CAST(quantile_cont(c, 0.25) AS DOUBLE), 3) AS p25,
@@ -362,14 +362,14 @@ def a18_conditional_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j02_base_reference",
     f"""
     WITH {PAIRS}, b AS (SELECT query, round(avg(hat), 6) AS q_base FROM pairs WHERE query <> 5 GROUP BY query)
-    SELECT seller, pairs.query, round(hat, 6) AS hat, q_base FROM pairs LEFT JOIN b ON pairs.query = b.query
+    SELECT seller, pairs.query, round(hat, 8) AS hat, q_base FROM pairs LEFT JOIN b ON pairs.query = b.query
     """,
 )
 def j02_base_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value per query joined to all sellers; null where there is none."""
     p = pairs(spark, sf_dir)
     base = p.where("query <> 5").groupBy("query").agg(_r(F.avg("hat")).alias("q_base"))
-    return p.join(base, "query", "left").select("seller", "query", _r("hat").alias("hat"), "q_base")
+    return p.join(base, "query", "left").select("seller", "query", _r("hat", 8).alias("hat"), "q_base")
 
 
 @core.add(
