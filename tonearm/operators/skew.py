@@ -24,15 +24,17 @@ def _clean(df: DataFrame, *names: str) -> None:
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], number: str = "row_no") -> DataFrame:
     """All rows of df with their exact number (bigint from 1) within their key by the order.
 
-    Null keys form a group like any other. Rows that tie in the order are numbered in any order, each once. An empty df
-    gives an empty result. The rows are written once to the shared folder, since the partition ids must not change
+    Null keys form a group like any other. Rows that tie in the order are numbered by a hash of their columns, and rows that
+    are the same in every column in any order, each once, so that a recomputed task can at most swap what can't be told
+    apart. An empty df gives an empty result. The rows are written once to the shared folder, since the partition ids must not change
     between counting and numbering.
     """
-    _clean(df, number, "__pid", "__before", "__tie")
+    _clean(df, number, "__pid", "__before", "__hash", "__tie")
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tied = df.withColumn("__tie", F.monotonically_increasing_id())
-    rows = cut(tied.repartitionByRange(parts, *order, F.col("__tie")).withColumn("__pid", F.spark_partition_id()), "rows")
+    content = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if not dict(df.dtypes)[c].startswith("map")))
+    tied = df.withColumns({"__hash": content, "__tie": F.monotonically_increasing_id()})
+    rows = cut(tied.repartitionByRange(parts, *order, F.col("__hash"), F.col("__tie")).withColumn("__pid", F.spark_partition_id()), "rows")
     counts = rows.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -40,7 +42,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     same = F.col("__pid") == F.col("__p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    place = Window.partitionBy("__pid", *keys).orderBy(*order, "__tie")
+    place = Window.partitionBy("__pid", *keys).orderBy(*order, "__hash", "__tie")
     numbered = rows.join(right, same).withColumn(number, F.col("__before") + F.row_number().over(place))
     return numbered.select(*df.columns, number)
 
