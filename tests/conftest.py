@@ -17,6 +17,9 @@ def spark():
 
     s = local_session(4, 4, "4g")
     yield s
+    from tonearm.storage import drop_cuts
+
+    drop_cuts()
     s.stop()
 
 

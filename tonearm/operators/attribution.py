@@ -60,6 +60,16 @@ def signed_index_sums(lists: DataFrame, scores: DataFrame, sign: float = 1.0) ->
     return one.join(scores, "train").groupBy("seller", "query").agg((F.lit(sign) * F.sum("score")).alias("value"))
 
 
+def complete_grid(rows: DataFrame, few: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Every row of rows with every row of few, which is counted before it is broadcast; more than most of them are an error.
+
+    The rows stay where they are, so the grid is as evenly spread as they are.
+    """
+    if (n := few.count()) > most:
+        raise ValueError(f"{n} rows are too many for a grid")
+    return rows.crossJoin(F.broadcast(few))
+
+
 def subset_sums(scores: DataFrame, membership: DataFrame, excluded: bool = False) -> DataFrame:
     """(model, query, value): scores (query, train, score) summed over each model's subset (model, train), or over the rest.
 
@@ -69,8 +79,7 @@ def subset_sums(scores: DataFrame, membership: DataFrame, excluded: bool = False
     if not excluded:
         return inside
     whole = scores.groupBy("query").agg(F.sum("score").alias("__t"))
-    models = membership.select("model").distinct()
-    grid = models.withColumn("__k", F.lit(1)).join(whole.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    grid = complete_grid(whole, membership.select("model").distinct())
     return grid.join(inside, ["model", "query"], "left").select("model", "query", (F.col("__t") - F.coalesce("value", F.lit(0.0))).alias("value"))
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonearm.operators.attribution import complete_grid
+
 
 def _grid(spark: SparkSession, books: int, frames: int) -> DataFrame:
     cells = spark.range(books * frames).select((F.col("id") % books).cast("int").alias("book"), F.floor(F.col("id") / books).cast("int").alias("frame"))
@@ -92,5 +94,5 @@ def revert(sequence: DataFrame, layout: DataFrame, special: int, model_output: b
     """
     own = layout.withColumn("step", F.col("step") - 1) if model_output else layout
     ids = sequence.select("id").distinct()
-    grid = ids.withColumn("__k", F.lit(1)).join(F.broadcast(own.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    grid = complete_grid(ids, own)
     return grid.join(sequence, ["id", "book", "step"], "left").select("id", "book", "frame", F.coalesce("code", F.lit(special)).alias("code"))

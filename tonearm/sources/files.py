@@ -15,6 +15,7 @@ from tonearm.schemas import DATASET_CONFIG
 
 # Fixed value: names that mark leftovers of archives.
 BANNED = ["paxheader", "__macosx"]
+# Fixed value: extensions of audio files.
 AUDIO = [".wav", ".mp3", ".flac", ".ogg", ".aif", ".opus"]
 
 

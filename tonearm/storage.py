@@ -28,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by drop_cuts() with all below it."""
+    path = f"{shared_dir(spark)}/tonearm-{uuid.uuid4().hex}/{name}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and return a scan of what was written (eager)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tonearm-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
