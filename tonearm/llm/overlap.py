@@ -31,7 +31,6 @@ from tonearm.storage import cut
 UNIT = 1024
 COMMON_SHARE, COMMON_MOST, VERY_COMMON = 1e-4, 300_000, 0.2
 BLOOM_BITS, KEY_BITS, CHUNK = 1 << 28, 8, 1 << 16
-BANDS = 4
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,11 +48,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_sets(df: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
-    """(id, cls, n, w): texts with at least so many different words; cls tells equal sets of words, w holds their sorted hashes."""
+    """(id, cls, w): texts with at least so many different words; cls, a 64-bit hash, tells equal sets of words, w holds their
+    sorted hashes.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cls, ns, ws = [], [], [], []
+            ids, cls, ws = [], [], []
             for i, s in zip(b.column(0).to_pylist(), b.column(1)):
                 if i is None or not s.is_valid:
                     continue
@@ -61,15 +62,12 @@ def word_sets(df: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
                 if len(w) >= least:
                     raw = w.tobytes()
                     ids.append(i)
-                    cls.append(xxhash.xxh3_128_digest(raw))
-                    ns.append(len(w))
+                    cls.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
                     ws.append(raw)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(ns, pa.int32()), pa.array(ws, pa.binary())], ["id", "cls", "n", "w"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(ws, pa.binary())], ["id", "cls", "w"])
 
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("s")).where("id is not null and s is not null")
-    return source.mapInArrow(rows, "id bigint, cls binary, n int, w binary")
+    return source.mapInArrow(rows, "id bigint, cls bigint, w binary")
 
 
 class Selectivity:
@@ -92,15 +90,24 @@ class Selectivity:
 
 
 def learn_selectivity(sets: DataFrame) -> Selectivity:
-    """Counts words over all different sets; those of a share of COMMON_SHARE and more are kept, at most COMMON_MOST words."""
+    """Counts words over all sets; those of a share of COMMON_SHARE and more are kept, at most COMMON_MOST words."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+
         for b in batches:
-            raw = b"".join(b.column(0).to_pylist())
-            h, c = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+            held.append(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64))
+            if sum(map(len, held)) > 4_000_000:
+                yield flush()
+        if held:
+            yield flush()
 
-    size = sets.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("words")).first()
+    size = sets.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.octet_length("w") / 8).alias("words")).first()
     texts, total = size.texts, size.words or 0
     bar = max(COMMON_SHARE, total / (max(texts, 1) * COMMON_MOST))
     per = sets.select("w").mapInArrow(counts, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
@@ -109,7 +116,7 @@ def learn_selectivity(sets: DataFrame) -> Selectivity:
 
 
 class _Batch:
-    """Runs of a batch of word strings: flat words, their sums and signatures."""
+    """Runs of a batch of word strings: flat words, their sums and a 64-bit signature of each string."""
 
     def __init__(self, raws: list[bytes], sel: Selectivity):
         self.n = np.array([len(r) // 8 for r in raws], np.int64)
@@ -122,11 +129,7 @@ class _Batch:
         self.text = np.repeat(np.arange(len(raws)), self.n)
         self.stop = self.start[1:][self.text]
         bit = np.uint64(1) << (w & np.uint64(63))
-        high = (w >> np.uint64(6)) & np.uint64(1) == 1
-        self.sig = np.zeros((2, len(raws)), np.uint64)
-        if self.total:
-            for half in (0, 1):
-                self.sig[half] = np.bitwise_or.reduceat(np.where(high == bool(half), bit, np.uint64(0)), self.start[:-1])
+        self.sig = np.bitwise_or.reduceat(bit, self.start[:-1]) if self.total else np.zeros(len(raws), np.uint64)
 
     def ends(self, level: int, gain: int) -> np.ndarray:
         """For each place the end of its run, or more than the string's end if it has none."""
@@ -140,66 +143,72 @@ class _Batch:
             return _mix(self.sum[e] - self.sum[a] + np.uint64(level + 1) * _M)
 
 
-def _bands(n: int, t: Fraction) -> list[tuple[int, int, int]]:
-    """(least m, most m, edits) of a few ranges of lengths that a partner of n words may have."""
-    lo, hi = math.ceil(t * n), math.floor(n / t)
-    cuts = sorted({lo, *(lo + (hi - lo + 1) * i // BANDS for i in range(1, BANDS)), hi + 1})
-    return [(a, b - 1, max(most_edits(n, m, t) for m in range(a, b))) for a, b in zip(cuts, cuts[1:])]
+def _different(b: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
+    """The classes of a batch, each once, so that copies don't multiply."""
+    cls, first = np.unique(b.column(0).to_numpy(), return_index=True)
+    return cls, b.column(1).take(pa.array(first)).to_pylist()
 
 
-_SEGMENT = "key bigint, cls_a binary, n int, p int, lo int, hi int, s0 bigint, s1 bigint"
+_SEGMENT = "key bigint, cls_a bigint, n int, p int, s bigint"
 
 
 def _segments(sel_sent, t: Fraction):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sel, bands = sel_sent.value, {}
+        sel, edits = sel_sent.value, {}
         for b in batches:
-            cls = b.column(0).to_pylist()
-            batch = _Batch(b.column(1).to_pylist(), sel)
+            cls, raws = _different(b)
+            batch = _Batch(raws, sel)
             ends = [batch.ends(i, g).tolist() for i, g in enumerate(sel.levels)]
             gain = batch.gain.tolist()
-            out: list[tuple[int, int, int, int, int, int]] = []
+            out: list[tuple[int, int, int, int]] = []
             for x in range(len(cls)):
                 a, z = int(batch.start[x]), int(batch.start[x + 1])
                 n = z - a
-                if n not in bands:
-                    bands[n] = _bands(n, t)
-                cuts: dict[int, list[tuple[int, int, int]]] = {}
-                for lo, hi, k in bands[n]:
-                    for level in range(len(sel.levels)):
-                        if level not in cuts:
-                            parts, at = [], a
-                            while at < z and (e := ends[level][at]) <= z:
-                                parts.append((gain[at] - gain[e], at, e))
-                                at = e
-                            cuts[level] = sorted(parts)
-                        if len(cuts[level]) > k:
-                            break
-                    out += [(level, at, e, x, lo, hi) for _, at, e in cuts[level][: k + 1]]
+                if n not in edits:
+                    edits[n] = max(most_edits(n, m, t) for m in range(math.ceil(t * n), math.floor(n / t) + 1))
+                for level in range(len(sel.levels)):
+                    parts, at, end = [], a, ends[level]
+                    while at < z and (e := end[at]) <= z:
+                        parts.append((gain[at] - gain[e], at, e))
+                        at = e
+                    if len(parts) > edits[n]:
+                        break
+                out += [(level, at, e, x) for _, at, e in sorted(parts)[: edits[n] + 1]]
             if not out:
                 continue
-            level, at, e, x, lo, hi = np.array(out, np.int64).T
+            level, at, e, x = np.array(out, np.int64).T
             key = np.zeros(len(out), np.uint64)
             for v in np.unique(level):
                 m = level == v
                 key[m] = batch.keys(int(v), at[m], e[m])
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(cls, pa.binary()).take(pa.array(x)), pa.array(batch.n[x], i32), pa.array(at - batch.start[x], i32), pa.array(lo, i32), pa.array(hi, i32), pa.array(batch.sig[0][x].view(np.int64)), pa.array(batch.sig[1][x].view(np.int64))],
-                ["key", "cls_a", "n", "p", "lo", "hi", "s0", "s1"],
+                [pa.array(key.view(np.int64)), pa.array(cls[x]), pa.array(batch.n[x], i32), pa.array(at - batch.start[x], i32), pa.array(batch.sig[x].view(np.int64))],
+                ["key", "cls_a", "n", "p", "s"],
             )
 
     return rows
 
 
-def _spots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _spots(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     mask = np.uint64(bits - 1)
-    return keys & mask, (keys >> np.uint64(33)) * np.uint64(0x2545F491) & mask
+    yield keys & mask
+    more = _mix(keys + _M)
+    yield more & mask
+    yield (more >> np.uint64(32)) & mask
+
+
+def _may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key."""
+    keep = np.ones(len(keys), bool)
+    for spot in _spots(keys, len(filter_) * 8):
+        keep &= (filter_[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return keep
 
 
 def bloom(keys: DataFrame, count: int) -> np.ndarray:
     """A Bloom filter, as bytes, of at most BLOOM_BITS bits, of a column of 64-bit keys; its parts are united by Spark."""
-    bits = min(BLOOM_BITS, 1 << max(20, math.ceil(math.log2(max(count, 1) * 12))))
+    bits = min(BLOOM_BITS, 1 << max(20, math.ceil(math.log2(max(count, 1) * 16))))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(bits, bool)
@@ -222,24 +231,21 @@ def bloom(keys: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-_RUN = "key bigint, cls_b binary, m int, p2 int, t0 bigint, t1 bigint"
+_RUN = "key bigint, cls_b bigint, m int, p2 int, s2 bigint"
 
 
 def _runs(sel_sent, bloom_sent):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sel, filter_ = sel_sent.value, bloom_sent.value
-        bits = len(filter_) * 8
         for b in batches:
-            cls = b.column(0)
-            batch = _Batch(b.column(1).to_pylist(), sel)
+            cls, raws = _different(b)
+            batch = _Batch(raws, sel)
             got: list[tuple[np.ndarray, np.ndarray]] = []
             for level, gain in enumerate(sel.levels):
                 e = batch.ends(level, gain)
                 a = np.flatnonzero(e <= batch.stop)
                 key = batch.keys(level, a, e[a])
-                keep = np.ones(len(key), bool)
-                for spot in _spots(key, bits):
-                    keep &= (filter_[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep = _may_hold(filter_, key)
                 got.append((key[keep], a[keep]))
             key = np.concatenate([k for k, _ in got])
             a = np.concatenate([x for _, x in got])
@@ -248,13 +254,27 @@ def _runs(sel_sent, bloom_sent):
             x = batch.text[a]
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), cls.take(pa.array(x)), pa.array(batch.n[x], i32), pa.array(a - batch.start[x], i32), pa.array(batch.sig[0][x].view(np.int64)), pa.array(batch.sig[1][x].view(np.int64))],
-                ["key", "cls_b", "m", "p2", "t0", "t1"],
+                [pa.array(key.view(np.int64)), pa.array(cls[x]), pa.array(batch.n[x], i32), pa.array(a - batch.start[x], i32), pa.array(batch.sig[x].view(np.int64))],
+                ["key", "cls_b", "m", "p2", "s2"],
             )
 
     return rows
 
 
+def _words_of(sets: DataFrame, classes: DataFrame, count: int, name: str, column: str) -> DataFrame:
+    """(name, column): the words of the classes (c bigint); sets that the classes' Bloom filter excludes aren't shuffled."""
+    sent = sets.sparkSession.sparkContext.broadcast(bloom(classes, count))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls, first = np.unique(b.column(0).to_numpy(), return_index=True)
+            keep = first[_may_hold(sent.value, cls.view(np.uint64))]
+            yield b.take(pa.array(keep))
+
+    some = sets.select("cls", "w").mapInArrow(rows, "cls bigint, w binary")
+    return some.groupBy(F.col("cls").alias(name)).agg(F.first("w").alias(column))
+
+
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) -> np.ndarray:
     """Insert-delete distances of pairs of word strings by dynamic programming in the band of max(k); above k: some value above k."""
     if not a:
@@ -322,10 +342,9 @@ def _verify(t: Fraction):
 
 
 def similar_classes(left: DataFrame, right: DataFrame, threshold: Fraction) -> DataFrame:
-    """(cls_a, cls_b, similarity) of all pairs of different word sets, (cls, n, w) each, with the Jaccard similarity."""
+    """(cls_a, cls_b, similarity) of all pairs of classes of word_sets() with a Jaccard similarity of the threshold."""
     spark = left.sparkSession
-    sel = learn_selectivity(right)
-    sel_sent = spark.sparkContext.broadcast(sel)
+    sel_sent = spark.sparkContext.broadcast(learn_selectivity(right))
     segments = cut(left.select("cls", "w").mapInArrow(_segments(sel_sent, threshold), _SEGMENT), "segments")
     count = segments.count()
     blocks = max(1, -(-count // (BLOOM_BITS // KEY_BITS)))
@@ -333,20 +352,21 @@ def similar_classes(left: DataFrame, right: DataFrame, threshold: Fraction) -> D
     p, q = threshold.numerator, threshold.denominator
     k = n + m - 2 * F.ceil((p * (n + m)) / F.lit(p + q) - 1e-9)
     shift = F.abs(F.col("p2") - F.col("p")) + F.abs((m - F.col("p2")) - (n - F.col("p")))
-    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
+    differ = F.bit_count(F.col("s").bitwiseXOR(F.col("s2")))
     pairs = None
     for i in range(blocks):
         some = segments if blocks == 1 else segments.where(F.pmod(F.xxhash64("cls_a"), F.lit(blocks)) == i)
         sent = spark.sparkContext.broadcast(bloom(some.select("key"), -(-count // blocks)))
         runs = right.select("cls", "w").mapInArrow(_runs(sel_sent, sent), _RUN)
-        met = some.join(runs, "key").where(m.between(F.col("lo"), F.col("hi")) & (shift <= k) & (differ <= k))
+        met = some.join(runs, "key").where((q * m >= p * n) & (q * n >= p * m) & (shift <= k) & (differ <= k))
         met = met.select("cls_a", "cls_b")
         pairs = met if pairs is None else pairs.union(met)
-    pairs = pairs.distinct()
-    a = left.select(F.col("cls").alias("cls_a"), F.col("w").alias("wa"))
-    b = right.select(F.col("cls").alias("cls_b"), F.col("w").alias("wb"))
+    pairs = cut(pairs.distinct(), "candidates")
+    found = pairs.count()
+    a = _words_of(left, pairs.select("cls_a"), found, "cls_a", "wa")
+    b = _words_of(right, pairs.select("cls_b"), found, "cls_b", "wb")
     full = pairs.join(a, "cls_a").join(b, "cls_b").select("cls_a", "cls_b", "wa", "wb")
-    return full.mapInArrow(_verify(threshold), "cls_a binary, cls_b binary, similarity double")
+    return full.mapInArrow(_verify(threshold), "cls_a bigint, cls_b bigint, similarity double")
 
 
 def near_same(
@@ -359,13 +379,9 @@ def near_same(
     once, as a class, and expanded at the end; a record delivered twice counts once. Texts of any length are read whole.
     """
     t = Fraction(threshold)
-    sides = []
-    for df, i, s in ((evals, eval_id, eval_text), (train, train_id, train_text)):
-        sets = cut(word_sets(df, i, s, least), "sets")
-        classes = cut(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("w").alias("w")), "classes")
-        sides.append((sets.select("id", "cls").distinct(), classes))
-    (members_a, a), (members_b, b) = sides
+    a = cut(word_sets(evals, eval_id, eval_text, least), "sets")
+    b = cut(word_sets(train, train_id, train_text, least), "sets")
     pairs = similar_classes(a, b, t)
-    left = members_a.select(F.col("id").alias("eval"), F.col("cls").alias("cls_a"))
-    right = members_b.select(F.col("id").alias("train"), F.col("cls").alias("cls_b"))
+    left = a.select(F.col("id").alias("eval"), F.col("cls").alias("cls_a")).distinct()
+    right = b.select(F.col("id").alias("train"), F.col("cls").alias("cls_b")).distinct()
     return pairs.join(left, "cls_a").join(right, "cls_b").select("eval", "train", "similarity")
