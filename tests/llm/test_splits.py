@@ -84,6 +84,40 @@ def test_loads_keep_fill_and_quarantine(spark):
     assert two[same[0].node].weight == one[same[0].node].weight + 2
 
 
+def test_loads_in_parts_give_the_components_of_one_load(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(900), rng.choice([None, *range(700)])) for _ in range(1200)] + [(2000, 5000), (2001, 5001), (2002, 5000), (2002, 5001)]
+    frame = lambda part: spark.createDataFrame(part, "a bigint, b bigint")
+    done = None
+    for part in (rows[:400], rows[400:1000], rows[1000:1202], rows[1202:]):
+        done = sp.load_linked(done, frame(part), "a", "b", PROPORTIONS)
+    got = {r.node: r for r in done.splits.collect()}
+    whole = sp.load(None, frame(rows), "a", "b", PROPORTIONS).collect()
+    assert {k: (r.component, r.weight) for k, r in got.items()} == {r.node: (r.component, r.weight) for r in whole}
+    _check(rows, got)
+    links = [(r.node, r.via) for r in done.links.collect()]
+    assert set(links) <= set(rows) and sorted(v for _, v in links) == sorted({b for _, b in rows if b is not None})
+
+
+def test_a_value_of_an_earlier_load_merges_and_quarantines(spark):
+    first = [(i, 10000 + i) for i in range(1000)]
+    one = sp.load_linked(None, spark.createDataFrame(first, "a bigint, b bigint"), "a", "b", PROPORTIONS)
+    split = {r.node: r.split for r in one.splits.collect()}
+    a, b = (next(k for k in sorted(split) if split[k] == s) for s in ("train", "test"))
+    late = [(b, 10000 + a), (7777, 10000 + b)]
+    two = sp.load_linked(one, spark.createDataFrame(late, "a bigint, b bigint"), "a", "b", PROPORTIONS)
+    got = {r.node: r for r in two.splits.collect()}
+    assert {got[x].component for x in (a, b, 7777)} == {min(a, b)}
+    assert {(got[x].split, got[x].status) for x in (a, b, 7777)} == {(sp.QUARANTINE, "conflict")}
+
+
+def test_the_incremental_query_has_the_components_of_one_load(spark, sf):
+    from tonearm.llm.queries import llm
+
+    two, one = (llm.queries[q](spark, sf) for q in ("p5_incremental", "p5_splits"))
+    assert {(r.artist_no, r.component, r.n_rows) for r in two.collect()} == {(r.artist_no, r.component, r.n_rows) for r in one.collect()}
+
+
 def test_empty_load(spark):
     df = spark.createDataFrame([], "a bigint, b bigint")
     assert sp.load(None, df, "a", "b", PROPORTIONS).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.ids import digits_number
 from tonearm.llm.queries import llm
-from tonearm.llm.splits import components, link_edges, load, pairs_within
+from tonearm.llm.splits import components, link_edges, load, load_linked, pairs_within
 from tonearm.session import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -52,6 +52,6 @@ def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = rows.agg(F.max("batch_id")).first()[0] or 0
     early = rows.where(F.coalesce(F.col("batch_id"), F.lit(0)) <= last * 2 // 3)
     late = rows.where(F.coalesce(F.col("batch_id"), F.lit(0)) > last * 2 // 3)
-    done = load(None, early, "artist_no", "album_no", PROPORTIONS)
-    done = load(done, late, "artist_no", "album_no", PROPORTIONS)
+    done = load_linked(None, early, "artist_no", "album_no", PROPORTIONS)
+    done = load_linked(done, late, "artist_no", "album_no", PROPORTIONS).splits
     return done.select(F.col("node").alias("artist_no"), "component", F.col("weight").alias("n_rows"), "split", "status")

@@ -1,13 +1,16 @@
 """Splits that keep related records together.
 
 Records that share an entity, also by way of others, form a component and get one split. Components live in a persisted
-table (node, component). A new load is mapped onto it, only its links are contracted, by hooking every component to its
-smallest neighbour and pointer jumping, and the table is relabelled. Components that had a split keep it, new ones fill the
-deficits of the splits, and a merge of components with different splits is quarantined.
+table (node, component), beside a table (via, node) of a node of every linking value seen. A new load is mapped onto them,
+only its links, among them those to nodes of earlier loads, are contracted, by hooking every component to its smallest
+neighbour and pointer jumping, and the table is relabelled. Components that had a split keep it, new ones fill the deficits
+of the splits, and a merge of components with different splits is quarantined.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,18 +154,31 @@ def assign_splits(weights: DataFrame, proportions: dict[str, float], seed: int =
     return old.union(placed)
 
 
-def load(known: DataFrame | None, records: DataFrame, node: str, via: str, proportions: dict[str, float], seed: int = 0) -> DataFrame:
+def load(
+    known: DataFrame | None,
+    records: DataFrame,
+    node: str,
+    via: str,
+    proportions: dict[str, float],
+    seed: int = 0,
+    links: DataFrame | None = None,
+) -> DataFrame:
     """The persisted table (node, component, weight, split, status) after a load of records, whose weight is their number.
 
-    known: the table that the load before returned, or None. Nodes of a quarantined component are all quarantined, so that
-    nothing leaks between splits. Records with a null node are ignored; a null in via links nothing.
+    known: the table that the load before returned, or None. links: nodes (node, via) of earlier loads, which link the
+    records but aren't counted; without them a value links only the records of this load, so that loads that follow one
+    another take load_linked(). Nodes of a quarantined component are all quarantined, so that nothing leaks between splits.
+    Records with a null node are ignored; a null in via links nothing.
     """
     counts = records.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("weight"))
     if known is not None:
         before = known.select("node", "weight")
         counts = counts.unionByName(before).groupBy("node").agg(F.sum("weight").alias("weight"))
     nodes = records.select(F.col(node).alias("node"))
-    merged = update_components(known, nodes, link_edges(records, node, via))
+    linked = records.select(F.col(node).alias("node"), F.col(via).alias("via"))
+    if links is not None:
+        linked = linked.unionByName(links.select("node", "via"))
+    merged = update_components(known, nodes, link_edges(linked, "node", "via"))
     if known is not None:
         prior = known.select("node", F.col("split").alias("__prior"))
         merged = merged.join(prior, "node", "left")
@@ -174,6 +190,29 @@ def load(known: DataFrame | None, records: DataFrame, node: str, via: str, propo
     return cut(members.join(placed, "component").select("node", "component", "weight", "split", "status"), "splits")
 
 
+class Loaded(NamedTuple):
+    """What stays between loads: splits, the table of load(), and links (via, node), one node of each value of all loads."""
+
+    splits: DataFrame
+    links: DataFrame
+
+
+def load_linked(known: Loaded | None, records: DataFrame, node: str, via: str, proportions: dict[str, float], seed: int = 0) -> Loaded:
+    """load() after earlier loads whose values link too: the components are those of all records in one load.
+
+    known: what the load before returned, or None. A value's node of an earlier load stands for all that have it, as they are
+    of one component already; so only one row a value is kept, and only the values of this load are looked up.
+    """
+    pairs = records.select(F.col(via).alias("via"), F.col(node).alias("node")).where("via is not null and node is not null")
+    first = cut(pairs.groupBy("via").agg(F.min("node").alias("node")), "first")
+    if known is None:
+        return Loaded(load(None, records, node, via, proportions, seed), first)
+    met = cut(known.links.join(first.select("via"), "via", "left_semi").select("via", "node"), "met")
+    done = load(known.splits, records, node, via, proportions, seed, met)
+    links = known.links.select("via", "node").unionByName(first.join(met, "via", "left_anti"))
+    return Loaded(done, cut(links, "links"))
+
+
 def pairs_within(members: DataFrame, block: int = 512) -> DataFrame:
     """(a, b), a < b, of all members (node, component) of one component, made block by block, so that a large component's
     pairs are spread over many tasks.
