@@ -118,6 +118,30 @@ def test_the_incremental_query_has_the_components_of_one_load(spark, sf):
     assert {(r.artist_no, r.component, r.n_rows) for r in two.collect()} == {(r.artist_no, r.component, r.n_rows) for r in one.collect()}
 
 
+def test_a_kept_table_outlives_the_cuts(spark, tmp_path):
+    from tonearm import storage
+
+    early, late = [(1, 10), (2, 20), (3, None)], [(4, 10), (4, 20)]
+    before, storage._WRITTEN[:] = list(storage._WRITTEN), []
+    one = sp.load_linked(None, spark.createDataFrame(early, "a bigint, b bigint"), "a", "b", PROPORTIONS, path=f"file://{tmp_path}/1")
+    storage.drop_cuts()
+    assert one.splits.count() == 3 and one.links.count() == 2
+    two = sp.load_linked(sp.kept(spark, f"file://{tmp_path}/1"), spark.createDataFrame(late, "a bigint, b bigint"), "a", "b", PROPORTIONS, path=f"file://{tmp_path}/2")
+    storage.drop_cuts()
+    storage._WRITTEN[:] = before
+    assert {r.node: r.component for r in two.splits.collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert {(r.via, r.node) for r in sp.kept(spark, f"file://{tmp_path}/2").links.collect()} == {(10, 1), (20, 2)}
+
+
+def test_p5_found_goes_through_the_incremental_table(spark, sf, monkeypatch):
+    from tonearm.llm import q_splits
+
+    calls = []
+    monkeypatch.setattr(q_splits, "load_linked", lambda known, *a, **k: calls.append(known is None) or sp.load_linked(known, *a, **k))
+    q_splits.p5_found(spark, sf).collect()
+    assert calls == [True, False]
+
+
 def test_empty_load(spark):
     df = spark.createDataFrame([], "a bigint, b bigint")
     assert sp.load(None, df, "a", "b", PROPORTIONS).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.ids import digits_number
 from tonearm.llm.queries import llm
-from tonearm.llm.splits import components, link_edges, load, load_linked, pairs_within
+from tonearm.llm.splits import Loaded, load, load_linked, pairs_within
 from tonearm.session import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -21,6 +21,16 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _two_loads(spark: SparkSession, sf_dir: str) -> Loaded:
+    """The catalog in two loads, the second of which is the later third of the batches."""
+    rows = _records(spark, sf_dir)
+    last = rows.agg(F.max("batch_id")).first()[0] or 0
+    early = rows.where(F.coalesce(F.col("batch_id"), F.lit(0)) <= last * 2 // 3)
+    late = rows.where(F.coalesce(F.col("batch_id"), F.lit(0)) > last * 2 // 3)
+    done = load_linked(None, early, "artist_no", "album_no", PROPORTIONS)
+    return load_linked(done, late, "artist_no", "album_no", PROPORTIONS)
+
+
 @llm.add(
     "p5_found",
     """
@@ -33,8 +43,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of artists that a chain of shared albums links."""
-    members = components(link_edges(_records(spark, sf_dir), "artist_no", "album_no"))
+    """Pairs of artists that a chain of shared albums links, from the component table after two loads."""
+    members = _two_loads(spark, sf_dir).splits
     return pairs_within(members).select(F.col("a").alias("artist_no_a"), F.col("b").alias("artist_no_b"))
 
 
@@ -48,10 +58,5 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm.add("p5_incremental")
 def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in two loads, the second of which is the later third of the batches: kept, new and conflicting components."""
-    rows = _records(spark, sf_dir)
-    last = rows.agg(F.max("batch_id")).first()[0] or 0
-    early = rows.where(F.coalesce(F.col("batch_id"), F.lit(0)) <= last * 2 // 3)
-    late = rows.where(F.coalesce(F.col("batch_id"), F.lit(0)) > last * 2 // 3)
-    done = load_linked(None, early, "artist_no", "album_no", PROPORTIONS)
-    done = load_linked(done, late, "artist_no", "album_no", PROPORTIONS).splits
+    done = _two_loads(spark, sf_dir).splits
     return done.select(F.col("node").alias("artist_no"), "component", F.col("weight").alias("n_rows"), "split", "status")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm.storage import cut
@@ -197,20 +197,42 @@ class Loaded(NamedTuple):
     links: DataFrame
 
 
-def load_linked(known: Loaded | None, records: DataFrame, node: str, via: str, proportions: dict[str, float], seed: int = 0) -> Loaded:
+def kept(spark: SparkSession, path: str) -> Loaded:
+    """What a load kept under path."""
+    return Loaded(spark.read.parquet(f"{path}/splits"), spark.read.parquet(f"{path}/links"))
+
+
+def load_linked(
+    known: Loaded | None,
+    records: DataFrame,
+    node: str,
+    via: str,
+    proportions: dict[str, float],
+    seed: int = 0,
+    path: str | None = None,
+) -> Loaded:
     """load() after earlier loads whose values link too: the components are those of all records in one load.
 
-    known: what the load before returned, or None. A value's node of an earlier load stands for all that have it, as they are
+    known: what the load before returned or kept() reads, or None. path: a new folder in which the tables stay, for a later
+    session too; without it they are deleted by drop_cuts(), at the latest at exit. A value's node of an earlier load stands for all that have it, as they are
     of one component already; so only one row a value is kept, and only the values of this load are looked up.
     """
     pairs = records.select(F.col(via).alias("via"), F.col(node).alias("node")).where("via is not null and node is not null")
     first = cut(pairs.groupBy("via").agg(F.min("node").alias("node")), "first")
     if known is None:
-        return Loaded(load(None, records, node, via, proportions, seed), first)
+        return _keep(Loaded(load(None, records, node, via, proportions, seed), first), path)
     met = cut(known.links.join(first.select("via"), "via", "left_semi").select("via", "node"), "met")
     done = load(known.splits, records, node, via, proportions, seed, met)
     links = known.links.select("via", "node").unionByName(first.join(met, "via", "left_anti"))
-    return Loaded(done, cut(links, "links"))
+    return _keep(Loaded(done, links if path else cut(links, "links")), path)
+
+
+def _keep(loaded: Loaded, path: str | None) -> Loaded:
+    if path is None:
+        return loaded
+    for name, df in loaded._asdict().items():
+        df.write.parquet(f"{path}/{name}")
+    return kept(loaded.splits.sparkSession, path)
 
 
 def pairs_within(members: DataFrame, block: int = 512) -> DataFrame:
