@@ -409,9 +409,9 @@ def r10_timesteps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windowed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums by type over the events as a stream, with a watermark (an extension)."""
     from tonearm.storage import scratch
-    from tonearm.streaming.rollup import event_stream, run_to_table, windowed_sums
+    from tonearm.streaming.rollup import event_stream, latest, run_to_table, windowed_sums
 
     root = scratch(spark, "stream")
     s = windowed_sums(event_stream(spark, sf_dir, "events.parquet"), "ts", ["event_type"], "value", "1 hour", "10 minutes")
     run_to_table(s, f"{root}/out", f"{root}/state")
-    return spark.read.schema(s.schema).parquet(f"{root}/out")
+    return latest(s, f"{root}/out", ["event_type"])

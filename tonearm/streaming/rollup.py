@@ -31,6 +31,21 @@ def windowed_sums(events: DataFrame, time: str, keys: list[str], value: str, wid
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process all that is there into parquet, in append mode, and stop."""
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process all that is there into parquet and stop. Each batch writes the sums it changed, those of windows still open too,
+    under its number; latest() reads them. Run again on the same checkpoint, open windows go on.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def latest(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The sums that run_to_table() wrote, each window and key as its last batch has it."""
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    groups = ["window_start", *keys]
+    rest = [c for c in stream.columns if c not in groups]
+    last = stream.sparkSession.read.schema(schema).parquet(path).groupBy(*groups).agg(F.max_by(F.struct(*rest), "batch").alias("__last"))
+    return last.select(*(c if c in groups else F.col("__last")[c].alias(c) for c in stream.columns))
