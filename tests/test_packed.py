@@ -79,3 +79,27 @@ def test_empty_table(spark):
 def test_blank_delimited_fields_are_no_values(spark):
     df = spark.createDataFrame([("a---x b---y",)] * 4 + [("a---x",)] * 5 + [("b---y",)] * 5, "tags string")
     assert set(learn_values(df, "tags")) == {"a---x", "b---y"}
+
+
+def test_unknown_values_of_any_number_of_words():
+    known = {"Rock": -1.0, "Jazz": -1.0, "genre---a long known value": -1.0}
+    words = " ".join(f"w{i}xyz" for i in range(40))
+    c = Cover(known)
+    assert c.cover(f"{words} Rock") == [words, "Rock"]
+    assert c.cover(f"{words}  genre---a long known value {words}, Jazz") == [words, "genre---a long known value", words, "Jazz"]
+    assert len(c.cover(" ".join(f"w{i}xyz" for i in range(20_000)))) == 1
+
+
+def test_long_values_are_known(spark):
+    long = "many words of one value, " * 20 + "end"
+    rows = [(f'"{long}"',)] * 5 + [(f"{long}; x",)]
+    df = spark.createDataFrame(rows, "s string")
+    known = learn_values(df, "s")
+    assert long in known and Cover(known).split(f"{long}; x") == [long, "x"]
+
+
+def test_composites_of_long_parts(spark):
+    long = "p q r s t u v w"
+    rows = [(long,)] * 6 + [("Rock",)] * 6 + [(f"{long} Rock",)] * 4
+    known = learn_values(spark.createDataFrame(rows, "s string"), "s")
+    assert set(known) == {long, "Rock"}

@@ -7,7 +7,8 @@ delimiters. A delimiter inside a known or quoted value is thereby protected, and
 explains the field better than one value with a blank in it.
 
 Both passes are one Arrow exchange without a shuffle of rows; only the counts are shuffled, after being summed per batch.
-The dictionary holds at most 1 / min_share values, whatever the number of rows, which bounds what is sent to the executors.
+The dictionary holds at most 1 / min_share values, whatever the number of rows, and as each makes up min_share of the pieces,
+their characters together are at most 1 / min_share times the mean of a piece, which bounds what is sent to the executors.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,6 @@ _BLANK = re.compile(r"\s+")
 #: Scores of a cover, as log probabilities: an unknown piece costs more than any known value, and more the longer it is;
 #: an unknown quoted value costs less, but grows with its length too, as a stray mark may seem to quote a whole row of values.
 UNKNOWN, UNKNOWN_CHAR, QUOTED, QUOTED_CHAR, BLANK_CUT = -20.0, -1.5, -14.0, -0.4, -2.0
-MAX_VALUE = 256
 
 
 def _unquote(s: str) -> str:
@@ -97,51 +98,60 @@ class Cover:
                 if e == n or s[e] in "\t\r\n,;| ]" or s[e].isspace():
                     starts.setdefault(e - size, []).append((e, p))
         first = _SKIP.match(s).end()
-        best: dict[int, tuple[float, int, str | None]] = {first: (0.0, -1, None)}
-        todo, done, final = [first], set(), None
+        # Of each place where a value may begin: score, begin and end of the value before it, and its text if it isn't that of s.
+        best: dict[int, tuple[float, int, int, str | None]] = {first: (0.0, -1, first, None)}
+        todo, done, final = [(first, 1)], set(), None
+
+        def reach(i: int, e: int, gain: float, value: str | None) -> None:
+            j = _SKIP.match(s, e).end()
+            cut = BLANK_CUT if j < n and s[e:j].isspace() and not STRONG.search(s[e:j]) else 0.0
+            total = best[i][0] + gain + cut
+            if j not in best or total > best[j][0]:
+                best[j] = (total, i, e, value)
+                heappush(todo, (j, 1))
+
+        # An unknown value may end at every blank up to the next delimiter, end. Its score is linear in its length, so only
+        # the best of the begins so far, opened, has to be followed from one blank to the next.
+        opened, end = -1, -1
         while todo:
-            i = min(todo)
-            todo.remove(i)
+            i, begins = heappop(todo)
+            if not begins:
+                reach(opened, i, UNKNOWN + UNKNOWN_CHAR * (i - opened), None)
+                after = b.end() if (b := _BLANK.match(s, i, end)) else i
+                if after < end:
+                    heappush(todo, (b.start() if (b := _BLANK.search(s, after, end)) else end, 0))
+                else:
+                    opened = -1
+                continue
             if i in done:
                 continue
             done.add(i)
-            score = best[i][0]
             if i >= n:
                 final = i
                 break
-            for e, gain, value in self._edges(s, i, starts.get(i, ())):
-                j = _SKIP.match(s, e).end()
-                cut = BLANK_CUT if j < n and s[e:j].isspace() and not STRONG.search(s[e:j]) else 0.0
-                total = score + gain + cut
-                if j not in best or total > best[j][0]:
-                    best[j] = (total, i, value)
-                    todo.append(j)
+            for e, p in starts.get(i, ()):
+                reach(i, e, p, None)
+            if s[i] in "\"'" and (e := self._close(s, i)):
+                v = _unquote(s[i:e])
+                reach(i, e, self.values.get(v, QUOTED + QUOTED_CHAR * len(v)), v)
+            if opened >= 0:
+                if best[i][0] - UNKNOWN_CHAR * i > best[opened][0] - UNKNOWN_CHAR * opened:
+                    opened = i
+                continue
+            end = m.start() if (m := STRONG.search(s, i)) else n
+            if end == i:
+                reach(i, i + 1, 0.0, "")
+                continue
+            opened = i
+            heappush(todo, (b.start() if (b := _BLANK.search(s, i + 1, end)) else end, 0))
         out = []
         while final is not None and final != -1:
-            _, before, value = best[final]
-            if value:
+            _, before, e, value = best[final]
+            if before >= 0 and (value := s[before:e].strip() if value is None else value):
                 out.append(value)
             final = before
         return out[::-1]
 
-    def _edges(self, s: str, i: int, known: list[tuple[int, float]]) -> Iterator[tuple[int, float, str]]:
-        n = len(s)
-        for e, p in known:
-            yield e, p, s[i:e].strip()
-        if s[i] in "\"'" and (e := self._close(s, i)):
-            v = _unquote(s[i:e])
-            yield e, self.values.get(v, QUOTED + QUOTED_CHAR * len(v)), v
-        end = m.start() if (m := STRONG.search(s, i)) else n
-        if end == i:
-            yield i + 1, 0.0, ""
-            return
-        stops = [end, *(b.start() for b in _BLANK.finditer(s, i, end) if b.start() > i)]
-        if len(stops) > 12:
-            stops = stops[:12]
-        for e in stops:
-            v = s[i:e].strip()
-            yield e, UNKNOWN + UNKNOWN_CHAR * len(v), v
-
     @staticmethod
     def _close(s: str, i: int) -> int:
         """The end of the quoted value that begins at i, or 0: the first closing mark before a delimiter, else before a blank."""
@@ -189,7 +199,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 plain[t] += c
         counts.clear()
-        keys = [k for k in plain.keys() | quoted.keys() if 0 < len(k) <= MAX_VALUE]
+        keys = [k for k in plain.keys() | quoted.keys() if k]
         return pa.RecordBatch.from_pydict(
             {
                 "value": pa.array(keys, pa.string()),
@@ -223,19 +233,21 @@ def learn_values(df: DataFrame, column: str, min_support: int = 3, min_share: fl
     floor = max(min_support, math.ceil((total or 0) * min_share))
     rows = counted.where(F.col("plain") + F.col("quoted") >= floor).collect()
     n = {r.value: r.plain + r.quoted for r in rows}
-    kept = {r.value for r in rows if r.quoted or not _composite(r.value, n)}
+    longest = max((len(v.split()) for v in n), default=0)
+    kept = {r.value for r in rows if r.quoted or not _composite(r.value, n, longest)}
     total = max(total or 0, sum(n[v] for v in kept))
     return {v: math.log(n[v] / total) for v in kept}
 
 
-def _composite(value: str, n: dict[str, int]) -> bool:
+def _composite(value: str, n: dict[str, int], longest: int) -> bool:
+    """Whether blanks cut value into values of n, which have at most longest words, each at least as frequent."""
     words = value.split()
     if len(words) < 2 or " ".join(words) != value:
         return False
     ok = [True] + [False] * len(words)
     for j in range(1, len(words) + 1):
         ok[j] = any(
-            ok[i] and j - i < len(words) and n.get(" ".join(words[i:j]), -1) >= n[value] for i in range(max(0, j - 6), j)
+            ok[i] and j - i < len(words) and n.get(" ".join(words[i:j]), -1) >= n[value] for i in range(max(0, j - longest), j)
         )
     return ok[-1]
 
