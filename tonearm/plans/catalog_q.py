@@ -259,6 +259,12 @@ def o07_restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.repartition(8, "genre").orderBy("row_no")
 
 
+@core.add("o07_restore_order_all", f"WITH {CATALOG} SELECT row_no, genre FROM cat")
+def o07_restore_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all rows."""
+    return catalog(spark, sf_dir).select("row_no", "genre").repartition(8, "genre").orderBy("row_no")
+
+
 @core.add(
     "j03_two_left_joins",
     """

@@ -218,6 +218,19 @@ def a03_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.roll_up(sc.groupBy("query", "train").agg(F.sum("cents").alias("score")), members)
 
 
+@core.add(
+    "a03_roll_up_all",
+    f"""
+    WITH {SCORES}, m AS (SELECT DISTINCT seller, train FROM sc), s AS (SELECT query, train, sum(cents) AS score FROM sc GROUP BY query, train)
+    SELECT seller, query, CAST(sum(score) AS BIGINT) AS value, count(*) AS n FROM s JOIN m USING (train) GROUP BY seller, query
+    """,
+)
+def a03_roll_up_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all train ids as members."""
+    sc = scores(spark, sf_dir)
+    return at.roll_up(sc.groupBy("query", "train").agg(F.sum("cents").alias("score")), sc.select("seller", "train").distinct())
+
+
 @core.add(
     "a03_roll_up_mean",
     f"WITH {SCORES} SELECT seller, query, round(avg(CAST(cents AS DOUBLE)), 3) AS value, count(*) AS n FROM sc GROUP BY seller, query",
@@ -244,6 +257,22 @@ def a04_signed_index_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.signed_index_sums(lists, sc.groupBy("query", "train").agg(F.sum("cents").alias("score")), -1.0)
 
 
+@core.add(
+    "a04_signed_index_sums_all",
+    f"""
+    WITH {SCORES}, s AS (SELECT query, train, CAST(sum(cents) AS BIGINT) AS score FROM sc GROUP BY query, train),
+    l AS (SELECT seller, string_agg(CAST(train AS VARCHAR), ' ') AS train_indices FROM (SELECT DISTINCT seller, train FROM sc) GROUP BY seller),
+    i AS (SELECT seller, CAST(unnest(string_split(train_indices, ' ')) AS BIGINT) AS train FROM l)
+    SELECT seller, query, CAST(-sum(score) AS DOUBLE) AS value FROM i JOIN s USING (train) GROUP BY seller, query
+    """,
+)
+def a04_signed_index_sums_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all train ids in the lists."""
+    sc = scores(spark, sf_dir)
+    lists = sc.select("seller", "train").distinct().groupBy("seller").agg(F.array_join(F.collect_list(F.col("train").cast("string")), " ").alias("train_indices"))
+    return at.signed_index_sums(lists, sc.groupBy("query", "train").agg(F.sum("cents").alias("score")), -1.0)
+
+
 SUBSETS = f"""
     {SCORES}, s AS (SELECT query, train, CAST(sum(cents) AS BIGINT) AS score FROM sc GROUP BY query, train),
     m AS (SELECT CAST(train % 7 AS INTEGER) AS model, train FROM (SELECT DISTINCT train FROM sc) UNION ALL

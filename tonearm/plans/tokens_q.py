@@ -85,6 +85,23 @@ def t06_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where(own > 0).select("piece", (F.size(padded) - own).cast("bigint").alias("rests"), own.cast("bigint").alias("events"))
 
 
+@core.add(
+    "t06_pad_all",
+    f"""
+    WITH {SEQUENCE}, k AS (SELECT piece, i, time * 5 AS time, coalesce(lag(time * 5) OVER (PARTITION BY piece ORDER BY i), 0) AS before FROM ev WHERE NOT control),
+    g AS (SELECT piece, time, CAST(greatest(ceil((time - before) / 100.0) - 1, 0) AS BIGINT) AS n FROM k)
+    SELECT piece, CAST(sum(n) AS BIGINT) AS rests, count(*) AS events FROM g GROUP BY piece
+    """,
+)
+def t06_pad_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all events, played five times slower so that there are gaps."""
+    slow = F.transform(F.filter("events", lambda e: ~tk.is_control(e)), lambda e: tk.triple(e["time"] * 5, e["dur"], e["note"]))
+    s = sequences(spark, sf_dir).select("piece", slow.alias("e"))
+    own = F.size("e")
+    padded = tk.pad("e")
+    return s.where(own > 0).select("piece", (F.size(padded) - own).cast("bigint").alias("rests"), own.cast("bigint").alias("events"))
+
+
 @core.add("t07_unpad", f"WITH {SEQUENCE} SELECT piece, {_NUMBERED}, time, dur, note FROM ev WHERE note <> 27512")
 def t07_unpad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events without rests."""
