@@ -12,10 +12,10 @@ TINY = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tonearm.session import local_session
 
-    s = local_session(4, 4, "4g")
+    s = local_session(4, 4, "4g", tmp_path_factory.mktemp("shared").as_uri())
     yield s
     from tonearm.storage import drop_cuts
 

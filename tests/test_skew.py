@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tonearm.operators.skew import chunks, dominant_keys, number_rows, ordered_stats
+from tonearm.operators.skew import chunks, dominant_keys, hot_keys, join_unique, number_rows, ordered_stats
 
 
 def _rows(seed: int, n: int = 3000):
@@ -65,3 +65,24 @@ def test_dominant_keys(spark):
 def test_clashing_columns_are_refused(spark):
     with pytest.raises(ValueError):
         number_rows(spark.createDataFrame([(1, 2)], "k int, row_no int"), ["k"], ["row_no"])
+
+
+def test_a_hot_key_spans_partitions(spark):
+    rows = [(1.0, i % 50, "a" if i % 3 else None) for i in range(5000)] + [(float("nan"), i, "b") for i in range(9)] + [(None, 3, "c")]
+    got = number_rows(spark.createDataFrame(rows, "k double, o int, v string"), ["k"], ["o"]).collect()
+    by = defaultdict(list)
+    for r in got:
+        by["nan" if r.k is not None and r.k != r.k else r.k].append((r.row_no, r.o))
+    assert {k: len(v) for k, v in by.items()} == {1.0: 5000, "nan": 9, None: 1}
+    for pairs in by.values():
+        pairs.sort()
+        assert [p for p, _ in pairs] == list(range(1, len(pairs) + 1)) and [o for _, o in pairs] == sorted(o for _, o in pairs)
+
+
+def test_joins_of_hot_keys(spark):
+    df = spark.createDataFrame([(1, i) for i in range(500)] + [(i, i) for i in range(2, 60)] + [(None, -1)], "k int, o int")
+    table = spark.createDataFrame([(i, f"v{i}") for i in range(0, 40)], "k int, v string")
+    assert [r.k for r in hot_keys(df, ["k"], df.count(), 100).collect()] == [1]
+    for how in ("left", "inner"):
+        want = sorted(map(str, df.join(table, "k", how).select("k", "o", "v").collect()))
+        assert sorted(map(str, join_unique(df, table, "k", how, 100).select("k", "o", "v").collect())) == want

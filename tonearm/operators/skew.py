@@ -1,56 +1,169 @@
 """Per-key results with evenly spread work: exact offset chunking.
 
-Rows are range-partitioned by the order and written once; keys are counted per partition; prefix sums of the counts give
-each (partition, key) its offset; a row's number within its key is the offset plus its rank among the rows of its key in
-its partition. Numbers cut each key into chunks of equal size, chunks are processed independently, and the few ordered
-chunk states of a key are merged. No task ever holds more than a partition's or a chunk's rows of a key, however hot.
+Rows are range-partitioned by key and order, so that a key fills whole partitions of its own or parts of neighbouring ones.
+Each partition numbers its rows within their keys in one pass and is written once; of its counts only those of its first and
+its last key matter to others, and their prefix sums over the partitions give each partition the offset of its first key.
+Numbers cut each key into chunks of equal size, every chunk yields states that hold their boundary rows, and the states of a
+key are merged in order. Rows are shuffled once, no task holds more than a partition's rows of a key, however hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonearm.storage import cut
 
+#: A key of more rows than this, and than the same share of all rows, counts as hot; so there are at most HOT_SHARE of them.
+HOT_ROWS, HOT_SHARE = 100_000, 1000
+
 
 def _clean(df: DataFrame, *names: str) -> None:
     if taken := set(names) & set(df.columns):
         raise ValueError(f"columns {sorted(taken)} are used by the operator; rename them first")
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], number: str = "row_no") -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], total: int, floor: int = HOT_ROWS) -> DataFrame:
+    """(keys, __rows, __bound) of the keys with more rows than floor and than a HOT_SHARE-th of total, the rows of df: at most
+    HOT_SHARE keys, whatever the data. __bound is the larger of the two. Counts are summed in the map tasks first.
+    """
+    bound = max(floor, -(-total // HOT_SHARE))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return counts.where(F.col("__rows") > bound).withColumn("__bound", F.lit(bound).cast("bigint"))
+
+
+def join_unique(df: DataFrame, table: DataFrame, key: str, how: str = "left", floor: int = HOT_ROWS) -> DataFrame:
+    """df joined to a table that has each key once, without a task for all rows of a hot key: the at most HOT_SHARE hot keys'
+    rows of the table are broadcast, the other rows meet in a shuffle in which no key has more than the bound.
+
+    df should be a scan (a cut table), as its keys are counted first. Null keys match nothing.
+    """
+    total = df.count()
+    if total <= floor:
+        return df.join(table, key, how)
+    hot = cut(hot_keys(df.where(F.col(key).isNotNull()), [key], total, floor).select(key), "hot")
+    mark = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    marked = df.join(mark, key, "left")
+    few = table.join(F.broadcast(hot), key, "left_semi")
+    one = marked.where("__hot").drop("__hot").join(F.broadcast(few), key, how)
+    rest = marked.where("__hot is null").drop("__hot").join(table, key, how)
+    return one.unionByName(rest)
+
+
+def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two arrays of one type differ; nulls, and NaNs, are equal to each other."""
+    if pa.types.is_nested(a.type):
+        return np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
+    if pa.types.is_null(a.type):
+        return np.zeros(len(a), bool)
+    same = pc.fill_null(pc.equal(a, b), False)
+    same = pc.or_(same, pc.and_(pc.is_null(a, nan_is_null=True), pc.is_null(b, nan_is_null=True)))
+    if pa.types.is_floating(a.type):
+        same = pc.and_(same, pc.equal(pc.is_null(a), pc.is_null(b)))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
+def _in_partition(keys: int, lagged: Sequence[int], names: list[str]):
+    """Adds to sorted rows, whose first columns are the keys, their number within key and partition, and the values of the
+    lagged columns in the row of the key before them.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        run = 0
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = last is None
+            before = []
+            for i in range(b.num_columns):
+                if i < keys or i in lagged:
+                    c = b.column(i)
+                    first = c.slice(0, 1) if last is None else last.column(i)
+                    before.append((i, pa.concat_arrays([first, c.slice(0, n - 1)])))
+            for i, prev in before:
+                if i < keys:
+                    new |= _differs(b.column(i), prev)
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            number = np.where(start >= 0, at - start + 1, at + 1 + run)
+            gone = pa.array(new)
+            held = dict(before)
+            lags = [pc.if_else(gone, pa.scalar(None, b.column(i).type), held[i]) for i in lagged]
+            run, last = int(number[-1]), b.slice(n - 1, 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number.astype(np.int64)), *lags], names)
+
+    return rows
+
+
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], number: str = "row_no", lagged: Sequence[str] = ()
+) -> DataFrame:
     """All rows of df with their exact number (bigint from 1) within their key by the order.
 
-    Null keys form a group like any other. Rows that tie in the order are numbered by a hash of their columns, and rows that
-    are the same in every column in any order, each once, so that a recomputed task can at most swap what can't be told
-    apart. An empty df gives an empty result. The rows are written once to the shared folder, since the partition ids must not change
-    between counting and numbering.
+    lagged: columns whose value in the partition's row of the key before is added as __lag_<column> (null where there is none),
+    with the partition, __pid, and the row's number in it, __local. Null keys form a group like any other. Rows that tie in the order
+    are numbered by a hash of their columns, and rows that are the same in every column in any order, each once, so that a
+    recomputed task can at most swap what can't be told apart. An empty df gives an empty result. The rows are written once to
+    the shared folder, since the partitions must not change between counting and numbering; the offsets are a row a partition.
     """
-    _clean(df, number, "__pid", "__before", "__hash", "__tie")
+    _clean(df, number, "__pid", "__before", "__hash", "__tie", "__local", *(f"__lag_{c}" for c in lagged))
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    content = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if not dict(df.dtypes)[c].startswith("map")))
+    kinds = dict(df.dtypes)
+    content = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if "map<" not in kinds[c]))
+    by = [*(F.col(k).asc() for k in keys), *order, F.col("__hash"), F.col("__tie")]
     tied = df.withColumns({"__hash": content, "__tie": F.monotonically_increasing_id()})
-    rows = cut(tied.repartitionByRange(parts, *order, F.col("__hash"), F.col("__tie")).withColumn("__pid", F.spark_partition_id()), "rows")
-    counts = rows.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    right = offsets.select(F.col("__pid").alias("__p"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__before")
-    same = F.col("__pid") == F.col("__p")
+    ranged = tied.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__pid", F.spark_partition_id())
+    cols = [*keys, *(c for c in df.columns if c not in keys), "__pid"]
+    ranged = ranged.select(*(F.col(f"`{c}`") for c in cols))
+    schema = T.StructType([*ranged.schema.fields, T.StructField("__local", T.LongType())])
+    for c in lagged:
+        schema = schema.add(T.StructField(f"__lag_{c}", df.schema[c].dataType))
+    rows = cut(ranged.mapInArrow(_in_partition(len(keys), [cols.index(c) for c in lagged], schema.fieldNames()), schema), "rows")
+    offsets = _offsets(rows, keys)
+    first = F.lit(True)
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    place = Window.partitionBy("__pid", *keys).orderBy(*order, "__hash", "__tie")
-    numbered = rows.join(right, same).withColumn(number, F.col("__before") + F.row_number().over(place))
-    return numbered.select(*df.columns, number)
-
-
-def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk_rows: int = 50_000) -> DataFrame:
+        first = first & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = rows.join(F.broadcast(offsets), "__pid", "left")
+    joined = joined.withColumn(number, F.col("__local") + F.when(F.coalesce(first, F.lit(False)), F.coalesce("__before", F.lit(0))).otherwise(0))
+    extra = ["__pid", "__local", *(f"__lag_{c}" for c in lagged)] if lagged else []
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), number, *extra)
+
+
+def _offsets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(__pid, __k0.., __before): of the partitions whose first key began in an earlier one, that key and its rows before."""
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    ends = F.struct(*named, F.col("__local").alias("n"))
+    per = rows.groupBy("__pid").agg(F.min(ends).alias("a"), F.max(ends).alias("z")).orderBy("__pid").collect()
+    out, open_key, held = [], (), 0
+
+    def same(a: tuple, z: tuple) -> bool:
+        return len(a) == len(z) and all(x == y or (x != x and y != y) for x, y in zip(a, z))
+
+    for r in per:
+        a, z = tuple(r.a)[:-1], tuple(r.z)[:-1]
+        before = held if same(a, open_key) else 0
+        if before:
+            out.append((r["__pid"], *a, before))
+        open_key, held = z, r.z.n + (before if same(a, z) else 0)
+    fields = [T.StructField("__pid", T.IntegerType())]
+    fields += [T.StructField(f"__k{i}", rows.schema[k].dataType) for i, k in enumerate(keys)]
+    return rows.sparkSession.createDataFrame(out, T.StructType([*fields, T.StructField("__before", T.LongType())]))
+
+
+def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk_rows: int = 50_000, lagged: Sequence[str] = ()) -> DataFrame:
     """Rows of df with row_no within their key and chunk_no, the number of their equal-sized chunk of the key (from 0)."""
     _clean(df, "chunk_no")
-    return number_rows(df, keys, order).withColumn("chunk_no", F.floor((F.col("row_no") - 1) / chunk_rows))
+    return number_rows(df, keys, order, lagged=lagged).withColumn("chunk_no", F.floor((F.col("row_no") - 1) / chunk_rows))
 
 
 def ordered_stats(
@@ -64,23 +177,24 @@ def ordered_stats(
     """Per key, over its rows by order: n_rows, n_chunks, first_at, last_at, max_gap (largest step of a numeric order),
     and, if asked for, n_changes (times that value differs from that of the row before) and total_amount.
 
-    Each chunk yields one state; a state holds its boundary rows, so that steps and changes across chunks are counted when
-    the states of a key are merged in order. Null order values come first and make no gap; null keys form a group; null
-    values are equal to each other.
+    Each chunk yields a state in each partition that it touches, summed in the map tasks; a state holds its boundary rows, so
+    that steps and changes across states are counted when the states of a key are merged in order. Null order values come
+    first and make no gap; null keys form a group; null values are equal to each other.
     """
     cols = dict.fromkeys(c for c in (key, order, value, amount) if c)
-    rows = chunks(df.select(*cols), [key], [F.col(order).asc_nulls_first()], chunk_rows)
-    inside = Window.partitionBy(key, "chunk_no").orderBy("row_no")
-    rows = rows.withColumn("__gap", F.col(order) - F.lag(order).over(inside))
+    lagged = [order, value] if value and value != order else [order]
+    rows = chunks(df.select(*cols), [key], [F.col(order).asc_nulls_first()], chunk_rows, lagged)
+    inner = (F.col("__local") > 1) & ((F.col("row_no") - 1) % chunk_rows > 0)
+    rows = rows.withColumn("__gap", F.when(inner, F.col(order) - F.col(f"__lag_{order}")))
     state = [
         F.count(F.lit(1)).alias("n"),
         F.min(order).alias("first_at"),
         F.max(order).alias("last_at"),
         F.max("__gap").alias("gap"),
+        F.min("row_no").alias("first_no"),
     ]
     if value:
-        changed = (F.col("row_no") > F.min("row_no").over(inside)) & ~F.lag(value).over(inside).eqNullSafe(F.col(value))
-        rows = rows.withColumn("__changed", changed.cast("bigint"))
+        rows = rows.withColumn("__changed", (inner & ~F.col(f"__lag_{value}").eqNullSafe(F.col(value))).cast("bigint"))
         state += [
             F.sum("__changed").alias("changes"),
             F.min_by(F.struct(value), "row_no").alias("first_value"),
@@ -88,18 +202,18 @@ def ordered_stats(
         ]
     if amount:
         state.append(F.sum(F.col(amount)).alias("amount"))
-    states = rows.groupBy(key, "chunk_no").agg(*state)
-    along = Window.partitionBy(key).orderBy("chunk_no")
+    states = rows.groupBy(key, "chunk_no", "__pid").agg(*state)
+    along = Window.partitionBy(key).orderBy("first_no")
     states = states.withColumn("bridge", F.col("first_at") - F.lag("last_at").over(along))
     out = [
         F.sum("n").alias("n_rows"),
-        F.count(F.lit(1)).alias("n_chunks"),
+        F.count_distinct("chunk_no").alias("n_chunks"),
         F.min("first_at").alias("first_at"),
         F.max("last_at").alias("last_at"),
         F.greatest(F.max("gap"), F.max("bridge")).alias("max_gap"),
     ]
     if value:
-        turned = (F.col("chunk_no") > 0) & ~F.lag("last_value").over(along).eqNullSafe(F.col("first_value"))
+        turned = (F.col("first_no") > 1) & ~F.lag("last_value").over(along).eqNullSafe(F.col("first_value"))
         states = states.withColumn("turned", turned.cast("bigint"))
         out.append((F.sum("changes") + F.sum("turned")).alias("n_changes"))
     if amount:

@@ -16,11 +16,13 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and benches; clusters bring their own."""
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and benches; clusters bring their own. shared: the folder of cut tables."""
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
     builder = SparkSession.builder.master(f"local[{cores}]").config(map=DEFAULTS)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     session = builder.config("spark.driver.memory", memory).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
