@@ -98,3 +98,25 @@ def test_nothing(spark):
     assert lk.find_leaks(some, none, "id", "text", "id", "text").count() == 0
     with pytest.raises(ValueError):
         lk.find_leaks(some, some, "id", "text", "id", "text", min_words=4, k=8)
+
+
+def test_repeated_words_do_not_multiply():
+    one, other = lk.HASHES.of(["spam"]), lk.HASHES.of(["ham", "egg", "tea"])
+    items = lk.Items([1, 2, 3, 4], [np.repeat(one, 2000), np.tile(other, 700), np.repeat(one, 11), np.tile(np.concatenate([other, one]), 9)], 8, 12)
+    docs = [np.repeat(one, 1_000_000), np.tile(other, 300_000), np.concatenate([other, np.repeat(one, 12)]), np.repeat(one, 11), np.tile(np.concatenate([other, one]), 3)]
+    doc, item, n, first = items.hits(docs)
+    assert sorted(zip(doc.tolist(), item.tolist())) == [(0, 1), (1, 2), (2, 1), (4, 4)]
+    assert dict(zip(doc.tolist(), first.tolist())) == {0: 0, 1: 0, 2: 3, 4: 0} and n.min() > 0 and n[0] > 900_000
+
+
+def test_periods_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for i in range(60):
+        unit = [rng.choice("abcd") for _ in range(rng.randint(1, 5))]
+        texts.append((i, " ".join((unit * 40)[: rng.randint(8, 60)] + [rng.choice("abcd") for _ in range(rng.randint(0, 20))])))
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    want = _brute(texts, texts)
+    for block in (10**6, 50):
+        got = lk.find_leaks(df, df, "id", "text", "id", "text", block_words=block).collect()
+        assert {(r.doc, r.item) for r in got} == want and len(got) == len(want)

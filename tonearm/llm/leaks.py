@@ -4,8 +4,10 @@ Of every window of consecutive k-gram hashes the smallest is kept as a fingerpri
 With min_words = k + window - 1, any shared run of min_words words holds a whole window, in which both sides keep the same
 fingerprint, so no such run is missed. Matching fingerprints are extended word by word; runs of min_words words count.
 
-The items are a stated query set: they are held as sorted arrays of fingerprints and word hashes, in blocks of a fixed
-number of words, and each block meets all documents in one scan without a shuffle of documents. Only the hits leave a task.
+The items are a stated query set: up to a fixed number of words they are held as sorted arrays of fingerprints and word
+hashes, which meet all documents in one scan without a shuffle. Beyond it the fingerprints of both sides are joined, and of
+the documents' only those that a Bloom filter lets pass. Either way the documents are read once. Fingerprints that stand in
+equal surroundings in one text match alike and are compared once, so that repeated words don't multiply.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonearm.llm.overlap import _may_hold, bloom
 from tonearm.llm.reading import HASHES, words
 from tonearm.storage import cut
 
 BLOCK_WORDS = 2_000_000
 ITEM_WORDS = 100_000
+SLICE = 1 << 16
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -56,66 +60,100 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+def _around(text: np.ndarray, p: np.ndarray, k: int, t: int) -> np.ndarray:
+    """The words around each fingerprint: t before it, its own k, and t after it. text is padded with t words at both ends."""
+    return text[p[:, None] + np.arange(-t, k + t)[None]]
+
+
+def _digest(text: np.ndarray, p: np.ndarray, k: int, t: int) -> np.ndarray:
+    """A 64-bit hash of the words around each fingerprint."""
+    h = np.zeros(len(p), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(-t, k + t):
+            h = (h ^ (h >> np.uint64(31))) * _B + text[p + i]
+        return (h ^ (h >> np.uint64(32))) * _MIX
+
+
+def _runs(a: np.ndarray, b: np.ndarray, k: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the run before the fingerprint, words of the run) of paired surroundings; 0 words if the fingerprints differ."""
+    same = a == b
+    left = np.logical_and.accumulate(same[:, t - 1 :: -1], axis=1).sum(1)
+    right = np.logical_and.accumulate(same[:, t + k :], axis=1).sum(1)
+    return left, np.where(same[:, t : t + k].all(1), left + k + right, 0)
+
+
+class Prints:
+    """Fingerprints of texts, one of those that stand in equal surroundings in one text, which match alike."""
+
+    def __init__(self, texts: list[np.ndarray], k: int, min_words: int, filler: int, keep=None):
+        t = min_words
+        pad = np.full(t, filler, np.uint64)
+        parts, starts, at = [pad], [], t
+        for w in texts:
+            starts.append(at)
+            parts += [w, pad]
+            at += len(w) + t
+        self.words = np.concatenate(parts)
+        h = gram_hashes(self.words, k)
+        p = winnow(h, t - k + 1)
+        if keep is not None:
+            p = p[keep(h[p])]
+        begins = np.array([*starts, at], np.int64)
+        owner = np.searchsorted(begins, p, "right") - 1
+        inside = (owner >= 0) & (p + k <= begins[np.minimum(owner + 1, len(texts))] - t)
+        p, owner = p[inside], owner[inside]
+        context = _digest(self.words, p, k, t)
+        with np.errstate(over="ignore"):
+            _, first, counts = np.unique(context ^ (owner.astype(np.uint64) * _MIX), return_index=True, return_counts=True)
+        self.place, self.owner, self.count = p[first], owner[first], counts
+        self.hash = h[self.place]
+        self.start = self.place - begins[self.owner]
+
+
 class Items:
     """Fingerprints of a block of items, sorted, with the words around them."""
 
     def __init__(self, ids: list[int], texts: list[np.ndarray], k: int, min_words: int):
-        self.k, self.window, self.min_words = k, min_words - k + 1, min_words
-        pad = np.full(min_words, np.iinfo(np.uint64).max, np.uint64)
-        parts, prints, places, owners, at = [pad], [], [], [], len(pad)
-        for j, w in enumerate(texts):
-            h = gram_hashes(w, k)
-            p = winnow(h, self.window)
-            prints.append(h[p])
-            places.append(p + at)
-            owners.append(np.full(len(p), j))
-            parts += [w, pad]
-            at += len(w) + len(pad)
+        self.k, self.min_words = k, min_words
         self.ids = np.array(ids, np.int64)
-        self.words = np.concatenate(parts)
-        prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
-        order = np.argsort(prints, kind="stable")
-        self.prints = prints[order]
-        self.places = (np.concatenate(places) if places else np.empty(0, np.int64))[order]
-        self.owners = (np.concatenate(owners) if owners else np.empty(0, np.int64))[order]
+        found = Prints(texts, k, min_words, np.iinfo(np.uint64).max)
+        order = np.argsort(found.hash, kind="stable")
+        self.words, self.prints = found.words, found.hash[order]
+        self.places, self.owners = found.place[order], found.owner[order]
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash is a fingerprint of some item."""
+        if not len(self.prints):
+            return np.zeros(len(h), bool)
+        return self.prints[np.minimum(np.searchsorted(self.prints, h), len(self.prints) - 1)] == h
 
     def hits(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document index, item id, word position of the run in the document, run length) of the runs of min_words and more
-        words around a shared fingerprint; lengths are counted up to min_words on either side.
+        """(document index, item id, fingerprints of the document on shared runs, first word of the first run) of the documents
+        and items that share a run of min_words words. Pairs of fingerprints are compared in slices of bounded size.
         """
         t, k = self.min_words, self.k
-        pad = np.zeros(t, np.uint64)
-        parts, starts, at = [pad], [], t
-        for w in docs:
-            starts.append(at)
-            parts += [w, pad]
-            at += len(w) + t
-        text = np.concatenate(parts)
-        h = gram_hashes(text, k)
-        p = winnow(h, self.window)
-        lo = np.searchsorted(self.prints, h[p], "left")
-        n = np.searchsorted(self.prints, h[p], "right") - lo
-        p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
-        entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-        p, q, owner = np.repeat(p, n), self.places[entry], self.owners[entry]
-        same = np.ones(len(p), bool)
-        for i in range(k):
-            same &= text[p + i] == self.words[q + i]
-        p, q, owner = p[same], q[same], owner[same]
-        left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        on = np.ones(len(p), bool)
-        for i in range(1, t + 1):
-            on &= text[np.maximum(p - i, 0)] == self.words[np.maximum(q - i, 0)]
-            left += on
-        on = np.ones(len(p), bool)
-        for i in range(k, k + t):
-            on &= text[np.minimum(p + i, len(text) - 1)] == self.words[np.minimum(q + i, len(self.words) - 1)]
-            right += on
-        run = left + k + right
-        good = run >= t
-        p, owner, run, left = p[good], owner[good], run[good], left[good]
-        doc = np.searchsorted(np.array(starts), p, "right") - 1
-        return doc, self.ids[owner], p - left - np.array(starts, np.int64)[doc], run
+        d = Prints(docs, k, t, 0, self.known)
+        lo = np.searchsorted(self.prints, d.hash, "left")
+        n = np.searchsorted(self.prints, d.hash, "right") - lo
+        upto = np.cumsum(n)
+        found: dict[tuple[int, int], int] = {}
+        for a in range(0, int(upto[-1]) if len(upto) else 0, SLICE):
+            flat = np.arange(a, min(a + SLICE, int(upto[-1])))
+            i = np.searchsorted(upto, flat, "right")
+            entry = lo[i] + flat - (upto[i] - n[i])
+            left, run = _runs(_around(d.words, d.place[i], k, t), _around(self.words, self.places[entry], k, t), k, t)
+            good = np.flatnonzero(run >= t)
+            for x, o, at in zip(i[good].tolist(), self.owners[entry[good]].tolist(), (d.start[i[good]] - left[good]).tolist()):
+                if at < found.get((x, o), at + 1):
+                    found[x, o] = at
+        pairs: dict[tuple[int, int], list[int]] = {}
+        for (x, o), at in found.items():
+            held = pairs.setdefault((int(d.owner[x]), int(self.ids[o])), [0, at])
+            held[0] += int(d.count[x])
+            held[1] = min(held[1], at)
+        keys = list(pairs)
+        column = lambda values: np.array(values, np.int64)
+        return column([x for x, _ in keys]), column([o for _, o in keys]), column([pairs[x][0] for x in keys]), column([pairs[x][1] for x in keys])
 
 
 def _item_rows(min_words: int):
@@ -136,6 +174,8 @@ def _item_rows(min_words: int):
     return rows
 
 
+_HIT_NAMES = ["doc", "item", "n_hits", "first_word"]
+_HIT = "doc bigint, item bigint, n_hits bigint, first_word bigint"
 _HELD: dict[str, Items] = {}
 
 
@@ -144,29 +184,74 @@ def _doc_hits(key: str, block, k: int, min_words: int):
         if key not in _HELD:
             _HELD.clear()
             _HELD[key] = Items(*block.value, k, min_words)
-        items = _HELD[key]
+        for ids, texts in _batched(batches):
+            doc, item, n, first = _HELD[key].hits(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc]), pa.array(item), pa.array(n), pa.array(first)], _HIT_NAMES)
+
+    return rows
+
+
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Ids and words of the texts of batches, about a million words at a time; null ids and texts are left out."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for i, s in zip(b.column(0), b.column(1)):
+            if i.is_valid and s.is_valid:
+                w = HASHES.of(words(s.as_py()))
+                ids.append(i.as_py())
+                texts.append(w)
+                size += len(w)
+                if size > 1_000_000:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
-        def found(ids: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
-            doc, item, at, run = items.hits(texts)
-            return pa.RecordBatch.from_pydict(
-                {"doc": pa.array(np.array(ids, np.int64)[doc]), "item": pa.array(item), "word_at": pa.array(at), "run": pa.array(run)}
+
+def _joined(source: DataFrame, hashed: DataFrame, k: int, t: int) -> DataFrame:
+    """The hits of items too many to be sent: fingerprints of both sides, with the words around them, meet in a join.
+
+    The documents are read once; of their fingerprints only those that a Bloom filter of the items' lets pass are shuffled.
+    """
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), [x.values.to_numpy().view(np.uint64) for x in b.column(1)]
+            if not ids:
+                continue
+            f = Prints(texts, k, t, np.iinfo(np.uint64).max)
+            around = [x.tobytes() for x in _around(f.words, f.place, k, t)] if len(f.place) else []
+            yield pa.RecordBatch.from_arrays([pa.array(f.hash.view(np.int64)), pa.array(np.array(ids, np.int64)[f.owner]), pa.array(around, pa.binary())], ["print", "item", "wa"])
+
+    entries = cut(hashed.select("item", "w").mapInArrow(of_items, "print bigint, item bigint, wa binary"), "prints")
+    sent = source.sparkSession.sparkContext.broadcast(bloom(entries.select("print"), entries.count()))
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _batched(batches):
+            f = Prints(texts, k, t, 0, lambda h: _may_hold(sent.value, h))
+            around = [x.tobytes() for x in _around(f.words, f.place, k, t)] if len(f.place) else []
+            own = pa.array(np.array(ids, np.int64)[f.owner] if len(f.owner) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(f.hash.view(np.int64)), own, pa.array(f.start.astype(np.int64)), pa.array(f.count.astype(np.int64)), pa.array(around, pa.binary())],
+                ["print", "doc", "at", "n", "wd"],
             )
 
-        ids, texts, size = [], [], 0
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, s in zip(b.column(0), b.column(1)):
-                if i.is_valid and s.is_valid:
-                    w = HASHES.of(words(s.as_py()))
-                    ids.append(i.as_py())
-                    texts.append(w)
-                    size += len(w)
-                    if size > 1_000_000:
-                        yield found(ids, texts)
-                        ids, texts, size = [], [], 0
-        if ids:
-            yield found(ids, texts)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                a, z = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in ("wd", "wa"))
+                left, run = _runs(a, z, k, t)
+                good = np.flatnonzero(run >= t)
+                held = part.take(pa.array(good))
+                first = held.column("at").to_numpy() - left[good]
+                yield pa.RecordBatch.from_arrays([held.column("doc"), held.column("item"), held.column("at"), held.column("n"), pa.array(first)], ["doc", "item", "at", "n", "first"])
 
-    return rows
+    prints = source.mapInArrow(of_docs, "print bigint, doc bigint, at bigint, n bigint, wd binary")
+    met = prints.join(entries, "print").select("doc", "item", "at", "n", "wd", "wa")
+    runs = met.mapInArrow(verify, "doc bigint, item bigint, at bigint, n bigint, first bigint")
+    runs = runs.groupBy("doc", "item", "at").agg(F.max("n").alias("n_hits"), F.min("first").alias("first_word"))
+    return runs.select("doc", "item", "n_hits", "first_word")
 
 
 def find_leaks(
@@ -182,10 +267,11 @@ def find_leaks(
 ) -> DataFrame:
     """(doc, item, n_hits, first_word) for every document and item that share min_words consecutive words.
 
-    n_hits: fingerprints on shared runs; first_word: the first run's word position in the document. Ids are bigint. Null ids
-    and null or empty texts give no row; items of fewer than min_words words can't leak; repeated rows of either side count
-    once for the pair, only n_hits tells; texts of any length are read whole. Copies of an item are compared once and
-    expanded at the end. Items beyond block_words words in all are processed in further scans of the documents.
+    n_hits: the document's fingerprints on shared runs; first_word: the first run's word position in the document. Ids are
+    bigint. Null ids and null or empty texts give no row; items of fewer than min_words words can't leak; repeated rows of
+    either side count once for the pair, only n_hits tells; texts of any length are read whole, and repeated words in them
+    cost no more than others. Copies of an item are compared once and expanded at the end. Items of up to block_words words
+    in all are sent to the documents; fingerprints of more meet those of the documents in a join, with the same result.
     """
     if not 0 < k <= min_words:
         raise ValueError("k must be between 1 and min_words")
@@ -198,15 +284,12 @@ def find_leaks(
     unique = texts.groupBy("c").agg(F.min("i").alias("i"), F.min("s").alias("s")).select("i", "s")
     hashed = cut(unique.mapInArrow(_item_rows(min_words), "item bigint, w array<bigint>, n bigint"), "items")
     total = hashed.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
     source = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).alias("s"))
-    out = None
-    for b in range(blocks):
-        part = hashed if blocks == 1 else hashed.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        rows = part.select("item", "w").orderBy("item").collect()
+    if total > block_words:
+        out = _joined(source, hashed, k, min_words)
+    else:
+        rows = hashed.select("item", "w").orderBy("item").collect()
         held = ([r.item for r in rows], [np.array(r.w, np.int64).view(np.uint64) for r in rows])
-        sent = spark.sparkContext.broadcast(held)
-        hits = source.mapInArrow(_doc_hits(uuid.uuid4().hex, sent, k, min_words), "doc bigint, item bigint, word_at bigint, run bigint")
-        out = hits if out is None else out.union(hits)
-    pairs = out.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_hits"), F.min("word_at").alias("first_word"))
+        out = source.mapInArrow(_doc_hits(uuid.uuid4().hex, spark.sparkContext.broadcast(held), k, min_words), _HIT)
+    pairs = out.groupBy("doc", "item").agg(F.sum("n_hits").alias("n_hits"), F.min("first_word").alias("first_word"))
     return pairs.join(owners, "item").select("doc", F.col("owner").alias("item"), "n_hits", "first_word")
