@@ -61,3 +61,7 @@ def test_best_are_chosen_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     plan = cp.nested_caps(df, [cp.Cap(["k"], 25)], [F.col("id").asc()])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_shares_are_taken_as_decimals():
+    assert [Cap(["k"], max_share=s).rows(100) for s in (0.29, 0.57, 0.58, 1.0, 0.001)] == [29, 57, 58, 100, 1]

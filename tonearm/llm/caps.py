@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ PUSHED_RANK = 900
 
 @dataclass(frozen=True)
 class Cap:
-    """At most max_count records, and at most max_share of all input records (at least one), for each value of keys."""
+    """At most max_count records, and at most max_share (taken as the decimal it is written as) of all input records, at least
+    one, for each value of keys.
+    """
 
     keys: Sequence[str]
     max_count: int | None = None
@@ -31,7 +34,7 @@ class Cap:
         """The cap in records."""
         given = [self.max_count] if self.max_count is not None else []
         if self.max_share is not None:
-            given.append(max(1, int(self.max_share * total)))
+            given.append(max(1, int(Fraction(str(self.max_share)) * total)))
         if not given:
             raise ValueError("a cap needs max_count or max_share")
         return min(given)
@@ -66,8 +69,7 @@ def nested_caps(df: DataFrame, caps: Sequence[Cap], order: Sequence[Column]) ->
             place = Window.partitionBy(*cap.keys, "__alone").orderBy(*order)
             ranked = alone.withColumn("__rank", F.row_number().over(place))
         else:
-            by = [*(F.col(k).asc() for k in cap.keys), F.col("__alone").asc()]
-            ranked = number_rows(alone, [*cap.keys, "__alone"], [*by, *order], number="__rank")
+            ranked = number_rows(alone, [*cap.keys, "__alone"], order, number="__rank")
         kept = ranked.where(F.col("__rank") <= limit).drop("__rank", "__alone")
     return kept
 

@@ -98,6 +98,29 @@ def p2_document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@llm.add(
+    "p2_three_levels",
+    f"""
+    WITH r AS (SELECT line_no, batch_id, {_NO.format("artist_id")} AS artist_no, {_NO.format("album_id")} AS album_no,
+                      CASE WHEN quality >= 0 THEN quality END AS q FROM autotagging),
+    a AS (SELECT *, batch_id IS NULL OR artist_no IS NULL OR album_no IS NULL AS out3, batch_id IS NULL OR artist_no IS NULL AS out2, batch_id IS NULL AS out1 FROM r),
+    b AS (SELECT * FROM a QUALIFY out3 OR row_number() OVER (PARTITION BY batch_id, artist_no, album_no, out3 ORDER BY q DESC NULLS LAST, line_no) <= 2),
+    c AS (SELECT * FROM b QUALIFY out2 OR row_number() OVER (PARTITION BY batch_id, artist_no, out2 ORDER BY q DESC NULLS LAST, line_no) <= 20),
+    d AS (SELECT * FROM c QUALIFY out1 OR row_number() OVER (PARTITION BY batch_id, out1 ORDER BY q DESC NULLS LAST, line_no) <=
+              greatest(1, CAST(floor(0.07 * (SELECT count(*) FROM r)) AS BIGINT)))
+    SELECT line_no, batch_id, artist_no, album_no FROM d
+    """,
+)
+def p2_three_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each batch at most 2 rows of an artist's album, 20 of an artist and 7 % of all rows, the best by quality."""
+    rows = table(spark, sf_dir, "autotagging").select(
+        "line_no", "batch_id", digits_number("artist_id").alias("artist_no"), digits_number("album_id").alias("album_no"), "quality"
+    )
+    caps = [Cap(["batch_id", "artist_no", "album_no"], 2), Cap(["batch_id", "artist_no"], 20), Cap(["batch_id"], max_share=0.07)]
+    kept = nested_caps(rows, caps, [quality_order("quality"), F.col("line_no").asc()])
+    return kept.select("line_no", "batch_id", "artist_no", "album_no")
+
+
 def clean_source(c: str):
     """One spelling of a source: lower case, with underscores; blank is null."""
     clean = F.regexp_replace(F.lower(F.trim(F.col(c))), "[- ]+", "_")
