@@ -136,12 +136,13 @@ def split_text(text: str, limit: int, overlap: int, tokenizer: Tokenizer) -> lis
 
 
 def with_pieces(
-    df: DataFrame, text: str, limit: int = 1024, overlap: int = 64, tokenizer: str = DEFAULT, name: str = "pieces"
+    df: DataFrame, text: str, limit: int = 1024, overlap: int = 64, tokenizer: str = DEFAULT, name: str = "pieces", count_short: bool = False
 ) -> DataFrame:
     """df with an array of pieces (piece_no, start, stop, n_tokens, boundary); start and stop count characters from 0.
 
-    Null texts get null, empty texts one empty piece of no tokens. Texts that are short enough by their bytes are one piece
-    whose n_tokens is null, since they needn't be tokenized for being cut. A column called name is replaced.
+    Null texts get null, empty texts one empty piece of no tokens. Texts that are short enough by their bytes needn't be
+    tokenized for being cut; without count_short they aren't, and their one piece's n_tokens is null. A column called name is
+    replaced.
     """
 
     @F.arrow_udf(PIECE)
@@ -153,7 +154,7 @@ def with_pieces(
             out.append([dict(zip(fields, p)) for p in split_text(s.as_py(), limit, overlap, tok)] if s.is_valid else None)
         return pa.array(out, pa.list_(pa.struct([("piece_no", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n_tokens", pa.int32()), ("boundary", pa.string())])))
 
-    short = limit if load(tokenizer).least_bytes else 0
+    short = 0 if count_short or not load(tokenizer).least_bytes else limit
     long = F.when(F.octet_length(text) > short, F.col(text))
     one = F.array(
         F.struct(
@@ -168,11 +169,13 @@ def with_pieces(
 
 
 def split_items(
-    df: DataFrame, text: str, limit: int = 1024, overlap: int = 64, tokenizer: str = DEFAULT, piece: str = "piece_text"
+    df: DataFrame, text: str, limit: int = 1024, overlap: int = 64, tokenizer: str = DEFAULT, piece: str = "piece_text", count_short: bool = False
 ) -> DataFrame:
-    """One row per piece: df's columns without text, then piece_no, start, stop, n_tokens, boundary and the piece's text."""
+    """One row per piece: df's columns without text, then piece_no, start, stop, n_tokens, boundary and the piece's text;
+    n_tokens of short texts only with count_short.
+    """
     rest = [c for c in df.columns if c not in (text, "__pieces", "__p")]
-    cutted = with_pieces(df, text, limit, overlap, tokenizer, "__pieces").withColumn("__p", F.explode("__pieces"))
+    cutted = with_pieces(df, text, limit, overlap, tokenizer, "__pieces", count_short).withColumn("__p", F.explode("__pieces"))
     return cutted.select(
         *(F.col(f"`{c}`") for c in rest),
         "__p.*",

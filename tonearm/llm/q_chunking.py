@@ -22,4 +22,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm.add("p9_pieces")
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in pieces of at most 1,024 tokens that overlap by up to 64."""
-    return split_items(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", LIMIT, OVERLAP)
+    return split_items(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", LIMIT, OVERLAP, count_short=True)
