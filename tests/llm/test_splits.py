@@ -159,3 +159,14 @@ def test_pairs_in_blocks(spark):
     rows = [(i, i % 3) for i in range(100)] + [(500, 9)]
     got = sorted((r.a, r.b) for r in sp.pairs_within(spark.createDataFrame(rows, "node bigint, component bigint"), 7).collect())
     assert got == sorted((a, b) for a in range(100) for b in range(a + 1, 100) if a % 3 == b % 3)
+
+
+def test_hot_values_and_giant_components_change_nothing(spark):
+    rng = random.Random(11)
+    rows = [(i, 1) for i in range(120)] + [(rng.randrange(300), rng.randrange(2, 90)) for _ in range(260)] + [(None, 1), (5, None)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint")
+    want = {r.node: r.component for r in sp.components(sp.link_edges(df, "a", "b")).collect()}
+    edges = sp.link_edges(df, "a", "b", floor=7)
+    degree = {r.v: r["count"] for r in edges.groupBy("v").count().collect()}
+    assert max(degree.values()) < 120
+    assert {r.node: r.component for r in sp.components(edges, floor=7).collect()} == want

@@ -14,18 +14,25 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonearm.operators.skew import HOT_ROWS, hot_keys, join_unique
 from tonearm.storage import cut
 
 QUARANTINE = "quarantine"
-SALTS = 32
 
 
-def link_edges(df: DataFrame, node: str, via: str) -> DataFrame:
-    """Edges (u, v), u <> v, that connect all nodes sharing a value of via: a star for each salt of the value and a star
-    of the salts' centres. Linear in the distinct (node, via); rows with a null in either column make no edge.
+def link_edges(df: DataFrame, node: str, via: str, floor: int = HOT_ROWS) -> DataFrame:
+    """Edges (u, v), u <> v, that connect all nodes sharing a value of via: a star, or, for a hot value, a star for each of as
+    many salts as its measured number of nodes needs, and a star of the salts' centres. Linear in the distinct (node, via);
+    rows with a null in either column make no edge.
     """
     seen = df.select(F.col(node).alias("u"), F.col(via).alias("__via")).where("u is not null and __via is not null").distinct()
-    seen = cut(seen.withColumn("__salt", F.pmod(F.xxhash64("u"), F.lit(SALTS))), "seen")
+    seen = cut(seen, "seen")
+    if (total := seen.count()) > floor:
+        hot = hot_keys(seen, ["__via"], total, floor).select("__via", F.ceil(F.col("__rows") / F.col("__bound")).alias("__n"))
+        seen = seen.join(F.broadcast(hot), "__via", "left")
+        seen = seen.select("u", "__via", F.pmod(F.xxhash64("u"), F.coalesce("__n", F.lit(1))).alias("__salt"))
+    else:
+        seen = seen.withColumn("__salt", F.lit(0).cast("bigint"))
     centres = seen.groupBy("__via", "__salt").agg(F.min("u").alias("v"), F.max("u").alias("__last"))
     spokes = seen.join(centres.where("v <> __last"), ["__via", "__salt"]).where("u <> v").select("u", "v")
     hubs = centres.groupBy("__via").agg(F.min("v").alias("__hub"), F.max("v").alias("__last")).where("__hub <> __last")
@@ -33,10 +40,11 @@ def link_edges(df: DataFrame, node: str, via: str) -> DataFrame:
     return spokes.union(rim.select("u", F.col("__hub").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, floor: int = HOT_ROWS) -> DataFrame:
     """(node, component) of every node on an edge (u, v); a component's id is its smallest node. No edges: no rows.
 
-    Each round every node points to its smallest neighbour, pointers jump until all point to roots, and edges are
+    Roots to which more than floor nodes point, and more than a thousandth of all, are looked up by broadcast, so that a giant
+    component is no task of its own. Each round every node points to its smallest neighbour, pointers jump until all point to roots, and edges are
     contracted to the roots; at least every second node is contracted a round, so the rounds are few.
     """
     left = cut(edges.select("u", "v").where("u <> v").distinct(), "edges")
@@ -49,7 +57,8 @@ def components(edges: DataFrame) -> DataFrame:
         point = cut(point.withColumn("root", F.least("node", "root")), "pointers")
         while True:
             up = point.select(F.col("node").alias("root"), F.col("root").alias("__up"))
-            jumped = point.join(up, "root").select("node", F.col("__up").alias("root"), (F.col("__up") < F.col("root")).alias("moved"))
+            jumped = join_unique(point, up, "root", "inner", floor)
+            jumped = jumped.select("node", F.col("__up").alias("root"), (F.col("__up") < F.col("root")).alias("moved"))
             jumped = cut(jumped, "pointers")
             point = jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
@@ -58,11 +67,14 @@ def components(edges: DataFrame) -> DataFrame:
             labels, first = point.select("node", F.col("root").alias("component")), False
         else:
             up = point.select(F.col("node").alias("component"), F.col("root").alias("__up"))
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("__up", "component").alias("component"))
+            labels = join_unique(labels, up, "component", "left", floor)
+            labels = cut(labels.select("node", F.coalesce("__up", "component").alias("component")), "labels")
         a = point.select(F.col("node").alias("u"), F.col("root").alias("__a"))
         b = point.select(F.col("node").alias("v"), F.col("root").alias("__b"))
-        left = left.join(a, "u").join(b, "v").select(F.col("__a").alias("u"), F.col("__b").alias("v")).where("u <> v")
-        left = cut(left.distinct(), "edges")
+        one = join_unique(left, a, "u", "inner", floor).select("v", "__a")
+        one = cut(one, "edges") if left.count() > floor else one
+        left = join_unique(one, b, "v", "inner", floor).select(F.col("__a").alias("u"), F.col("__b").alias("v"))
+        left = cut(left.where("u <> v").distinct(), "edges")
     return labels
 
 
@@ -86,7 +98,7 @@ def update_components(known: DataFrame | None, nodes: DataFrame, edges: DataFram
         contracted = edges.join(ku, "u", "left").join(kv, "v", "left")
         contracted = contracted.select(F.coalesce("__cu", "u").alias("u"), F.coalesce("__cv", "v").alias("v"))
     merged = components(contracted).select(F.col("node").alias("component"), F.col("component").alias("__new"))
-    out = old.join(merged, "component", "left")
+    out = join_unique(cut(old, "old"), merged, "component")
     return cut(out.select("node", F.coalesce("__new", "component").alias("component"), "old_component"), "components")
 
 
@@ -187,7 +199,7 @@ def load(
     members = cut(merged.join(counts, "node", "left").select("node", "component", "weight", "__prior"), "members")
     per = members.groupBy("component").agg(F.sum("weight").alias("weight"), F.collect_set("__prior").alias("prior"))
     placed = assign_splits(cut(per, "weights"), proportions, seed).select("component", "split", "status")
-    return cut(members.join(placed, "component").select("node", "component", "weight", "split", "status"), "splits")
+    return cut(join_unique(members, placed, "component", "inner").select("node", "component", "weight", "split", "status"), "splits")
 
 
 class Loaded(NamedTuple):
@@ -240,7 +252,7 @@ def pairs_within(members: DataFrame, block: int = 512) -> DataFrame:
     pairs are spread over many tasks.
     """
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n")).where("__n is not null")
-    m = members.select("node", "component").join(sizes, "component")
+    m = join_unique(members.select("node", "component"), sizes, "component", "inner")
     m = m.withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__n")).cast("int"))
     one = m.select("component", F.col("node").alias("a"), F.col("__own").alias("__i"), F.explode(F.sequence("__own", F.col("__n") - 1)).alias("__j"))
     two = m.select("component", F.col("node").alias("b"), F.col("__own").alias("__j"), F.explode(F.sequence(F.lit(0), "__own")).alias("__i"))
