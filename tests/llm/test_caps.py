@@ -64,4 +64,4 @@ def test_best_are_chosen_before_the_shuffle(spark):
 
 
 def test_shares_are_taken_as_decimals():
-    assert [Cap(["k"], max_share=s).rows(100) for s in (0.29, 0.57, 0.58, 1.0, 0.001)] == [29, 57, 58, 100, 1]
+    assert [cp.Cap(["k"], max_share=s).rows(100) for s in (0.29, 0.57, 0.58, 1.0, 0.001)] == [29, 57, 58, 100, 1]

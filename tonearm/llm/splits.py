@@ -182,15 +182,23 @@ def load(
     another take load_linked(). Nodes of a quarantined component are all quarantined, so that nothing leaks between splits.
     Records with a null node are ignored; a null in via links nothing.
     """
-    counts = records.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("weight"))
+    return _load(known, _pairs(records, node, via), proportions, seed, links)
+
+
+def _pairs(records: DataFrame, node: str, via: str) -> DataFrame:
+    """(node, via, n): the different links of records with their number of rows, cut; records are read once."""
+    named = records.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(via).alias("via"))
+    return cut(named.groupBy("node", "via").agg(F.count(F.lit(1)).alias("n")), "links")
+
+
+def _load(known: DataFrame | None, pairs: DataFrame, proportions: dict[str, float], seed: int, links: DataFrame | None) -> DataFrame:
+    counts = pairs.groupBy("node").agg(F.sum("n").alias("weight"))
     if known is not None:
-        before = known.select("node", "weight")
-        counts = counts.unionByName(before).groupBy("node").agg(F.sum("weight").alias("weight"))
-    nodes = records.select(F.col(node).alias("node"))
-    linked = records.select(F.col(node).alias("node"), F.col(via).alias("via"))
+        counts = counts.unionByName(known.select("node", "weight")).groupBy("node").agg(F.sum("weight").alias("weight"))
+    linked = pairs.select("node", "via")
     if links is not None:
         linked = linked.unionByName(links.select("node", "via"))
-    merged = update_components(known, nodes, link_edges(linked, "node", "via"))
+    merged = update_components(known, pairs.select("node"), link_edges(linked, "node", "via"))
     if known is not None:
         prior = known.select("node", F.col("split").alias("__prior"))
         merged = merged.join(prior, "node", "left")
@@ -229,12 +237,12 @@ def load_linked(
     session too; without it they are deleted by drop_cuts(), at the latest at exit. A value's node of an earlier load stands for all that have it, as they are
     of one component already; so only one row a value is kept, and only the values of this load are looked up.
     """
-    pairs = records.select(F.col(via).alias("via"), F.col(node).alias("node")).where("via is not null and node is not null")
-    first = cut(pairs.groupBy("via").agg(F.min("node").alias("node")), "first")
+    pairs = _pairs(records, node, via)
+    first = cut(pairs.where("via is not null").groupBy("via").agg(F.min("node").alias("node")), "first")
     if known is None:
-        return _keep(Loaded(load(None, records, node, via, proportions, seed), first), path)
+        return _keep(Loaded(_load(None, pairs, proportions, seed, None), first), path)
     met = cut(known.links.join(first.select("via"), "via", "left_semi").select("via", "node"), "met")
-    done = load(known.splits, records, node, via, proportions, seed, met)
+    done = _load(known.splits, pairs, proportions, seed, met)
     links = known.links.select("via", "node").unionByName(first.join(met, "via", "left_anti"))
     return _keep(Loaded(done, links if path else cut(links, "links")), path)
 
