@@ -91,7 +91,7 @@ def token_count(c: Column | str) -> Column:
 
 
 def labelled_prompt(title, artist, album, released, genre, moods, instruments, fallback) -> Column:
-    """'title: .., artist: .., album: .., year: .., genre: .., moods: .., instruments: ..' of what is there, with at most three
+    """'title: .., artist: .., album: .., year: .., genre: .., mood: .., instrument: ..' of what is there, with at most three
     moods and instruments and without an unknown genre; the fallback if nothing is there.
     """
 
@@ -109,16 +109,21 @@ def labelled_prompt(title, artist, album, released, genre, moods, instruments, f
         part("album", _c(album)),
         part("year", _c(released)),
         part("genre", known),
-        few("moods", _c(moods)),
-        few("instruments", _c(instruments)),
+        few("mood", _c(moods)),
+        few("instrument", _c(instruments)),
     ]
     text = F.concat_ws(", ", *pieces)
     return F.when(text != "", text).otherwise(_c(fallback))
 
 
+def shuffled(seed: int, *keys: Column | str) -> Column:
+    """Text whose order is a random one that depends on the seed and the keys only; any engine with MD5 gets the same."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(_c(k).cast("string") for k in keys)))
+
+
 def draw(seed: int, *keys: Column | str) -> Column:
     """A number in [0, 1) that depends on the seed and the keys only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[_c(k) if isinstance(k, str) else k for k in keys]), F.lit(1 << 40)) / float(1 << 40)
+    return F.conv(F.substring(shuffled(seed, *keys), 1, 10), 16, 10).cast("bigint") / float(1 << 40)
 
 
 def random_prompt(key, fields: dict[str, Column], lists: dict[str, Column], seed: int = 0) -> Column:
@@ -129,11 +134,9 @@ def random_prompt(key, fields: dict[str, Column], lists: dict[str, Column], seed
     for i, (label, value) in enumerate([*fields.items(), *lists.items()]):
         many = label in lists
         if many:
-            shuffled = F.transform(
-                F.array_sort(F.transform(value, lambda v: F.struct(F.xxhash64(F.lit(seed), key, v).alias("h"), v.alias("v")))), lambda s: s["v"]
-            )
+            mixed = F.transform(F.array_sort(F.transform(value, lambda v: F.struct(shuffled(seed, key, v).alias("h"), v.alias("v")))), lambda s: s["v"])
             count = 1 + F.floor(draw(seed + 1, key, F.lit(i)) * F.least(F.size(value), F.lit(4))).cast("int")
-            few = F.slice(shuffled, F.lit(1), F.greatest(F.least(count, F.size(value)), F.lit(0)))
+            few = F.slice(mixed, F.lit(1), F.greatest(F.least(count, F.size(value)), F.lit(0)))
             text, name = F.array_join(few, ", "), F.when(F.size(few) > 1, f"{label}s").otherwise(label)
             there = F.size(value) > 0
         else:
@@ -145,7 +148,7 @@ def random_prompt(key, fields: dict[str, Column], lists: dict[str, Column], seed
             F.struct(
                 F.coalesce(there, F.lit(False)).alias("there"),
                 (draw(seed + 4, key, F.lit(i)) < 0.7).alias("kept"),
-                F.xxhash64(F.lit(seed + 5), key, F.lit(i)).alias("at"),
+                shuffled(seed + 5, key, F.lit(i)).alias("at"),
                 F.coalesce(shown, F.lit("")).alias("text"),
             )
         )

@@ -60,14 +60,20 @@ def signed_index_sums(lists: DataFrame, scores: DataFrame, sign: float = 1.0) ->
     return one.join(scores, "train").groupBy("seller", "query").agg((F.lit(sign) * F.sum("score")).alias("value"))
 
 
-def complete_grid(rows: DataFrame, few: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Every row of rows with every row of few, which is counted before it is broadcast; more than most of them are an error.
+def complete_grid(rows: DataFrame, few: DataFrame, block: int = 100_000) -> DataFrame:
+    """Every row of rows with every row of few, as the complete grid is by its nature.
 
-    The rows stay where they are, so the grid is as evenly spread as they are.
+    few is counted and broadcast in blocks of at most about block rows; the rows stay where they are, so the grid is as evenly
+    spread as they are.
     """
-    if (n := few.count()) > most:
-        raise ValueError(f"{n} rows are too many for a grid")
-    return rows.crossJoin(F.broadcast(few))
+    blocks = max(1, -(-few.count() // block))
+    left = rows.withColumn("__grid", F.lit(1))
+    out = None
+    for i in range(blocks):
+        some = few if blocks == 1 else few.where(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in few.columns)), F.lit(blocks)) == i)
+        one = left.join(F.broadcast(some.withColumn("__grid", F.lit(1))), "__grid").drop("__grid")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def subset_sums(scores: DataFrame, membership: DataFrame, excluded: bool = False) -> DataFrame:

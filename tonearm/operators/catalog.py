@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.functions.scalar import shuffled
+from tonearm.storage import cut
+
 
 def modal_values(tags: DataFrame, key: str, value: str, seq: Sequence[str]) -> DataFrame:
     """(key, primary, coherence, n_unique, n_tags): the most frequent value of each key, of equals the one seen first by seq,
@@ -117,14 +120,36 @@ def reconcile_quotas(quotas: dict[str, int], caps: dict[str, int], seats: int) -
 
 def stratified_draw(df: DataFrame, band: str, key: str, counts: dict[str, int], seed: int) -> DataFrame:
     """counts[band] rows of each band in a hashed order; fewer where a band has fewer. A band's losers never leave their task."""
-    order = Window.partitionBy(band).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    order = Window.partitionBy(band).orderBy(shuffled(seed, key), key)
     table = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
     return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.coalesce(F.try_element_at(table, F.col(band)), F.lit(0))).drop("__r")
 
 
+def draw_cells(df: DataFrame, key: str, value: str, cells: Sequence[dict], seed: int, name: str = "band") -> DataFrame:
+    """The rows drawn for each cell, with the cell's band and draw_no from 1 across cells: of the rows whose value lies within
+    the cell's low and high (None is open) and that no earlier cell took, count in a hashed order. An error if a cell has too
+    few. What earlier cells took is at most the sum of their counts, which is broadcast.
+    """
+    taken, out, before = None, None, 0
+    for cell in cells:
+        free = df.where(within(value, cell.get("low"), cell.get("high")))
+        if taken is not None:
+            free = free.join(F.broadcast(taken.select(key)), key, "left_anti")
+        drawn = free.withColumn("__h", shuffled(seed, F.lit(cell["band"]), key)).orderBy("__h", key).limit(cell["count"])
+        drawn = cut(drawn.select(*df.columns, "__h"), "cell")
+        if (n := drawn.count()) < cell["count"]:
+            raise ValueError(f"cell {cell['band']!r} has {n} rows, {cell['count']} are asked for")
+        place = F.row_number().over(Window.orderBy("__h", key)) + before
+        one = drawn.withColumn("draw_no", place.cast("int")).withColumn(name, F.lit(cell["band"])).drop("__h")
+        taken = drawn.select(key) if taken is None else taken.union(drawn.select(key))
+        out = one if out is None else out.unionByName(one)
+        before += n
+    return out
+
+
 def hashed_subset(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows in a hashed order (all if there are fewer), as a top-k and not a sort of everything."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    return df.orderBy(shuffled(seed, key), key).limit(k)
 
 
 def fraction_subset(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.functions.paths import entry_keys, normpath
+from tonearm.operators.attribution import complete_grid
 
 
 def clean_entries(lines: DataFrame, line: str) -> DataFrame:
@@ -44,12 +45,11 @@ def without_indices(df: DataFrame, index: str, dropped: DataFrame, name: str) ->
 def leave_one_out(rows: DataFrame, seller: str, sellers: DataFrame, number: str, model: str = "model_id") -> DataFrame:
     """For each seller number of sellers, as model, all rows but those whose seller it is; model 0 has all rows.
 
-    The result has a row per model and kept row by its nature; the list of models is small and broadcast only if it is.
+    The result has a row per model and kept row by its nature; the rows stay where they are, the models come in blocks.
     """
-    n = sellers.count()
     models = sellers.select(F.col(number).alias(model)).union(sellers.sparkSession.range(1).select(F.lit(0).alias(model)))
-    models = F.broadcast(models) if n <= 100_000 else models
-    return rows.join(models, ~F.col(seller).eqNullSafe(F.col(model)) | (F.col(model) == 0), "inner")
+    grid = complete_grid(rows, models)
+    return grid.where(~F.col(seller).eqNullSafe(F.col(model)) | (F.col(model) == 0))
 
 
 def priority_match(

@@ -123,24 +123,6 @@ def jackknife(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str) ->
 Statistic = Callable[[np.ndarray, np.ndarray], float]
 
 
-def slope_of(x: np.ndarray, y: np.ndarray) -> float:
-    """The slope of y on x; NaN where undefined."""
-    if len(x) < 2:
-        return math.nan
-    v = np.var(x, ddof=1)
-    return float(np.cov(x, y, ddof=1)[0, 1] / v) if v > 0 else math.nan
-
-
-def rank_correlation_of(x: np.ndarray, y: np.ndarray) -> float:
-    """The rank correlation; NaN where undefined."""
-    if len(x) < 2:
-        return math.nan
-    a, b = pd.Series(x).rank().to_numpy(), pd.Series(y).rank().to_numpy()
-    if a.std() == 0 or b.std() == 0:
-        return math.nan
-    return float(np.corrcoef(a, b)[0, 1])
-
-
 def _slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     u, v = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -148,18 +130,42 @@ def _slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.where(spread > 0, (u * v).sum(1) / spread, np.nan)
 
 
-def _rank_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    def ranks(a: np.ndarray) -> np.ndarray:
-        return (a[:, :, None] > a[:, None, :]).sum(2) + ((a[:, :, None] == a[:, None, :]).sum(2) + 1) / 2.0
+def _average_ranks(a: np.ndarray) -> np.ndarray:
+    """The rank of each value in its row, from 1; equal values share the mean of their ranks."""
+    order = np.argsort(a, axis=1, kind="stable")
+    s = np.take_along_axis(a, order, 1)
+    at = np.broadcast_to(np.arange(a.shape[1]), a.shape)
+    new = np.ones(a.shape, bool)
+    new[:, 1:] = s[:, 1:] != s[:, :-1]
+    end = np.ones(a.shape, bool)
+    end[:, :-1] = new[:, 1:]
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    last = np.minimum.accumulate(np.where(end, at, a.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(a.shape)
+    np.put_along_axis(out, order, (first + last) / 2.0 + 1, 1)
+    return out
+
 
-    u, v = ranks(x), ranks(y)
+def _rank_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    u, v = _average_ranks(x), _average_ranks(y)
     u, v = u - u.mean(1, keepdims=True), v - v.mean(1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
         size = np.sqrt((u * u).sum(1) * (v * v).sum(1))
         return np.where(size > 0, (u * v).sum(1) / size, np.nan)
 
 
-#: Statistics that take all resamples at once, as rows of two matrices.
+def slope_of(x: np.ndarray, y: np.ndarray) -> float:
+    """The slope of y on x; NaN where undefined."""
+    return float(_slopes(x[None], y[None])[0]) if len(x) > 1 else math.nan
+
+
+def rank_correlation_of(x: np.ndarray, y: np.ndarray) -> float:
+    """The rank correlation; NaN where undefined."""
+    return float(_rank_correlations(x[None], y[None])[0]) if len(x) > 1 else math.nan
+
+
+#: Pairs that are drawn at a time, and statistics that take many resamples at once, as rows of two matrices.
+HELD_DRAWS = 1 << 20
 ROWWISE = {slope_of: _slopes, rank_correlation_of: _rank_correlations}
 
 
@@ -180,11 +186,11 @@ def bootstrap(
         low = high = None
         if len(a) > 1 and np.isfinite(point):
             rng = np.random.default_rng(seed)
-            draws = np.stack([rng.integers(0, len(a), size=len(a)) for _ in range(samples)])
-            if at_once is not None and len(a) <= 256:
-                got = at_once(a[draws], b[draws])
-            else:
-                got = np.array([statistic(a[i], b[i]) for i in draws])
+            got, step = [], max(1, HELD_DRAWS // len(a))
+            for first in range(0, samples, step):
+                draws = np.stack([rng.integers(0, len(a), size=len(a)) for _ in range(min(step, samples - first))])
+                got.append(at_once(a[draws], b[draws]) if at_once is not None else np.array([statistic(a[i], b[i]) for i in draws]))
+            got = np.concatenate(got)
             if np.isfinite(got).any():
                 low, high = np.nanquantile(got, [(1 - level) / 2, 1 - (1 - level) / 2])
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "point": [point if np.isfinite(point) else None], "low": [low], "high": [high]})

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.arrays import let
+from tonearm.functions.scalar import draw
 
 # Fixed values of the token vocabulary: ticks a second, sizes of the blocks, and what follows from them.
 TICKS, MAX_TIME, MAX_DUR, PITCHES, INSTRUMENTS = 100, 10_000, 1_000, 128, 129
@@ -286,7 +287,7 @@ def extract_instruments(events: Column | str, chosen: Column) -> tuple[Column, C
 
 def extract_random(events: Column | str, key: Column, rate: float, seed: int = 0) -> tuple[Column, Column]:
     """(events, controls): each event becomes a control with probability rate / 10, by keyed draws."""
-    marked = F.transform(_c(events), lambda e, i: F.struct(e.alias("e"), (F.pmod(F.xxhash64(F.lit(seed), key, i), F.lit(1 << 30)) < int((1 << 30) * rate / 10)).alias("m")))
+    marked = F.transform(_c(events), lambda e, i: F.struct(e.alias("e"), (draw(seed, key, i) < rate / 10).alias("m")))
     plain = F.transform(F.filter(marked, lambda s: ~s["m"]), lambda s: s["e"])
     raised = F.transform(F.filter(marked, lambda s: s["m"]), lambda s: triple(s["e"]["time"] + CONTROL, s["e"]["dur"] + CONTROL, s["e"]["note"] + CONTROL))
     return plain, raised

@@ -122,7 +122,7 @@ def f08_safe_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f09_labelled_prompt",
     """
     SELECT c_custkey, 'title: ' || c_name || ', year: 1998' || CASE WHEN c_mktsegment <> 'BUILDING' THEN ', genre: ' || lower(c_mktsegment) ELSE '' END
-           || ', moods: a, b, c' || CASE WHEN c_custkey % 2 = 0 THEN ', instruments: x' ELSE '' END AS prompt FROM customer
+           || ', mood: a, b, c' || CASE WHEN c_custkey % 2 = 0 THEN ', instrument: x' ELSE '' END AS prompt FROM customer
     """,
 )
 def f09_labelled_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:

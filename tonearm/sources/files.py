@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions.ids import basename
 from tonearm.functions.paths import relpath, suffix
 from tonearm.schemas import DATASET_CONFIG
+from tonearm.storage import cut
 
 # Fixed value: names that mark leftovers of archives.
 BANNED = ["paxheader", "__macosx"]
 # Fixed value: extensions of audio files.
 AUDIO = [".wav", ".mp3", ".flac", ".ogg", ".aif", ".opus"]
+TARS = [".tar", ".tgz", ".gz"]
 
 
 def parse_extensions(text: str) -> list[str]:
@@ -33,26 +36,70 @@ def parsed_extensions(c: Column | str) -> Column:
     return F.array_distinct(F.transform(F.filter(parts, lambda e: e != ""), lambda e: F.concat(F.lit("."), e)))
 
 
+def _store(uri: str):
+    """(file system, path in it, what stands before the path in a URI) of a folder, from within a task."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri, ""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/"), ""
+    scheme, rest = uri.split("://", 1)
+    store, at = fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+    return store, at, f"{scheme}://{rest[: len(rest) - len(at)]}" if rest.endswith(at) else f"{scheme}://"
+
+
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the folders of a batch hold; folders that are missing or can't be read hold nothing."""
+    from pyarrow import fs
+
+    for b in batches:
+        path, size, folder = [], [], []
+        for uri in b.column(0).to_pylist():
+            try:
+                store, at, before = _store(uri)
+                found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
+            except OSError:
+                continue
+            for i in found:
+                if i.type in (fs.FileType.File, fs.FileType.Directory):
+                    path.append(before + i.path)
+                    size.append(i.size if i.type == fs.FileType.File else None)
+                    folder.append(i.type == fs.FileType.Directory)
+        yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(size, pa.int64()), pa.array(folder, pa.bool_())], ["path", "size", "folder"])
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of all files below root, listed level by level by the executors, so that the driver holds no names.
+
+    A root that doesn't exist gives no row.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string").coalesce(1)
+    out = None
+    while True:
+        found = cut(level.mapInArrow(_children, "path string, size bigint, folder boolean"), "listing")
+        files = found.where("not folder").select("path", "size")
+        out = files if out is None else out.union(files)
+        level = found.where("folder").select("path")
+        if level.isEmpty():
+            return out
+        level = level.repartition(tasks, "path")
+
+
 def scan(spark: SparkSession, root: str, extensions: Sequence[str], keywords: Sequence[str] = ()) -> DataFrame:
-    """(path, size) of files below root with one of the extensions, in any case; hidden files are left out, and so is whatever
-    Spark takes as hidden, names and folders that begin with an underscore.
+    """(path, size) of files below root with one of the extensions (with or without dot), in any case; files whose name begins
+    with a dot are left out.
 
     With keywords, only files whose name has one of them and none of the names of archive leftovers. Only names and sizes
     are read. A root that doesn't exist gives no row.
     """
-    schema = "path string, size bigint"
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    except Exception as e:  # noqa: BLE001 - Spark raises its own kinds for missing paths
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-    files = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"))
+    files = listing(spark, root)
     name = F.lower(basename("path"))
-    ok = suffix("path").isin([e.lower() for e in extensions]) & ~F.startswith(name, F.lit("."))
+    ok = suffix("path").isin(["." + e.lower().removeprefix(".") for e in extensions]) & ~F.startswith(name, F.lit("."))
     if keywords:
         ok = ok & F.exists(F.array(*(F.lit(k.lower()) for k in keywords)), lambda k: F.contains(name, k))
-        ok = ok & ~F.exists(F.array(*(F.lit(b) for b in BANNED)), lambda b: F.contains(F.lower("path"), b))
+        ok = ok & ~F.exists(F.array(*(F.lit(b) for b in BANNED)), lambda b: F.contains(name, b))
     return files.where(ok)
 
 
@@ -112,26 +159,49 @@ def objects(spark: SparkSession, uris: Sequence[str], extensions: Sequence[str])
     return scan_roots(spark, [unquote(u) for u in uris], extensions).drop("root")
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The samples of the shards of a batch, read from the file system as a stream, one sample held at a time."""
+    import tarfile
+
+    kind = pa.map_(pa.string(), pa.binary())
+
+    def row(shard: str, key: str, fields: dict[str, bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([key]), pa.array([list(fields.items())], kind)], ["shard", "key", "fields"])
+
+    for b in batches:
+        for shard in b.column(0).to_pylist():
+            store, at, _ = _store(shard)
+            key, fields = None, {}
+            with store.open_input_stream(at) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
+                for m in tar:
+                    if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/"):
+                        continue
+                    folder, name = os.path.split(m.name)
+                    stem, _, field = name.partition(".")
+                    own = os.path.join(folder, stem)
+                    if key is not None and own != key:
+                        yield row(shard, key, fields)
+                        fields = {}
+                    key = own
+                    fields[field] = tar.extractfile(m).read()
+            if key is not None:
+                yield row(shard, key, fields)
+
+
 def members(spark: SparkSession, shards: str) -> DataFrame:
-    """(shard, key, fields) of tar shards: members are grouped by their name up to its first dot, fields maps the rest of the
-    name to the bytes. Members with unsafe names are left out. A shard is read by one task, member by member.
+    """(shard, key, fields) of the tar shards of a folder, or of one shard: neighbouring members with the same name up to its
+    first dot are one sample, fields maps the rest of the name to the bytes. Members with unsafe names are left out.
+
+    Each shard is streamed by one task, which holds a sample at a time, so a shard may be of any size.
     """
-    import io
-    import tarfile
+    if suffix_of(shards) in TARS:
+        paths = spark.createDataFrame([(shards,)], "path string")
+    else:
+        paths = scan(spark, shards, TARS).select("path").orderBy("path")
+    tasks = spark.sparkContext.defaultParallelism
+    return paths.repartition(tasks, "path").mapInArrow(_members, "shard string, key string, fields map<string, binary>")
+
 
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows: dict[str, dict[str, bytes]] = {}
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile() and not m.name.startswith("/") and ".." not in m.name.split("/"):
-                            folder, name = os.path.split(m.name)
-                            key, _, field = name.partition(".")
-                            rows.setdefault(os.path.join(folder, key), {})[field] = tar.extractfile(m).read()
-                yield pd.DataFrame({"shard": [path] * len(rows), "key": list(rows), "fields": list(rows.values())})
-
-    raw = spark.read.format("binaryFile").load(shards).select("path", "content")
-    return raw.mapInPandas(run, "shard string, key string, fields map<string, binary>")
+def suffix_of(path: str) -> str:
+    """The last suffix of a path, lower case."""
+    return os.path.splitext(path)[1].lower()

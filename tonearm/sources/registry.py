@@ -63,13 +63,14 @@ def _tables(spark: SparkSession, spec: dict[str, Any]) -> DataFrame:
 
 def cached(spark: SparkSession, path: str, made_of: dict[str, str], make: Callable[[], DataFrame]) -> DataFrame:
     """The table at path if it was made of the same (name, value) pairs; else make() is written there with them and read."""
-    meta = path.rstrip("/") + "-made-of"
+    label = path.rstrip("/") + "/_made_of"
     same = False
-    if files.exists(spark, path + "/_SUCCESS") and files.exists(spark, meta):
-        same = {r.name: r.value for r in spark.read.parquet(meta).collect()} == made_of
+    if files.exists(spark, label + "/_SUCCESS"):
+        same = {r.name: r.value for r in spark.read.parquet(label).collect()} == made_of
     if not same:
+        # Overwriting deletes the old label with the data; the new one is written last, so data never stand under a wrong one.
         make().write.mode("overwrite").parquet(path)
-        spark.createDataFrame(list(made_of.items()), "name string, value string").coalesce(1).write.mode("overwrite").parquet(meta)
+        spark.createDataFrame(list(made_of.items()), "name string, value string").coalesce(1).write.parquet(label)
     return spark.read.parquet(path)
 
 
