@@ -89,3 +89,23 @@ def test_nothing_and_one(spark):
     assert nb.nearest(df, "id", "v", 4).count() == 0 and nb.exact_nearest(df, "id", "v", 4).count() == 0
     one = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0])], "id bigint, v array<float>")
     assert nb.nearest(one, "id", "v", 4).count() == 0
+
+
+def test_two_levels(data, monkeypatch):
+    x, df = data
+    _, s = _exact(x, 5)
+    true = [set(np.argsort(-s[i], kind="stable")[:5]) for i in range(1500)]
+    for name, value in (("FLAT", 8), ("CELL_ROWS", 16), ("SAMPLE", 400), ("PARENT_SAMPLE", 200)):
+        monkeypatch.setattr(nb, name, value)
+    _, classes = nb.direction_classes(df, "id", "v", 16, 6)
+    index = nb.fit_on(classes, 16, sample=400, cell_rows=16)
+    assert index.parents is not None and len(index.starts) == len(index.parents) + 1 and index.starts[-1] == len(index.centroids) > 60
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ index.centroids.T
+    best = index.cells(u, 4)
+    assert (best >= 0).all() and (np.diff(np.take_along_axis(sim, best, 1), axis=1) <= 1e-9).all()
+    assert (best[:, 0] == sim.argmax(1)).mean() > 0.95
+    found = {}
+    for r in nb.similar_classes(classes, index, 16, 5, None, 48).collect():
+        found.setdefault(r.q, set()).add(r.x)
+    assert sum(len(true[i] & found[i]) for i in range(1500)) / 7500 > 0.95
