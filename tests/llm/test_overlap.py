@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pytest
 
 from tonearm.llm import overlap as ov
 from tonearm.llm.reading import words
@@ -35,7 +36,11 @@ def _corpus(seed, n):
     return [" ".join(rng.sample(common, rng.randint(4, 12)) + rng.sample(names, rng.randint(2, 8))) for _ in range(n)]
 
 
-def test_finds_every_pair(spark):
+@pytest.mark.parametrize("hot", [None, 5])
+def test_finds_every_pair(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(ov, "HOT_ROWS", hot)
+        monkeypatch.setattr(ov, "RUN_SAMPLE", 100)
     base = _corpus(1, 250)
     rng = random.Random(3)
     train = _corpus(2, 250)

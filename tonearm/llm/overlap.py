@@ -6,10 +6,12 @@ at most k = |A| + |B| - 2 ceil(t (|A| + |B|) / (1 + t)). An evaluation string is
 all of them, so one stands unchanged in the training string, shifted by no more than k. Candidates that share a segment are
 verified by banded dynamic programming.
 
-Segments are cut where they become selective: a segment ends as soon as its words' shares in the training texts, multiplied,
-fall under a level, and the highest level that still yields k + 1 segments is used; at the lowest every word is a segment.
-A training string has, for each level, exactly one such run at each place, so common words never make a join key alone
-unless nothing better exists. Training runs meet a Bloom filter of the evaluation segments before they leave their task.
+As k depends on both lengths, an evaluation string is cut anew for each band of training lengths it can meet, with the k of
+that band, and a training string meets the segments of its own band only. Segments are cut where they become selective: a
+segment ends as soon as its words' shares in the training texts, multiplied, fall under a level, and the highest level that
+still yields k + 1 segments is used; at the lowest every word is a segment. A training string has, for each level, exactly one
+such run at each place, so common words never make a join key alone unless nothing better exists. Training runs meet a Bloom
+filter of the evaluation segments before they leave their task, and keys that are hot on a side are salted on it.
 """
 
 from __future__ import annotations
@@ -26,12 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm.reading import HASHES, words
+from tonearm.operators.skew import HOT_ROWS, HOT_SHARE
 from tonearm.storage import cut
 
 UNIT = 1024
 COMMON_SHARE, COMMON_MOST, VERY_COMMON = 1e-4, 300_000, 0.2
 BLOOM_BITS, KEY_BITS, CHUNK = 1 << 28, 8, 1 << 16
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: Least lengths of the bands, each about 1.4 times the one before; sets on whose runs hot keys are estimated.
+BANDS = np.unique(np.ceil(1.4 ** np.arange(60)).astype(np.int64))
+RUN_SAMPLE = 16_384
+
+
+def band(n: np.ndarray | int) -> np.ndarray:
+    """The band of a length in words."""
+    return np.searchsorted(BANDS, n, "right")
 
 
 def most_edits(n: int, m: int, t: Fraction) -> int:
@@ -138,9 +149,9 @@ class _Batch:
             return here + 1
         return np.searchsorted(self.gain, self.gain[:-1] + gain, "left")
 
-    def keys(self, level: int, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    def keys(self, level: np.ndarray | int, bands: np.ndarray, a: np.ndarray, e: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return _mix(self.sum[e] - self.sum[a] + np.uint64(level + 1) * _M)
+            return _mix(self.sum[e] - self.sum[a] + (64 * bands + level + 1).astype(np.uint64) * _M)
 
 
 def _different(b: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
@@ -160,27 +171,32 @@ def _segments(sel_sent, t: Fraction):
             batch = _Batch(raws, sel)
             ends = [batch.ends(i, g).tolist() for i, g in enumerate(sel.levels)]
             gain = batch.gain.tolist()
-            out: list[tuple[int, int, int, int]] = []
+            out: list[tuple[int, int, int, int, int]] = []
             for x in range(len(cls)):
                 a, z = int(batch.start[x]), int(batch.start[x + 1])
                 n = z - a
                 if n not in edits:
-                    edits[n] = max(most_edits(n, m, t) for m in range(math.ceil(t * n), math.floor(n / t) + 1))
-                for level in range(len(sel.levels)):
-                    parts, at, end = [], a, ends[level]
-                    while at < z and (e := end[at]) <= z:
-                        parts.append((gain[at] - gain[e], at, e))
-                        at = e
-                    if len(parts) > edits[n]:
-                        break
-                out += [(level, at, e, x) for _, at, e in sorted(parts)[: edits[n] + 1]]
+                    most: dict[int, int] = {}
+                    for m in range(math.ceil(t * n), math.floor(n / t) + 1):
+                        y = int(band(m))
+                        most[y] = max(most.get(y, 0), most_edits(n, m, t))
+                    edits[n] = most
+                chosen: dict[int, list[tuple[int, int, int]]] = {}
+                for y, k in edits[n].items():
+                    if k not in chosen:
+                        for level in range(len(sel.levels)):
+                            parts, at, end = [], a, ends[level]
+                            while at < z and (e := end[at]) <= z:
+                                parts.append((gain[at] - gain[e], at, e))
+                                at = e
+                            if len(parts) > k:
+                                break
+                        chosen[k] = [(level, at, e) for _, at, e in sorted(parts)[: k + 1]]
+                    out += [(level, at, e, x, y) for level, at, e in chosen[k]]
             if not out:
                 continue
-            level, at, e, x = np.array(out, np.int64).T
-            key = np.zeros(len(out), np.uint64)
-            for v in np.unique(level):
-                m = level == v
-                key[m] = batch.keys(int(v), at[m], e[m])
+            level, at, e, x, y = np.array(out, np.int64).T
+            key = batch.keys(level, y, at, e)
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(cls[x]), pa.array(batch.n[x], i32), pa.array(at - batch.start[x], i32), pa.array(batch.sig[x].view(np.int64))],
@@ -241,10 +257,11 @@ def _runs(sel_sent, bloom_sent):
             cls, raws = _different(b)
             batch = _Batch(raws, sel)
             got: list[tuple[np.ndarray, np.ndarray]] = []
+            bands = band(batch.n)
             for level, gain in enumerate(sel.levels):
                 e = batch.ends(level, gain)
                 a = np.flatnonzero(e <= batch.stop)
-                key = batch.keys(level, a, e[a])
+                key = batch.keys(level, bands[batch.text[a]], a, e[a])
                 keep = _may_hold(filter_, key)
                 got.append((key[keep], a[keep]))
             key = np.concatenate([k for k, _ in got])
@@ -341,6 +358,27 @@ def _verify(t: Fraction):
     return rows
 
 
+def _salted(some: DataFrame, runs: DataFrame, sample: DataFrame, scale: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Segments and runs with the columns to join them by: the rows of a key that is hot on a side are salted there and met by
+    copies of the other side's, so that no task has more than a bounded part of a key. Hot keys are at most HOT_SHARE a side:
+    those with more than HOT_ROWS rows and than that share of them all. How many runs a key has is estimated on a sample.
+    """
+    per: dict[int, list[int]] = {}
+    for side, (rows, times) in enumerate(((some, 1.0), (sample, scale))):
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        bound = max(HOT_ROWS, rows.count() * times / HOT_SHARE)
+        for r in counts.where(F.col("n") * times > bound).collect():
+            per.setdefault(r.key, [1, 1])[side] = math.ceil(r.n * times / bound)
+    if not per:
+        return some, runs, ["key"]
+    table = F.broadcast(some.sparkSession.createDataFrame([(k, *v) for k, v in per.items()], "key bigint, __na int, __nb int"))
+    a, b = (t.join(table, "key", "left").fillna(1, ["__na", "__nb"]) for t in (some, runs))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.withColumn("__sa", F.pmod(F.xxhash64("cls_a"), F.col("__na")).cast("int")).withColumn("__sb", spread("__nb"))
+    b = b.withColumn("__sb", F.pmod(F.xxhash64("cls_b"), F.col("__nb")).cast("int")).withColumn("__sa", spread("__na"))
+    return a.drop("__na", "__nb"), b.drop("__na", "__nb"), ["key", "__sa", "__sb"]
+
+
 def similar_classes(left: DataFrame, right: DataFrame, threshold: Fraction) -> DataFrame:
     """(cls_a, cls_b, similarity) of all pairs of classes of word_sets() with a Jaccard similarity of the threshold."""
     spark = left.sparkSession
@@ -348,6 +386,7 @@ def similar_classes(left: DataFrame, right: DataFrame, threshold: Fraction) -> D
     segments = cut(left.select("cls", "w").mapInArrow(_segments(sel_sent, threshold), _SEGMENT), "segments")
     count = segments.count()
     blocks = max(1, -(-count // (BLOOM_BITS // KEY_BITS)))
+    texts = right.count()
     n, m = F.col("n"), F.col("m")
     p, q = threshold.numerator, threshold.denominator
     k = n + m - 2 * F.ceil((p * (n + m)) / F.lit(p + q) - 1e-9)
@@ -357,8 +396,10 @@ def similar_classes(left: DataFrame, right: DataFrame, threshold: Fraction) -> D
     for i in range(blocks):
         some = segments if blocks == 1 else segments.where(F.pmod(F.xxhash64("cls_a"), F.lit(blocks)) == i)
         sent = spark.sparkContext.broadcast(bloom(some.select("key"), -(-count // blocks)))
-        runs = right.select("cls", "w").mapInArrow(_runs(sel_sent, sent), _RUN)
-        met = some.join(runs, "key").where((q * m >= p * n) & (q * n >= p * m) & (shift <= k) & (differ <= k))
+        run = lambda rows: rows.select("cls", "w").mapInArrow(_runs(sel_sent, sent), _RUN)
+        few = right if texts <= RUN_SAMPLE else right.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int((1 << 30) * RUN_SAMPLE / texts))
+        a, b, by = _salted(some, run(right), cut(run(few).select("key"), "few"), max(1.0, texts / RUN_SAMPLE))
+        met = a.join(b, by).where((q * m >= p * n) & (q * n >= p * m) & (shift <= k) & (differ <= k))
         met = met.select("cls_a", "cls_b")
         pairs = met if pairs is None else pairs.union(met)
     pairs = cut(pairs.distinct(), "candidates")
