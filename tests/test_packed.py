@@ -5,6 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tonearm.operators import packed as pk
 from tonearm.operators.packed import Cover, learn_values, split_packed
 
 KNOWN = ["genre---rock", "genre---hip hop", "genre---60s, 70s & 80s", "mood/theme---calm | quiet", "live", 'instrument---7" vinyl', "genre---rock 'n' roll", "genre---afro---cuban"]
@@ -103,3 +104,27 @@ def test_composites_of_long_parts(spark):
     rows = [(long,)] * 6 + [("Rock",)] * 6 + [(f"{long} Rock",)] * 4
     known = learn_values(spark.createDataFrame(rows, "s string"), "s")
     assert set(known) == {long, "Rock"}
+
+
+def test_a_dictionary_too_large_to_send(spark, sf, monkeypatch):
+    random = __import__("random").Random(4)
+    seps = [", ", ";", " | ", " ", "\t", " / "]
+    rows = [(i, random.choice(seps).join(random.choice([*KNOWN, "rare one", "p q", "p", "q", f"x{i % 7}"]) for _ in range(random.randint(1, 6)))) for i in range(400)]
+    rows += [(i, json.dumps([random.choice(KNOWN) for _ in range(3)])) for i in range(400, 500)] + [(500, None), (501, ""), (502, "a / b ]c")]
+    for df, column in ((spark.createDataFrame(rows, "id int, tags string"), "tags"), (spark.read.parquet(f"{sf}/autotagging.parquet").select("line_no", "tags"), "tags")):
+        one = df.columns[0]
+        want = sorted(map(str, split_packed(df, column).select(one, "position", "value").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(pk, "SENT_VALUES", 3)
+            known = learn_values(df, column)
+            got = sorted(map(str, split_packed(df, column, known).select(one, "position", "value").collect()))
+        assert not isinstance(known, dict) and {r.value for r in known.collect()} == set(learn_values(df, column))
+        assert got == want
+
+
+def test_stretches_hold_what_a_cover_asks_for():
+    fields = ["a b,c", "['x y', \"z\"]", "p / q/r ] s", ";;a  b", '"q ""r"" s" t', "", "'"]
+    for f in fields:
+        asked = pk._stretches(f, 100)
+        for part in Cover({}).split(f):
+            assert part in asked, (f, part, asked)

@@ -7,16 +7,17 @@ delimiters. A delimiter inside a known or quoted value is thereby protected, and
 explains the field better than one value with a blank in it.
 
 Both passes are one Arrow exchange without a shuffle of rows; only the counts are shuffled, after being summed per batch.
-The dictionary holds at most 1 / min_share values, whatever the number of rows, and as each makes up min_share of the pieces,
-their characters together are at most 1 / min_share times the mean of a piece, which bounds what is sent to the executors.
+A dictionary of more values or characters than can be sent to the executors stays a table: the parts of the different fields
+that may be values are joined to it, and each field is covered by the known values that stand in it, with the same result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonearm.operators.skew import join_unique
 from tonearm.storage import cut
 
 #: Delimiters that always separate, outside quotes and known values. A slash separates only between blanks.
@@ -39,6 +41,8 @@ _BLANK = re.compile(r"\s+")
 #: Scores of a cover, as log probabilities: an unknown piece costs more than any known value, and more the longer it is;
 #: an unknown quoted value costs less, but grows with its length too, as a stray mark may seem to quote a whole row of values.
 UNKNOWN, UNKNOWN_CHAR, QUOTED, QUOTED_CHAR, BLANK_CUT = -20.0, -1.5, -14.0, -0.4, -2.0
+#: A dictionary of up to so many values and characters is sent to the executors.
+SENT_VALUES, SENT_CHARS = 1_000_000, 64_000_000
 
 
 def _unquote(s: str) -> str:
@@ -173,18 +177,42 @@ class Cover:
         return weak
 
 
-_COVERS: dict[int, Cover] = {}
+_COVERS: dict[str, Cover] = {}
 
 
-def _cover_of(values: dict[str, float]) -> Cover:
-    """One automaton for each dictionary and Python worker."""
-    key = hash(frozenset(values.items()))
+def _cover_of(key: str, sent) -> Cover:
+    """The automaton of a dictionary that was sent, made once in each Python worker."""
     if key not in _COVERS:
         _COVERS.clear()
-        _COVERS[key] = Cover(values)
+        _COVERS[key] = Cover(sent.value)
     return _COVERS[key]
 
 
+def _stretches(field: str, longest: int) -> set[str]:
+    """All parts of a field that Cover may ask its dictionary for, of at most longest characters: from a place where a value
+    may begin to one where it may end, and what quote marks enclose.
+    """
+    s = _strip_list(field)
+    n = len(s)
+    ends = [i for i in range(1, n + 1) if i == n or s[i] in "\t\r\n,;| ]" or s[i].isspace()]
+    begins = sorted({_SKIP.match(s, e).end() for e in [0, *range(1, n + 1)] if e == 0 or e == n or s[e] in "\t\r\n,;|/ ]" or s[e].isspace()})
+    marks = [i for i in begins if i < n and s[i] in "\"'"]
+    begins = sorted({*begins, *(_SKIP.match(s, e).end() for i in marks if (e := Cover._close(s, i)))})
+    out, first = set(), 0
+    for i in begins:
+        while first < len(ends) and ends[first] <= i:
+            first += 1
+        for e in ends[first:]:
+            if e - i > longest:
+                break
+            out.add(s[i:e])
+    for i in marks:
+        if (e := Cover._close(s, i)) and len(v := _unquote(s[i:e])) <= longest:
+            out.add(v)
+    out.discard("")
+    return out
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the pieces of each field; quoted: how often the piece stood in quotes."""
     counts: Counter[str] = Counter()
@@ -218,25 +246,60 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def learn_values(df: DataFrame, column: str, min_support: int = 3, min_share: float = 1e-6) -> dict[str, float]:
-    """Known whole values of a packed column with their log probabilities, counted over all rows.
+Known = dict[str, float] | DataFrame
+
+
+def learn_values(df: DataFrame, column: str, min_support: int = 3) -> Known:
+    """Known whole values of a packed column with their log probabilities, counted over all rows: a dictionary, or, if it has
+    more than SENT_VALUES values or SENT_CHARS characters, a table (value, p).
 
-    A value is known if it stands alone min_support times and makes up min_share of all pieces, so there are at most
-    1 / min_share of them. A piece that never stood in quotes and that blanks cut into known values, each at least as
-    frequent, is a field delimited by blanks and no value. No rows, or only nulls: an empty dictionary.
+    A value is known if it stands alone min_support times. A piece that never stood in quotes and that blanks cut into known
+    values, each at least as frequent, is a field delimited by blanks and no value. No rows, or only nulls: an empty
+    dictionary.
     """
     schema = "value string, plain bigint, quoted bigint"
     counted = df.select(F.col(column).cast("string").alias("v")).where("v is not null").mapInArrow(_pieces, schema)
-    counted = counted.groupBy("value").agg(F.sum("plain").alias("plain"), F.sum("quoted").alias("quoted"))
-    counted = cut(counted.where(F.col("plain") + F.col("quoted") >= min_support), "pieces")
-    total = counted.agg(F.sum(F.col("plain") + F.col("quoted"))).first()[0] if min_share > 0 else 0
-    floor = max(min_support, math.ceil((total or 0) * min_share))
-    rows = counted.where(F.col("plain") + F.col("quoted") >= floor).collect()
-    n = {r.value: r.plain + r.quoted for r in rows}
+    counted = counted.groupBy("value").agg((F.sum("plain") + F.sum("quoted")).alias("n"), F.sum("quoted").alias("quoted"))
+    counted = cut(counted.where(F.col("n") >= min_support), "pieces")
+    size = counted.agg(F.count(F.lit(1)).alias("values"), F.sum(F.length("value")).alias("chars"), F.sum("n").alias("total")).first()
+    if size["values"] > SENT_VALUES or (size.chars or 0) > SENT_CHARS:
+        return _known_table(counted)
+    rows = counted.collect()
+    n = {r.value: r.n for r in rows}
     longest = max((len(v.split()) for v in n), default=0)
     kept = {r.value for r in rows if r.quoted or not _composite(r.value, n, longest)}
-    total = max(total or 0, sum(n[v] for v in kept))
-    return {v: math.log(n[v] / total) for v in kept}
+    return {v: math.log(n[v] / size.total) for v in kept}
+
+
+def _known_table(counted: DataFrame) -> DataFrame:
+    """The same from a table (value, n, quoted): the parts of each value that may be a composite are joined to the table."""
+    longest = counted.agg(F.max(F.size(F.split(F.trim("value"), r"\s+")))).first()[0] or 0
+    total = counted.agg(F.sum("n")).first()[0] or 1
+    doubtful = counted.where((F.col("quoted") == 0) & F.contains("value", F.lit(" "))).select("value", "n")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, some, n = [], [], []
+            for value, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = value.split()
+                if len(words) > 1 and " ".join(words) == value:
+                    own = {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + longest) + 1)} - {value}
+                    whole += [value] * len(own)
+                    n += [k] * len(own)
+                    some += own
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.string()), pa.array(some, pa.string()), pa.array(n, pa.int64())], ["whole", "value", "least"])
+
+    met = doubtful.mapInArrow(parts, "whole string, value string, least bigint").join(counted.select("value", "n"), "value").where("n >= least")
+    found = met.groupBy("whole").agg(F.collect_set("value").alias("parts"))
+
+    def composites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut_up = [v for v, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _composite(v, {v: 1} | dict.fromkeys(own, 1), longest)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut_up, pa.string())], ["value"])
+
+    gone = found.mapInArrow(composites, "value string")
+    known = counted.join(gone, "value", "left_anti").select("value", F.log(F.col("n") / F.lit(total)).alias("p"))
+    return cut(known, "known")
 
 
 def _composite(value: str, n: dict[str, int], longest: int) -> bool:
@@ -255,31 +318,61 @@ def _composite(value: str, n: dict[str, int], longest: int) -> bool:
 def split_packed(
     df: DataFrame,
     column: str,
-    values: dict[str, float] | None = None,
+    values: Known | None = None,
     position: str = "position",
     value: str = "value",
 ) -> DataFrame:
     """One row per value of a packed column: all columns of df, then the value's position (from 1) and the value.
 
-    values: a dictionary of learn_values(); learned from df if none is given. Null, empty and delimiter-only fields give no
-    row; a repeated value counts again; a field of any length is read whole. Columns of df called like position or value
-    are replaced.
+    values: a dictionary or table of learn_values(); learned from df if none is given. Null, empty and delimiter-only fields
+    give no row; a repeated value counts again; a field of any length is read whole. Columns of df called like position or
+    value are replaced.
     """
     known = learn_values(df, column) if values is None else values
+    rest = [c for c in df.columns if c not in (position, value)]
+    if isinstance(known, DataFrame):
+        packed = _covered_by_table(df.select(*(F.col(f"`{c}`") for c in rest), F.col(column).cast("string").alias("__field")), known)
+    else:
+        key, sent = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(known)
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def parts(fields: pa.Array) -> pa.Array:
-        split = _cover_of(known).split
-        flat: list[str] = []
-        offsets = [0]
-        for s in fields.to_pylist():
-            if s:
-                flat += split(s)
-            offsets.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string()))
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def parts(fields: pa.Array) -> pa.Array:
+            return _split_all(fields.to_pylist(), _cover_of(key, sent).split)
 
-    rest = [c for c in df.columns if c not in (position, value)]
-    packed = df.select(*(F.col(f"`{c}`") for c in rest), parts(F.col(column).cast("string")).alias("__parts"))
+        packed = df.select(*(F.col(f"`{c}`") for c in rest), parts(F.col(column).cast("string")).alias("__parts"))
     return packed.select(*(F.col(f"`{c}`") for c in rest), F.posexplode("__parts").alias("__at", value)).select(
         *(F.col(f"`{c}`") for c in rest), (F.col("__at") + 1).cast("int").alias(position), value
     )
+
+
+def _split_all(fields: list[str | None], split: Callable[[str], list[str]]) -> pa.Array:
+    flat: list[str] = []
+    offsets = [0]
+    for s in fields:
+        if s:
+            flat += split(s)
+        offsets.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string()))
+
+
+def _covered_by_table(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with __parts, the values of __field by a table of known values: each different field is covered once."""
+    longest = known.agg(F.max(F.length("value"))).first()[0] or 0
+    fields = cut(rows.select("__field").where("__field is not null and __field <> ''").distinct(), "fields")
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for field in b.column(0).to_pylist():
+                own = list(_stretches(field, longest))
+                yield pa.RecordBatch.from_arrays([pa.array([field] * len(own), pa.string()), pa.array(own, pa.string())], ["__field", "value"])
+
+    met = fields.mapInArrow(stretches, "__field string, value string").join(known, "value")
+    own = met.groupBy("__field").agg(F.collect_list(F.struct("value", "p")).alias("__own"))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [Cover({v["value"]: v["p"] for v in held or ()}).split(s) for s, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(some, pa.list_(pa.string()))], ["__field", "__parts"])
+
+    covered = cut(fields.join(own, "__field", "left").mapInArrow(cover, "__field string, __parts array<string>"), "covered")
+    return join_unique(cut(rows, "rows"), covered, "__field", "inner")
