@@ -35,8 +35,8 @@ UNIT = 1024
 COMMON_SHARE, COMMON_MOST, VERY_COMMON = 1e-4, 300_000, 0.2
 BLOOM_BITS, KEY_BITS, CHUNK = 1 << 28, 8, 1 << 16
 _M = np.uint64(0x9E3779B97F4A7C15)
-#: Least lengths of the bands, each about 1.4 times the one before; sets on whose runs hot keys are estimated.
-BANDS = np.unique(np.ceil(1.4 ** np.arange(60)).astype(np.int64))
+#: Least lengths of the bands, each twice the one before; sets on whose runs hot keys are estimated.
+BANDS = 1 << np.arange(40)
 RUN_SAMPLE = 16_384
 
 
@@ -358,15 +358,16 @@ def _verify(t: Fraction):
     return rows
 
 
-def _salted(some: DataFrame, runs: DataFrame, sample: DataFrame, scale: float) -> tuple[DataFrame, DataFrame, list[str]]:
+def _salted(some: DataFrame, runs: DataFrame, samples: list[tuple[DataFrame, float]]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Segments and runs with the columns to join them by: the rows of a key that is hot on a side are salted there and met by
     copies of the other side's, so that no task has more than a bounded part of a key. Hot keys are at most HOT_SHARE a side:
-    those with more than HOT_ROWS rows and than that share of them all. How many runs a key has is estimated on a sample.
+    those with more than HOT_ROWS rows and than that share of them all. How many rows a key has is estimated on samples of the
+    sides (keys, factor), since the estimate decides over the plan only.
     """
     per: dict[int, list[int]] = {}
-    for side, (rows, times) in enumerate(((some, 1.0), (sample, scale))):
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        bound = max(HOT_ROWS, rows.count() * times / HOT_SHARE)
+    for side, (rows, times) in enumerate(samples):
+        counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts")
+        bound = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) * times / HOT_SHARE)
         for r in counts.where(F.col("n") * times > bound).collect():
             per.setdefault(r.key, [1, 1])[side] = math.ceil(r.n * times / bound)
     if not per:
@@ -386,7 +387,7 @@ def similar_classes(left: DataFrame, right: DataFrame, threshold: Fraction) -> D
     segments = cut(left.select("cls", "w").mapInArrow(_segments(sel_sent, threshold), _SEGMENT), "segments")
     count = segments.count()
     blocks = max(1, -(-count // (BLOOM_BITS // KEY_BITS)))
-    texts = right.count()
+    texts, asked = right.count(), left.count()
     n, m = F.col("n"), F.col("m")
     p, q = threshold.numerator, threshold.denominator
     k = n + m - 2 * F.ceil((p * (n + m)) / F.lit(p + q) - 1e-9)
@@ -397,8 +398,12 @@ def similar_classes(left: DataFrame, right: DataFrame, threshold: Fraction) -> D
         some = segments if blocks == 1 else segments.where(F.pmod(F.xxhash64("cls_a"), F.lit(blocks)) == i)
         sent = spark.sparkContext.broadcast(bloom(some.select("key"), -(-count // blocks)))
         run = lambda rows: rows.select("cls", "w").mapInArrow(_runs(sel_sent, sent), _RUN)
-        few = right if texts <= RUN_SAMPLE else right.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int((1 << 30) * RUN_SAMPLE / texts))
-        a, b, by = _salted(some, run(right), cut(run(few).select("key"), "few"), max(1.0, texts / RUN_SAMPLE))
+        least = lambda c, n: F.pmod(F.xxhash64(c), F.lit(1 << 30)) < int((1 << 30) * min(1.0, RUN_SAMPLE / max(n, 1)))
+        samples = [
+            (some.where(least("cls_a", asked)).select("key"), max(1.0, asked / RUN_SAMPLE)),
+            (run(right.where(least("cls", texts))).select("key"), max(1.0, texts / RUN_SAMPLE)),
+        ]
+        a, b, by = _salted(some, run(right), samples)
         met = a.join(b, by).where((q * m >= p * n) & (q * n >= p * m) & (shift <= k) & (differ <= k))
         met = met.select("cls_a", "cls_b")
         pairs = met if pairs is None else pairs.union(met)
