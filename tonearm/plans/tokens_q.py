@@ -72,29 +72,13 @@ def t05_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @core.add(
     "t06_pad",
     f"""
-    WITH {SEQUENCE}, k AS (SELECT piece, i, time, coalesce(lag(time) OVER (PARTITION BY piece ORDER BY i), 0) AS before FROM ev WHERE NOT control AND i % 5 = 0),
-    g AS (SELECT piece, time, CAST(greatest(ceil((time - before) / 100.0) - 1, 0) AS BIGINT) AS n FROM k)
-    SELECT piece, CAST(sum(n) AS BIGINT) AS rests, count(*) AS events FROM g GROUP BY piece
-    """,
-)
-def t06_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rests inserted so that no gap is longer than a second."""
-    s = sequences(spark, sf_dir).select("piece", F.filter(F.filter("events", lambda e, i: i % 5 == 0), lambda e: ~tk.is_control(e)).alias("e"))
-    own = F.size("e")
-    padded = tk.pad("e")
-    return s.where(own > 0).select("piece", (F.size(padded) - own).cast("bigint").alias("rests"), own.cast("bigint").alias("events"))
-
-
-@core.add(
-    "t06_pad_all",
-    f"""
     WITH {SEQUENCE}, k AS (SELECT piece, i, time * 5 AS time, coalesce(lag(time * 5) OVER (PARTITION BY piece ORDER BY i), 0) AS before FROM ev WHERE NOT control),
     g AS (SELECT piece, time, CAST(greatest(ceil((time - before) / 100.0) - 1, 0) AS BIGINT) AS n FROM k)
     SELECT piece, CAST(sum(n) AS BIGINT) AS rests, count(*) AS events FROM g GROUP BY piece
     """,
 )
-def t06_pad_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all events, played five times slower so that there are gaps."""
+def t06_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rests inserted so that no gap is longer than a second, in events played five times slower so that there are gaps."""
     slow = F.transform(F.filter("events", lambda e: ~tk.is_control(e)), lambda e: tk.triple(e["time"] * 5, e["dur"], e["note"]))
     s = sequences(spark, sf_dir).select("piece", slow.alias("e"))
     own = F.size("e")
@@ -108,7 +92,19 @@ def t07_unpad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(sequences(spark, sf_dir), tk.unpad("events"))
 
 
-@core.add("t08_anticipate")
+@core.add(
+    "t08_anticipate",
+    f"""
+    WITH {SEQUENCE}, e AS (SELECT piece, row_number() OVER w - 1 AS j, time, dur, note, coalesce(lag(time) OVER w, 0) AS clock FROM ev WHERE NOT control WINDOW w AS (PARTITION BY piece ORDER BY i)),
+    n AS (SELECT piece, count(CASE WHEN NOT control THEN 1 END) AS n FROM ev GROUP BY piece),
+    c AS (SELECT piece, row_number() OVER (PARTITION BY piece ORDER BY i) AS q, time, dur, note FROM ev WHERE control),
+    s AS (SELECT c.piece, q, c.time, c.dur, c.note, n.n, coalesce(min(e.j), n.n) AS s FROM c JOIN n ON c.piece = n.piece LEFT JOIN e ON e.piece = c.piece AND e.clock >= c.time - 27513 - 500 GROUP BY ALL),
+    r AS (SELECT *, max(s) OVER (PARTITION BY piece ORDER BY q ROWS UNBOUNDED PRECEDING) AS slot FROM s),
+    k AS (SELECT piece, slot AS j, 0 AS kind, q, time, dur, note FROM r WHERE slot < n UNION ALL SELECT piece, j, 1, 0, time, dur, note FROM e),
+    t AS (SELECT piece, flatten(list([time, dur, note] ORDER BY j, kind, q)) AS tokens FROM k GROUP BY piece)
+    SELECT n.piece, coalesce(tokens, []) AS tokens, CAST((SELECT count(*) FROM r WHERE r.piece = n.piece AND r.slot >= n.n) AS INTEGER) AS n_left FROM n LEFT JOIN t ON t.piece = n.piece
+    """,
+)
 def t08_anticipate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls woven in ahead of their time, and those left over."""
     e, c = tk.split("events")
@@ -241,7 +237,19 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@core.add("t14_pair_notes")
+@core.add(
+    "t14_pair_notes",
+    """
+    WITH RECURSIVE m AS (SELECT user_id AS piece, event_id AS seq, event_id / 64.0::DOUBLE AS t, (event_id * 13) % 5 < 2 AS started, CAST(event_id % 3 AS INTEGER) AS instr, CAST(event_id % 4 + 60 AS INTEGER) AS note FROM events WHERE user_id IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY piece, instr, note ORDER BY seq) AS k FROM m),
+    q AS (SELECT piece, instr, note, k, CASE WHEN started THEN [seq] ELSE CAST([] AS BIGINT[]) END AS waiting, CAST(NULL AS BIGINT) AS onset, CAST(NULL AS DOUBLE) AS ended FROM n WHERE k = 1
+          UNION ALL
+          SELECT n.piece, n.instr, n.note, n.k, CASE WHEN started THEN list_append(waiting, seq) ELSE waiting[2:] END, CASE WHEN NOT started THEN waiting[1] END, CASE WHEN NOT started AND len(waiting) > 0 THEN t END
+          FROM q JOIN n ON q.piece = n.piece AND q.instr = n.instr AND q.note = n.note AND n.k = q.k + 1)
+    SELECT m.piece, m.instr, m.note, 0 AS channel, m.seq AS onset_order, m.t AS onset, coalesce(CAST(round_even(100 * (q.ended - m.t), 0) AS INTEGER), -1) AS dur_ticks
+    FROM m LEFT JOIN q ON q.onset = m.seq AND q.piece = m.piece WHERE m.started
+    """,
+)
 def t14_pair_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Note-ons with the note-off that ends them."""
     return tk.pair_notes(_messages(spark, sf_dir), "piece", "seq", "t", "on", ["instr", "note", "channel"])
@@ -261,7 +269,14 @@ def t15_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.to_steps(_messages(spark, sf_dir), "piece", "seq", "t", "on", "instr", "note")
 
 
-@core.add("t15_steps_back")
+@core.add(
+    "t15_steps_back",
+    """
+    WITH m AS (SELECT user_id AS piece, event_id AS seq, event_id / 64.0::DOUBLE AS t, (event_id * 13) % 5 < 2 AS started, event_id % 3 AS instr, event_id % 4 + 60 AS note FROM events WHERE user_id IS NOT NULL),
+    s AS (SELECT *, CAST(least(round_even(100 * (t - coalesce(lag(t) OVER (PARTITION BY piece ORDER BY seq), 0)), 0), 999) AS BIGINT) AS step FROM m)
+    SELECT piece, seq * 2 + 1 AS at, CAST(sum(step) OVER (PARTITION BY piece ORDER BY seq) AS BIGINT) AS ticks, started, CAST(instr AS INTEGER) AS instr, CAST(note AS INTEGER) AS note FROM s
+    """,
+)
 def t15_steps_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages decoded from their interarrival encoding."""
     t = tk.to_steps(_messages(spark, sf_dir), "piece", "seq", "t", "on", "instr", "note").withColumn("at", F.col("seq") * 2 + F.col("part"))
@@ -280,13 +295,27 @@ def t16_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.on_off_messages(rows, "piece", "i").orderBy("piece", "at", "kind", "i")
 
 
-@core.add("t17_extraction")
+@core.add(
+    "t17_extraction",
+    f"""
+    WITH {SEQUENCE}, e AS (SELECT piece, (note - 11000) // 128 AS instr, row_number() OVER (PARTITION BY piece ORDER BY i) - 1 AS k FROM ev WHERE NOT control AND note <> 27512)
+    SELECT p.piece, CAST(count(e.piece) AS INTEGER) AS n, CAST(count(CASE WHEN instr IN (3, 14) THEN 1 END) AS INTEGER) AS chosen,
+           CAST(count(CASE WHEN ('0x' || md5('5|' || e.piece || '|' || k)[1:10])::BIGINT / 1099511627776.0 < 0.3 THEN 1 END) AS INTEGER) AS random
+    FROM (SELECT DISTINCT piece FROM ev) p LEFT JOIN e ON e.piece = p.piece GROUP BY p.piece
+    """,
+)
 def t17_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events turned into controls: chosen instruments, at random, in spans."""
+    """Events turned into controls: those of chosen instruments, and at random."""
     s = sequences(spark, sf_dir).select("piece", tk.unpad(tk.split("events")[0]).alias("e"))
     a, b = tk.extract_instruments("e", F.array(F.lit(3), F.lit(14))), tk.extract_random("e", F.col("piece"), 3.0, 5)
-    spans = tk.extract_spans(s, "piece", "e", 0.05, 5).select("piece", (F.size("controls") / 3).cast("int").alias("spans"))
-    return s.select("piece", F.size("e").alias("n"), F.size(a[1]).alias("chosen"), F.size(b[1]).alias("random")).join(spans, "piece")
+    return s.select("piece", F.size("e").alias("n"), F.size(a[1]).alias("chosen"), F.size(b[1]).alias("random"))
+
+
+@core.add("t17_spans")
+def t17_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events turned into controls in spans after exponential waits."""
+    s = sequences(spark, sf_dir).select("piece", tk.unpad(tk.split("events")[0]).alias("e"))
+    return tk.extract_spans(s, "piece", "e", 0.05, 5).select("piece", (F.size("controls") / 3).cast("int").alias("spans"))
 
 
 @core.add("t18_piece_windows")
@@ -409,20 +438,44 @@ def v28_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cb.revert(cb.build(_book_codes(spark, sf_dir), layout, 4, -1), layout, -1)
 
 
-@core.add("r09_inpaint_masks")
+@core.add(
+    "r09_inpaint_masks",
+    """
+    WITH d AS (SELECT event_id AS k, CAST(event_id % 41 AS INTEGER) AS n, [('0x' || md5(s || '|' || event_id)[1:10])::BIGINT / 1099511627776.0 FOR s IN ['3', '4', '7']] AS u FROM events),
+    g AS (SELECT *, CAST(1 + floor(u[2] * 10) AS BIGINT) AS c FROM d),
+    s AS (SELECT *, [{'i': i, 'n': 1 + floor(('0x' || md5('5|' || k || '|' || i)[1:10])::BIGINT / 1099511627776.0 * greatest(1, floor(n / c))), 'v': ('0x' || md5('6|' || k || '|' || i)[1:10])::BIGINT / 1099511627776.0} FOR i IN range(1, c + 1)] AS r FROM g),
+    t AS (SELECT *, list_transform(list_filter(r, lambda x: x.n <= n), lambda x: {'a': floor(x.v * (greatest(n - x.n, 0) + 1)), 'n': x.n}) AS w FROM s)
+    SELECT k AS event_id, CASE WHEN u[1] >= 0.4 AND u[1] < 0.4 + 0.2 THEN list_transform(range(40), lambda p: 0) WHEN n = 0 THEN list_transform(range(40), lambda p: 1)
+           WHEN u[1] < 0.4 THEN list_transform(range(40), lambda p: CASE WHEN len(list_filter(w, lambda x: p >= x.a AND p < x.a + x.n)) > 0 THEN 0 ELSE 1 END)
+           ELSE list_transform(range(40), lambda p: CASE WHEN p >= floor(u[3] * (n + 1)) AND p < n THEN 0 ELSE 1 END) END AS mask FROM t
+    """,
+)
 def r09_inpaint_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded masks: segments, all, or what follows a prefix."""
     k = F.col("event_id")
     return table(spark, sf_dir, "events").select("event_id", sm.inpaint_mask(k, F.lit(40), (k % 41).cast("int"), 3, (0.4, 0.2, 0.4)).alias("mask"))
 
 
-@core.add("r10_timesteps")
+_DRAW = "('0x' || md5('{}|' || event_id)[1:10])::BIGINT / 1099511627776.0"
+_NORMAL = f"sqrt(-2 * ln(greatest({_DRAW.format('{0}')}, 1e-12))) * cos(2 * pi() * {_DRAW.format('{1}')})"
+
+
+@core.add(
+    "r10_timesteps",
+    f"""
+    WITH z AS (SELECT event_id, {_NORMAL.format(11, 7930)} AS z, {_NORMAL.format(12, 7931)} AS y FROM events)
+    SELECT event_id, round(least(greatest(1 / (1 + exp(z * 2.0 - 1.2)), 1e-4), 1 - 1e-4), 9) AS t FROM z
+    """,
+)
 def r10_timesteps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded times by their log signal-to-noise ratio."""
-    return table(spark, sf_dir, "events").select("event_id", sm.logsnr_time(11, F.col("event_id")).alias("t"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(sm.logsnr_time(11, F.col("event_id")), 9).alias("t"))
 
 
-@core.add("stream_windowed_sums")
+@core.add(
+    "stream_windowed_sums",
+    "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+)
 def stream_windowed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums by type over the events as a stream, with a watermark (an extension)."""
     from tonearm.storage import scratch
@@ -431,4 +484,4 @@ def stream_windowed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "stream")
     s = windowed_sums(event_stream(spark, sf_dir, "events.parquet"), "ts", ["event_type"], "value", "1 hour", "10 minutes")
     run_to_table(s, f"{root}/out", f"{root}/state")
-    return latest(s, f"{root}/out", ["event_type"])
+    return latest(s, f"{root}/out", ["event_type"]).withColumns({"total": F.round("total", 6), "window_start": F.col("window_start").cast("timestamp_ntz")})

@@ -112,17 +112,39 @@ def j12_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vx.similar_pairs(embeddings(spark, sf_dir), "vec_id", "embedding", 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
-@core.add("v07_greedy_dedup")
+_GREEDY = """
+    pr AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) AS sim FROM x a JOIN x b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= {least}),
+    nb AS (SELECT b AS id, list(a ORDER BY a) AS earlier FROM pr GROUP BY b),
+    o AS (SELECT x.id, row_number() OVER (ORDER BY x.id) AS k, coalesce(earlier, []) AS e FROM x LEFT JOIN nb ON nb.id = x.id),
+    g(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+                   SELECT o.k, CASE WHEN list_has_any(kept, e) THEN kept ELSE list_append(kept, id) END FROM g JOIN o ON o.k = g.k + 1),
+    kp AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1))
+    SELECT b AS drop_id, min(a) AS keep_id, round(arg_min(sim, a), 6) AS similarity FROM pr WHERE a IN (SELECT id FROM kp) AND b NOT IN (SELECT id FROM kp) GROUP BY b
+"""
+
+
+def _dropped(d: DataFrame) -> DataFrame:
+    return d.select(F.col("drop").alias("drop_id"), F.col("keep").alias("keep_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@core.add("v07_greedy_dedup", f"WITH RECURSIVE {EMB}, x AS (SELECT u.vec_id AS id, u.v FROM u JOIN emb ON u.vec_id = emb.vec_id WHERE norm > 0), {_GREEDY.format(least=0.4)}")
 def v07_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a greedy scan drops at 0.4, and for which earlier row."""
-    return vx.dedup(embeddings(spark, sf_dir), "vec_id", "embedding", 0.4)
+    return _dropped(vx.dedup(embeddings(spark, sf_dir), "vec_id", "embedding", 0.4))
 
 
-@core.add("v07_track_duplicates")
+@core.add(
+    "v07_track_duplicates",
+    f"""
+    WITH RECURSIVE r AS (SELECT caption_id, CAST(audio_embedding AS DOUBLE[]) AS e FROM clap_embeddings WHERE len(audio_embedding) = 64 AND caption_id IS NOT NULL),
+    q AS (SELECT caption_id, min(e) AS e FROM r WHERE len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y) OR abs(y) >= 1e30)) = 0 GROUP BY caption_id),
+    w AS (SELECT caption_id AS id, e, sqrt(list_dot_product(e, e)) AS norm FROM q), x AS (SELECT id, list_transform(e, lambda y: y / norm) AS v FROM w WHERE norm > 0), {_GREEDY.format(least=0.95)}
+    """,
+)
 def v07_track_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same at 0.95 over the track vectors, per caption."""
     e = table(spark, sf_dir, "clap_embeddings").where("size(audio_embedding) = 64 and forall(audio_embedding, x -> x is not null and not isnan(x) and abs(x) < 1e30)")
-    return vx.dedup(e, "caption_id", "audio_embedding", 0.95)
+    return _dropped(vx.dedup(e, "caption_id", "audio_embedding", 0.95))
 
 
 _CENT = f"""
@@ -192,21 +214,43 @@ def v13_quality_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("vec_id", _r(ar.cosine("full", "text") - ar.cosine("loo", "text")).alias("a_star"))
 
 
-@core.add("v14_kernel_scores")
+# The inverse of the ridge matrix by Gauss-Jordan steps on its rows, with the unit matrix beside it; it needs no pivots.
+_KERNEL = f"""
+    {EMB}, tr AS (SELECT * FROM emb WHERE vec_id % 10 <> 0), qs AS (SELECT * FROM emb WHERE vec_id % 10 = 0),
+    cell AS (SELECT i, j, sum(e[i] * e[j]) + CASE WHEN i = j THEN 1e-3 ELSE 0 END AS x FROM tr, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j),
+    rw AS (SELECT i, list_concat(list(x ORDER BY j), list_transform(range(1, 65), lambda k: CASE WHEN k = i THEN 1.0 ELSE 0.0 END::DOUBLE)) AS row FROM cell GROUP BY i),
+    gj(i, m) AS (SELECT CAST(1 AS BIGINT), list(row ORDER BY i) FROM rw UNION ALL
+                 SELECT i + 1, list_transform(m, lambda row, k: CASE WHEN k = i THEN list_transform(row, lambda x: x / m[i][i])
+                               ELSE list_transform(row, lambda x, c: x - row[i] / m[i][i] * m[i][c]) END) FROM gj WHERE i <= 64),
+    iv AS (SELECT list_transform(m, lambda row: row[65:128]) AS m FROM gj WHERE i = 65),
+    qw AS (SELECT vec_id, e, norm, list_transform(m, lambda row: list_dot_product(row, e)) AS w FROM qs, iv),
+    ks AS (SELECT q.vec_id AS query, t.vec_id AS train, list_dot_product(q.w, t.e) AS score, list_dot_product(q.e, t.e) / (q.norm * t.norm) AS cosine FROM qw q, tr t)
+"""
+
+
+@core.add("v14_kernel_scores", f"WITH RECURSIVE {_KERNEL} SELECT query, train, round(score, 8) + 0.0 AS score FROM ks")
 def v14_kernel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge-kernel scores of query vectors against all train vectors."""
     e = embeddings(spark, sf_dir)
-    return at.kernel_scores(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "vec_id", "vec_id", "embedding", D, 1e-3)
+    s = at.kernel_scores(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "vec_id", "vec_id", "embedding", D, 1e-3)
+    return s.withColumn("score", _r("score", 8))
 
 
-@core.add("v14_rank_vs_cosine")
+@core.add(
+    "v14_rank_vs_cosine",
+    f"""
+    WITH RECURSIVE {_KERNEL}, rd AS (SELECT cosine, row_number() OVER (PARTITION BY query ORDER BY score DESC, train DESC) - 1 AS rank FROM ks)
+    SELECT rank, round(avg(cosine), 6) + 0.0 AS mean, round(stddev_pop(cosine), 6) AS std, count(*) AS n FROM rd WHERE rank < 50 GROUP BY rank
+    """,
+)
 def v14_rank_vs_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean cosine at each influence rank: kernel scores ranked, cosines gathered by rank."""
     e = embeddings(spark, sf_dir)
     train, queries = e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0")
     ranked = rk.ranked_by_score(at.kernel_scores(train, queries, "vec_id", "vec_id", "embedding", D), "query", "train", "score", 50)
     cos = at.gather_products(queries, train, "vec_id", "vec_id", "embedding").withColumnRenamed("score", "cosine")
-    return rk.by_rank(ranked.join(cos, ["query", "train"]), "rank", "cosine")
+    b = rk.by_rank(ranked.join(cos, ["query", "train"]), "rank", "cosine")
+    return b.select(F.col("rank").cast("bigint").alias("rank"), _r("mean").alias("mean"), _r("std").alias("std"), "n")
 
 
 @core.add("v15_frechet")
@@ -217,6 +261,44 @@ def v15_frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d,)], "distance double")
 
 
+_PLANE = """
+    v AS (SELECT vec_id % 2 AS side, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)
+"""
+
+
+@core.add(
+    "v15_frechet_plane",
+    f"""
+    WITH {_PLANE}, m AS (SELECT side, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM v GROUP BY side),
+    p AS (SELECT (l.mx - r.mx) * (l.mx - r.mx) + (l.my - r.my) * (l.my - r.my) AS d, l.a + l.c + r.a + r.c AS t, l.a * r.a + 2 * l.b * r.b + l.c * r.c AS tr,
+                 (l.a * l.c - l.b * l.b) * (r.a * r.c - r.b * r.b) AS det FROM m l JOIN m r ON l.side = 0 AND r.side = 1)
+    SELECT round(d + t - 2 * sqrt(tr + 2 * sqrt(det)), 9) AS distance FROM p
+    """,
+)
+def v15_frechet_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the first two dimensions, where the root of a matrix has a closed form."""
+    e = embeddings(spark, sf_dir)
+    d = vx.frechet_distance(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "embedding", 2)
+    return spark.createDataFrame([(d,)], "distance double").select(F.round("distance", 9).alias("distance"))
+
+
+@core.add(
+    "v17_principal_plane",
+    f"""
+    WITH {_PLANE}, m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM v),
+    w AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l FROM m),
+    n AS (SELECT mx, my, b / sqrt(b * b + (l - a) * (l - a)) AS p, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS q FROM w),
+    s AS (SELECT mx, my, p * sign(CASE WHEN abs(p) >= abs(q) THEN p ELSE q END) AS p, q * sign(CASE WHEN abs(p) >= abs(q) THEN p ELSE q END) AS q FROM n)
+    SELECT vec_id, round(p * (embedding[1] - mx) + q * (embedding[2] - my), 7) + 0.0 AS first,
+           round(CASE WHEN abs(q) >= abs(p) THEN sign(q) * (q * (embedding[1] - mx) - p * (embedding[2] - my)) ELSE sign(p) * (p * (embedding[2] - my) - q * (embedding[1] - mx)) END, 7) + 0.0 AS second FROM embeddings, s
+    """,
+)
+def v17_principal_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two dimensions turned to their directions of largest variance."""
+    p = vx.projected(embeddings(spark, sf_dir).select("vec_id", F.slice("embedding", 1, 2).alias("embedding")), "embedding", 2, 2)
+    return p.select("vec_id", _r(F.get("projection", 0), 7).alias("first"), _r(F.get("projection", 1), 7).alias("second"))
+
+
 _MMD = f"""
     {EMB}, a AS (SELECT * FROM emb WHERE vec_id % 2 = 0), b AS (SELECT * FROM emb WHERE vec_id % 2 = 1)
 """
@@ -338,18 +420,27 @@ def v26_mixed_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("back", ar.digits_to_index("digits", [8, 5, 5]))
 
 
-@core.add("v27_soft_mask")
+@core.add(
+    "v27_soft_mask",
+    """
+    WITH a AS (SELECT n_nationkey, floor((n_nationkey + 10)::DOUBLE / 100 * 100) AS a FROM nation),
+    m AS (SELECT n_nationkey, list_transform(range(100), lambda i: 0.75 * CASE WHEN i >= 60 AND i < 80 THEN 0.5 - 0.5 * cos(2 * pi() * (i - 40) / 39) WHEN i >= a AND i < a + 10 THEN 0.5 - 0.5 * cos(2 * pi() * (i - a) / 19)
+                  WHEN i >= a AND i < 80 THEN 1.0 ELSE 0.0 END) AS m FROM a)
+    SELECT n_nationkey, list_transform(m, lambda x: round(x, 9)) AS mask, list_transform(m, lambda x: CAST(CASE WHEN x <= 0.5 THEN 1 ELSE 0 END AS INTEGER)) AS binary FROM m
+    """,
+)
 def v27_soft_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft masks, and what they are at some step."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", ar.soft_mask(100, (F.col("n_nationkey") + 10).cast("double"), 80, 10, 20, 0.25).alias("mask"))
-    return n.withColumn("binary", ar.binary_mask_at("mask", 4, 10))
+    n = n.withColumn("binary", ar.binary_mask_at("mask", 4, 10))
+    return n.withColumn("mask", F.transform("mask", lambda x: F.round(x, 9)))
 
 
-_PAIR = f"{_SIG}, p AS (SELECT a.vec_id, a.s[1:10] AS a, b.s[1:10] AS b FROM v a JOIN v b ON a.vec_id + 20 = b.vec_id WHERE a.vec_id % 20 >= 9)"
+_PAIR = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings), p AS (SELECT a.vec_id, a.s AS a, b.s AS b FROM v a JOIN v b ON a.vec_id + 20 = b.vec_id)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark, sf_dir).where("vec_id % 20 >= 9").select("vec_id", F.slice("s", 1, 10).alias("a"))
+    s = embeddings(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     return s.join(s.select((F.col("vec_id") - 20).alias("vec_id"), F.col("a").alias("b")), "vec_id")
 
 
@@ -402,25 +493,35 @@ def l05_gaussian_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("vec_id", F.round(ar.gaussian_kl("a", "b"), 6).alias("kl"))
 
 
-@core.add("l06_moment_penalty")
+@core.add(
+    "l06_moment_penalty",
+    """
+    WITH c AS (SELECT label, vec_id, unnest(range(64)) AS p, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+    r AS (SELECT avg(x) AS m, greatest(var_samp(x), 1e-4) AS v FROM c GROUP BY label, vec_id), k AS (SELECT avg(x) AS m, greatest(var_samp(x), 1e-4) AS v FROM c GROUP BY label, p),
+    t AS (SELECT (SELECT avg(m * m + v - ln(v) - 1) FROM r) AS a, (SELECT avg(m * m + v - ln(v) - 1) FROM k) AS b)
+    SELECT round(a, 8) AS along_rows, round(b, 8) AS along_positions, round(a + 0.4 * b, 8) AS penalty FROM t
+    """,
+)
 def l06_moment_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of means and variances from 0 and 1, along rows and positions."""
-    return vx.moment_penalty(embeddings(spark, sf_dir), "label", "embedding")
+    m = vx.moment_penalty(embeddings(spark, sf_dir), "label", "embedding")
+    return m.select(*(F.round(c, 8).alias(c) for c in m.columns))
 
 
 @core.add(
     "l08_cross_entropy",
     f"""
-    WITH {_PAIR}, x AS (SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS book, a, CAST(vec_id % 10 AS INTEGER) AS target FROM p WHERE vec_id % 7 <> 0),
-    e AS (SELECT book, ln(list_sum(list_transform(a, lambda v: exp(v)))) - a[target + 1] AS ce FROM x)
-    SELECT book, round(avg(ce), 6) AS ce, count(*) AS n FROM e GROUP BY book
+    WITH {_PAIR}, x AS (SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS book, a, CAST(vec_id % 64 AS INTEGER) AS target, vec_id % 7 <> 0 AS counted FROM p),
+    e AS (SELECT book, counted, ln(list_sum(list_transform(a, lambda v: exp(v)))) - a[target + 1] AS ce FROM x)
+    SELECT book, round(avg(ce), 6) AS ce, round(avg(CASE WHEN counted THEN ce END), 6) AS masked, count(CASE WHEN counted THEN 1 END) AS n FROM e GROUP BY book
     """,
 )
 def l08_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-entropy by code book over the unmasked steps."""
+    """Cross-entropy by code book over all steps and over the unmasked ones."""
     k = F.col("vec_id")
-    ce = ar.cross_entropy("a", k % 10)
-    return _pairs(spark, sf_dir).where("vec_id % 7 <> 0").groupBy((k % 4).cast("int").alias("book")).agg(F.round(F.avg(ce), 6).alias("ce"), F.count(F.lit(1)).alias("n"))
+    ce = ar.cross_entropy("a", k % 64)
+    masked = F.when(k % 7 != 0, ce)
+    return _pairs(spark, sf_dir).groupBy((k % 4).cast("int").alias("book")).agg(F.round(F.avg(ce), 6).alias("ce"), F.round(F.avg(masked), 6).alias("masked"), F.count(masked).alias("n"))
 
 
 @core.add(
