@@ -273,3 +273,24 @@ def log_sum_exp(v: Column | str) -> Column:
 def cross_entropy(logits: Column | str, target: Column | str) -> Column:
     """The negative log probability of the target's place (from 0)."""
     return log_sum_exp(logits) - F.get(doubles(logits), _c(target).cast("int"))
+
+
+def code_matrix(codes: Column | str, deep: bool = False) -> Column:
+    """Codes as [book][frame]: of three levels (deep) one of size 1 is dropped, the outermost such one, or the first matrix is
+    taken; a matrix with more rows than columns is turned.
+    """
+    c = _c(codes)
+    if deep:
+        inner = F.get(c, 0)
+        c = (
+            F.when(F.size(c) == 1, inner)
+            .when(F.size(inner) == 1, F.transform(c, lambda m: F.get(m, 0)))
+            .when(F.size(F.get(inner, 0)) == 1, F.transform(c, lambda m: F.transform(m, lambda r: F.get(r, 0))))
+            .otherwise(inner)
+        )
+
+    def turned(m: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(F.get(m, 0)) - 1, F.lit(0)))
+        return F.when(F.size(m) > F.size(F.get(m, 0)), F.transform(at, lambda j: F.transform(m, lambda r: F.get(r, j)))).otherwise(m)
+
+    return let(c, turned)

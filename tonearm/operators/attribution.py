@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,13 +110,27 @@ def extremes(scores: DataFrame, query: str = "query", train: str = "train", scor
     )
 
 
+def rows_of(column: pa.Array, d: int | None = None) -> np.ndarray:
+    """A column of lists of doubles, none null, as a matrix of their first d values; lists of other lengths than the first are
+    an error.
+    """
+    n = len(column)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    width = len(values) // n if n else d or 0
+    if n and not pc.all(pc.equal(pc.list_value_length(column), width)).as_py():
+        if d is None:
+            raise ValueError("vectors of different lengths")
+        return np.stack([np.asarray(v[:d], float) for v in column.to_pylist()])
+    return np.asarray(values, float).reshape(n, width)[:, :d]
+
+
 def gram(train: DataFrame, vector: str, d: int) -> np.ndarray:
     """The d x d matrix of inner products of the columns of all vectors, summed where the rows are."""
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for b in batches:
             if b.num_rows:
-                x = np.stack([np.asarray(v[:d], float) for v in b.column(0).to_pylist()])
+                x = rows_of(b.column(0), d)
                 total += x.T @ x
         yield pa.RecordBatch.from_pydict({"i": np.repeat(np.arange(d), d), "j": np.tile(np.arange(d), d), "v": total.ravel()})
 
@@ -164,7 +179,7 @@ def gather_products(
             for b in batches:
                 for at in range(0, b.num_rows, 512):
                     some = b.slice(at, 512)
-                    x = np.array([v[:d] for v in some.column(1).to_pylist()], float)
+                    x = rows_of(some.column(1), d)
                     if plain:
                         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                     ts = some.column(0).to_numpy()

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.functions.scalar import shuffled
+from tonearm.functions.scalar import draw, shuffled
+from tonearm.operators.skew import number_rows
+from tonearm.operators.stats import percentiles
 from tonearm.storage import cut
 
 
@@ -52,11 +55,11 @@ def within(c: Column | str, low: Column | int | None, high: Column | int | None)
 
 def quantile_labels(df: DataFrame, value: str, cuts: Sequence[float], labels: Sequence[str], name: str) -> DataFrame:
     """df with the label of the right-closed bin between exact quantiles that the value lies in; one row of cuts is broadcast."""
-    qs = df.agg(F.percentile(F.col(value), list(cuts)).alias("__q"))
+    qs = percentiles(df, value, cuts).select(F.col("p").alias("__q"))
     out = F.lit(labels[-1])
     for i in reversed(range(len(cuts))):
         out = F.when(F.col(value) <= F.get("__q", i), labels[i]).otherwise(out)
-    one = df.withColumn("__k", F.lit(1)).join(F.broadcast(qs.withColumn("__k", F.lit(1))), "__k")
+    one = df.withColumn("__k", F.lit(1)).join(F.broadcast(qs.withColumn("__k", F.lit(1))), "__k", "left")
     return one.withColumn(name, out).drop("__q", "__k")
 
 
@@ -72,8 +75,8 @@ def quartiles(df: DataFrame, value: str, name: str = "band") -> DataFrame:
 
 def nearest_to_median(df: DataFrame, tier: str, value: str, tie: Sequence[Column], k: int, name: str = "place") -> DataFrame:
     """The k rows of each tier whose value is nearest to the tier's median, ties by the order given; place from 1."""
-    med = df.groupBy(tier).agg(F.percentile(F.col(value), 0.5).alias("__med"))
-    near = df.join(F.broadcast(med), tier).withColumn("__dist", F.abs(F.col(value) - F.col("__med")))
+    med = percentiles(df, value, [0.5], [tier]).select(tier, F.get("p", 0).alias("__med"))
+    near = df.join(med, tier).withColumn("__dist", F.abs(F.col(value) - F.col("__med")))
     place = F.row_number().over(Window.partitionBy(tier).orderBy("__dist", *tie))
     return near.withColumn(name, place).where(F.col(name) <= k).drop("__med", "__dist")
 
@@ -94,14 +97,33 @@ def diverse_picks(ranked: DataFrame, tier: str, place: str, genre: str, tiers: S
     return out
 
 
+def diverse_median_picks(df: DataFrame, tier: str, value: str, genre: str, tie: Sequence[Column], tiers: Sequence[str] = ("low", "mid", "high")) -> DataFrame:
+    """Of each tier, in order, the row nearest to the median of those whose genre no earlier tier took, or of all if none is
+    left; ties by the order given. The median is taken anew after genres are left out, and one row a tier is held.
+    """
+    out, used = None, []
+    for t in tiers:
+        own = df.where(F.col(tier) == t)
+        free = own.where(~F.coalesce(F.col(genre).isin(used), F.lit(False))) if used else own
+        free = own if free.isEmpty() else free
+        middle = percentiles(free, value, [0.5]).first()
+        if middle is None:
+            continue
+        pick = cut(free.orderBy(F.abs(F.col(value) - F.lit(middle.p[0])), *tie).limit(1), "pick")
+        used += [r[genre] for r in pick.select(genre).collect() if r[genre] is not None]
+        out = pick if out is None else out.unionByName(pick)
+    return df.limit(0) if out is None else out
+
+
 def walk_order(ranked: DataFrame, picks: DataFrame, key: str, tier: str, place: str, tiers: Sequence[str] = ("low", "mid", "high")) -> DataFrame:
     """ranked with walk_no: all picks by tier, then the others round-robin: each tier's first, each tier's second, and so on."""
     at = F.array_position(F.array(*(F.lit(t) for t in tiers)), F.col(tier))
     joined = ranked.join(F.broadcast(picks.select(F.col(key).alias("__p"))), F.col(key) == F.col("__p"), "left")
     joined = joined.withColumn("__fb", F.col("__p").isNull().cast("int"))
     nth = F.row_number().over(Window.partitionBy(tier, "__fb").orderBy(place))
-    joined = joined.withColumn("__n", nth)
-    return joined.withColumn("walk_no", F.row_number().over(Window.orderBy("__fb", "__n", at))).drop("__p", "__fb", "__n")
+    joined = joined.withColumns({"__n": nth, "__t": at})
+    numbered = sequence_numbers(joined, ["__fb", "__n", "__t"], "walk_no").withColumn("walk_no", F.col("walk_no") + 1)
+    return numbered.drop("__p", "__fb", "__n", "__t")
 
 
 def reconcile_quotas(quotas: dict[str, int], caps: dict[str, int], seats: int) -> dict[str, int]:
@@ -165,7 +187,7 @@ def prompt_grid(sellers: DataFrame, seller: str, n_sellers: int, n_prompts: int,
     off = n_prompts - per * n_sellers
     if off < 1:
         raise ValueError("too few prompts for a control")
-    own = sellers.select(F.col(seller).alias("linked_seller"), F.row_number().over(Window.orderBy(seller)).alias("__s"))
+    own = sequence_numbers(sellers.select(F.col(seller).alias("linked_seller")), ["linked_seller"], "__s").withColumn("__s", F.col("__s") + 1)
     own = own.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     pool = F.array(*(F.lit(t) for t in templates))
     on = own.select(
@@ -184,6 +206,38 @@ def prompt_grid(sellers: DataFrame, seller: str, n_sellers: int, n_prompts: int,
     return on.union(rest)
 
 
+def redrawn(df: DataFrame, key: str, ok: Column, order: Sequence[Column | str], seed: int = 0) -> DataFrame:
+    """df with each row that isn't ok replaced by a row drawn among those that are, keyed by its own key; drawn_for is the key
+    of the row replaced, or null. Without any ok row nothing is left.
+    """
+    good = sequence_numbers(df.where(ok), list(order), "__at")
+    n = good.count()
+    bad = df.where(~F.coalesce(ok, F.lit(False))).select(F.col(key).alias("drawn_for"), F.floor(draw(seed, key) * n).alias("__at"))
+    put = good.join(bad, "__at")
+    return good.withColumn("drawn_for", F.lit(None).cast(dict(df.dtypes)[key])).drop("__at").unionByName(put.drop("__at"))
+
+
+def ordered_map(df: DataFrame, order: Sequence[Column | str], function, schema: str) -> DataFrame:
+    """What a function of Arrow batches makes of the rows of df, in parallel, sorted by the rows' positions in the order.
+
+    function: a generator over record batches that has to yield as many rows as it gets, in order; schema: of its columns. The
+    position, idx, is carried past it.
+    """
+    rows = sequence_numbers(df, order, "idx")
+    own = [c for c in rows.columns if c != "idx"]
+
+    def run(batches):
+        for b in batches:
+            made = pa.Table.from_batches(list(function(iter([b.select(own)])))).combine_chunks()
+            if made.num_rows != b.num_rows:
+                raise ValueError("an ordered map has to yield a row for each row")
+            if b.num_rows:
+                made = made.append_column("idx", b.column("idx"))
+                yield from made.to_batches()
+
+    return rows.mapInArrow(run, f"{schema}, idx bigint").orderBy("idx")
+
+
 def top_counts(df: DataFrame, value: str, k: int) -> DataFrame:
     """The k most frequent values with their counts, ties by value."""
     return df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), value).limit(k)
@@ -191,7 +245,5 @@ def top_counts(df: DataFrame, value: str, k: int) -> DataFrame:
 
 def sequence_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "idx") -> DataFrame:
     """df numbered from 0 in an order, by range partitions and offsets, so that the whole never passes through one task."""
-    from tonearm.operators.skew import number_rows
-
     one = number_rows(df.withColumn("__all", F.lit(0)), ["__all"], list(order), name).drop("__all")
     return one.withColumn(name, F.col(name) - 1)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.operators.attribution import complete_grid
+from tonearm.operators.catalog import sequence_numbers
 
 
 def _grid(spark: SparkSession, books: int, frames: int) -> DataFrame:
@@ -53,9 +54,9 @@ def unrolled(spark: SparkSession, books: int, frames: int, flattening: Sequence[
     lag_of = F.array(*(F.lit(next(iter(by_step.get(s, {0})))) for s in range(inner)))
     cells = spark.range(last * inner).select(F.floor(F.col("id") / inner).cast("int").alias("frame"), (F.col("id") % inner).cast("int").alias("__s"))
     cells = cells.withColumns({"__books": F.get(of_step, F.col("__s")), "__at": F.col("frame") + F.get(lag_of, F.col("__s"))}).where(F.col("__at") < last)
-    place = Window.orderBy("__at", F.size("__books") > 0, "frame", F.coalesce(F.get("__books", 0), F.col("__s")))
-    numbered = cells.withColumn("step", F.row_number().over(place)).where(F.col("frame") < frames)
-    return numbered.select("step", F.explode("__books").alias("book"), "frame")
+    place = ["__at", F.size("__books") > 0, "frame", F.coalesce(F.get("__books", 0), F.col("__s"))]
+    numbered = sequence_numbers(cells, place, "step").where(F.col("frame") < frames)
+    return numbered.select((F.col("step") + 1).cast("int").alias("step"), F.explode("__books").alias("book"), "frame")
 
 
 def coarse_first(spark: SparkSession, books: int, frames: int, delays: Sequence[int] | None = None) -> DataFrame:
@@ -83,7 +84,7 @@ def build(codes: DataFrame, layout: DataFrame, books: int, special: int, steps:
     n = steps or length(layout)
     ids = codes.select("id").distinct()
     grid = ids.withColumn("book", F.explode(F.sequence(F.lit(0), F.lit(books - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    placed = codes.join(F.broadcast(layout), ["book", "frame"]).select("id", "book", "step", "code")
+    placed = codes.join(layout, ["book", "frame"]).select("id", "book", "step", "code")
     return grid.join(placed, ["id", "book", "step"], "left").select("id", "book", "step", F.coalesce("code", F.lit(special)).alias("code"))
 
 

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.operators.skew import number_rows
+from tonearm.operators.stats import percentiles
+from tonearm.storage import cut
+
 
 def ranked_by_score(scores: DataFrame, query: str, train: str, score: str, most: int, name: str = "rank") -> DataFrame:
     """Each query's rows up to rank most, the highest score first, of equals the higher index; ranks from 0.
@@ -24,7 +28,7 @@ def by_rank(ranked: DataFrame, rank: str, value: str) -> DataFrame:
 
 def samples(scores: DataFrame, query: str, train: str, score: str, n: int) -> DataFrame:
     """(query, kind, place, train, score): each query's n highest, n lowest and n nearest to the median; ties by index."""
-    med = scores.groupBy(query).agg(F.percentile(F.col(score), 0.5).alias("__m"))
+    med = percentiles(scores, score, [0.5], [query]).select(query, F.get("p", 0).alias("__m"))
     near = scores.join(med, query)
     orders = {"top": [F.col(score).desc(), F.col(train)], "bottom": [F.col(score).asc(), F.col(train)], "middle": [F.abs(F.col(score) - F.col("__m")), F.col(train)]}
     out = None
@@ -55,13 +59,14 @@ def cap_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 def empirical_cdf(df: DataFrame, value: str, name: str = "cdf") -> DataFrame:
     """(value, n, cdf): each different value, how often it occurs and the share of rows up to it.
 
-    Equal rows of a sorted list would get rising shares; the last of them, given here, is the same for every order. Counts
-    are made before the running sum, which then runs over different values only.
+    Equal rows of a sorted list would get rising shares; the last of them, given here, is the same for every order. The rows
+    are numbered by range partitions and offsets, so that nothing runs through all of them in one task.
     """
-    per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = F.sum("n").over(Window.partitionBy())
-    return per.select(value, "n", (upto / whole).alias(name))
+    rows = df.where(F.col(value).isNotNull()).select(value).withColumn("__all", F.lit(0))
+    per = number_rows(rows, ["__all"], [value], "__no").groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.max("__no").alias("__upto"))
+    per = cut(per, "counts")
+    whole = per.agg(F.max("__upto")).first()[0] or 1
+    return per.select(value, "n", (F.col("__upto") / whole).alias(name))
 
 
 def nucleus(df: DataFrame, keys: Sequence[str], p: str, item: str, top_p: float) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.operators.skew import number_rows
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -48,18 +50,61 @@ def mean_squared_error(x: Column | str, y: Column | str) -> Column:
     return F.avg(d * d)
 
 
-def with_average_rank(df: DataFrame, value: str, keys: Sequence[str], name: str, descending: bool = False) -> DataFrame:
-    """df with the rank of value within keys, from 1; equal values share the mean of their ranks."""
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    place = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(name, place + (ties - 1) / 2.0)
+def percentiles(df: DataFrame, value: str, cuts: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, p): exact percentiles of a column by key, with linear interpolation, as an array of doubles in the order of cuts;
+    a key without values has no row.
+
+    The rows are numbered by range partitions and offsets, and only those next to a cut go on, so that no task needs all the
+    values of a key.
+    """
+    own = [*keys] or ["__all"]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = number_rows(rows if keys else rows.withColumn("__all", F.lit(0)), own, ["__v"], "__no")
+    sizes = rows.groupBy(*own).agg(F.max("__no").alias("__n"))
+    places = [F.lit(float(c)) * (F.col("__n") - 1) for c in cuts]
+    sizes = sizes.select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(own)), "__n")
+    near = rows.join(F.broadcast(sizes) if not keys else sizes, _same(own), "inner")
+    wanted = F.array(*(F.floor(p) for p in places), *(F.ceil(p) for p in places))
+    near = near.where(F.array_contains(wanted, F.col("__no") - 1))
+    got = near.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct(F.col("__no") - 1, F.col("__v")))).alias("__m"), F.max("__n").alias("__n"))
+
+    def between(p: Column) -> Column:
+        low, high = F.element_at("__m", F.floor(p)), F.element_at("__m", F.ceil(p))
+        return low + (high - low) * (p - F.floor(p))
+
+    return got.select(*keys, F.array(*(between(p) for p in places)).alias("p"))
+
+
+def _same(keys: Sequence[str], prefix: str = "__key") -> Column:
+    """The condition that keys equal the columns of another table that stand for them, nulls too."""
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return out
+
 
+def with_average_rank(df: DataFrame, value: str, keys: Sequence[str], name: str, descending: bool = False, groups_fit: bool = False) -> DataFrame:
+    """df with the rank of value within keys, from 1; equal values share the mean of their ranks.
 
-def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "spearman") -> DataFrame:
-    """(keys, name, n) by key over the rows where both values are finite."""
+    groups_fit: all rows of a key fit into a task, as the queries of one contributor do; a window ranks them. Otherwise the rows
+    are numbered by range partitions and offsets, and equal values take the mean of their first and last number.
+    """
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    if groups_fit:
+        place = F.rank().over(Window.partitionBy(*keys).orderBy(order))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+        return df.withColumn(name, place + (ties - 1) / 2.0)
+    rows = number_rows(df, keys, [order], "__no")
+    by = [*keys, value]
+    ranks = rows.groupBy(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(by))).agg(((F.min("__no") + F.max("__no")) / 2.0).alias(name))
+    return rows.join(ranks, _same(by)).select(*df.columns, name)
+
+
+def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "spearman", groups_fit: bool = False) -> DataFrame:
+    """(keys, name, n) by key over the rows where both values are finite; groups_fit as in with_average_rank()."""
     ok = df.where(is_finite(x) & is_finite(y)).select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    ranked = with_average_rank(with_average_rank(ok, "__x", keys, "__rx"), "__y", keys, "__ry")
+    ranked = with_average_rank(ok, "__x", keys, "__rx", groups_fit=groups_fit)
+    ranked = with_average_rank(ranked, "__y", keys, "__ry", groups_fit=groups_fit)
     return ranked.groupBy(*keys).agg(pearson("__rx", "__ry").alias(name), F.count(F.lit(1)).alias("n"))
 
 
@@ -74,14 +119,17 @@ def estimates(df: DataFrame, keys: Sequence[str], hat: str, star: str) -> DataFr
         slope("__h", "__s").alias("i_hat"),
         slope("__s", "__h").alias("k_hat"),
         F.var_samp("__s").alias("var_star"),
+        F.var_samp("__h").alias("__vh"),
+        F.covar_samp("__h", "__s").alias("__c"),
         mean_squared_error("__h", "__s").alias("mse"),
         F.count(F.lit(1)).alias("n"),
     )
-    scaled = rows.join(first.select(*keys, F.col("k_hat").alias("__k")).where(F.abs("__k") >= 1e-12), list(keys))
-    noise = scaled.groupBy(*keys).agg(F.var_samp(F.try_divide(F.col("__h"), F.col("__k")) - F.col("__s")).alias("__noise"))
-    ranks = rank_correlation(rows, keys, "__h", "__s").select(*keys, "spearman")
-    out = first.join(noise, list(keys), "left").join(ranks, list(keys), "left")
-    snr = F.when(F.col("__noise") <= 0, float("inf")).otherwise(F.try_divide("var_star", "__noise"))
+    ranks = rank_correlation(rows, keys, "__h", "__s", groups_fit=True).select(*keys, "spearman")
+    out = first.join(ranks, list(keys), "left")
+    # The variance of hat / k - star, from the centred sums of the same pass.
+    k = F.when(F.abs("k_hat") >= 1e-12, F.col("k_hat"))
+    noise = F.try_divide(F.col("__vh"), k * k) - 2 * F.try_divide(F.col("__c"), k) + F.col("var_star")
+    snr = F.when(noise <= 0, float("inf")).otherwise(F.try_divide("var_star", noise))
     return out.select(
         *keys, "i_hat", "k_hat", "spearman", snr.alias("snr"), snr_from_slope("i_hat").alias("snr_shortcut"), "var_star", "mse", "n"
     )
@@ -91,33 +139,31 @@ def jackknife(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str) ->
     """Per key the slope of y on x over all items, and the least, the largest and the spread of the slopes without one item,
     the item whose absence changes it most, and the change. The first item stands where no change is defined.
 
-    The slopes without an item follow from the key's sums, centred on its means, so there is no self-join.
+    The slopes without an item follow from the key's sums, centred on its means; means, sums and result need one shuffle by
+    key. A key's items, which are as many as queries, are read by one task.
     """
+    w = Window.partitionBy(*keys)
     rows = df.select(*keys, F.col(item).alias("__i"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    means = rows.groupBy(*keys).agg(
-        F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"), F.count(F.lit(1)).alias("__n"), slope("__x", "__y").alias("__full")
+    c = rows.withColumns(
+        {"__u": F.col("__x") - F.avg("__x").over(w), "__v": F.col("__y") - F.avg("__y").over(w), "__n": F.count(F.lit(1)).over(w), "__full": slope("__x", "__y").over(w)}
     )
-    c = rows.join(means, list(keys)).withColumns({"__u": F.col("__x") - F.col("__mx"), "__v": F.col("__y") - F.col("__my")})
-    sums = c.groupBy(*keys).agg(F.sum(F.col("__u") * F.col("__u")).alias("__uu"), F.sum(F.col("__u") * F.col("__v")).alias("__uv"))
-    c = c.join(sums, list(keys))
+    c = c.withColumns({"__uu": F.sum(F.col("__u") * F.col("__u")).over(w), "__uv": F.sum(F.col("__u") * F.col("__v")).over(w)})
     share = F.try_divide(F.col("__n"), F.col("__n") - 1)
     left_uu = F.col("__uu") - F.col("__u") * F.col("__u") * share
     left_uv = F.col("__uv") - F.col("__u") * F.col("__v") * share
     without = F.when((F.col("__n") > 2) & (left_uu > F.col("__uu") * 1e-14), F.try_divide(left_uv, left_uu))
     c = c.withColumn("__w", without).withColumn("__d", F.col("__w") - F.col("__full"))
+    most = F.when(F.col("__d").isNotNull(), F.struct((-F.abs("__d")).alias("a"), F.col("__i").alias("i"), F.col("__d").alias("d")))
     out = c.groupBy(*keys).agg(
         F.max("__full").alias("slope"),
         F.min("__w").alias("least"),
         F.max("__w").alias("most"),
         F.stddev_samp("__w").alias("spread"),
-        F.max(F.abs("__d")).alias("__best"),
+        F.min(most).alias("__hit"),
         F.min("__i").alias("__first"),
         F.count(F.lit(1)).alias("n"),
     )
-    hit = c.join(out.select(*keys, "__best"), list(keys)).where(F.abs("__d") == F.col("__best"))
-    hit = hit.groupBy(*keys).agg(F.min("__i").alias("__hit"), F.min_by("__d", "__i").alias("change"))
-    out = out.join(hit, list(keys), "left")
-    return out.select(*keys, "slope", "least", "most", "spread", F.coalesce("__hit", "__first").alias("item"), "change", "n")
+    return out.select(*keys, "slope", "least", "most", "spread", F.coalesce("__hit.i", "__first").alias("item"), F.col("__hit.d").alias("change"), "n")
 
 
 Statistic = Callable[[np.ndarray, np.ndarray], float]
@@ -272,13 +318,10 @@ def combined(df: DataFrame, statistic: str, pvalue: str) -> DataFrame:
 def summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """count, mean, population deviation, least, quartiles and largest of a column, by keys; null statistics for no values."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.min(v).alias("least"),
-        F.percentile(v, 0.25).alias("p25"),
-        F.percentile(v, 0.5).alias("median"),
-        F.percentile(v, 0.75).alias("p75"),
-        F.max(v).alias("most"),
+    base = df.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most")
     )
+    named = percentiles(df, value, [0.25, 0.5, 0.75], keys)
+    named = named.select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), *(F.get("p", i).alias(c) for i, c in enumerate(("p25", "median", "p75"))))
+    out = base.join(named, _same(keys), "left") if keys else base.withColumn("__one", F.lit(1)).join(F.broadcast(named.withColumn("__one", F.lit(1))), "__one", "left")
+    return out.select(*keys, "n", "mean", "std", "least", "p25", "median", "p75", "most")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,25 +245,30 @@ def events_to_compound(events: Column | str) -> Column:
             triple(e["time"] - shift_of(e), e["dur"] - shift_of(e) - DUR, e["note"] - shift_of(e) - NOTE)
         ),
     )
-    zero = F.struct(F.lit(0).alias("offset"), F.lit(0).alias("most"), F.array().cast("array<struct<time:int,dur:int,note:int,instr:int,velocity:int>>").alias("out"))
+    # Of each piece between separators the largest end; the pieces before give the offset. What is folded is a number a piece.
+    def words(held: Column) -> Column:
+        stops = F.concat(F.filter(F.transform(held, lambda e, i: F.when(e["note"] == -1, i)), lambda i: i.isNotNull()), F.array(F.size(held)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(stops, F.lit(1), F.size(stops) - 1), lambda i: i + 1))
+        parts = F.zip_with(starts, stops, lambda a, b: F.slice(held, a + 1, b - a))
+        most = F.transform(parts, lambda p: F.greatest(F.coalesce(F.array_max(F.transform(p, lambda e: e["time"] + e["dur"])), F.lit(0)), F.lit(0)))
 
-    def step(acc: Column, e: Column) -> Column:
+        def put(tops: Column) -> Column:
+            offset = lambda i: F.aggregate(F.slice(tops, F.lit(1), i), F.lit(0), lambda s, x: s + x)
+            return F.flatten(F.transform(parts, lambda p, i: let(offset(i), lambda by: F.transform(p, lambda e: word(e, by)))))
+
+        return let(most, put)
+
+    def word(e: Column, by: Column) -> Column:
         instr = F.floor(e["note"] / F.lit(PITCHES)).cast("int")
-        word = F.struct(
-            (e["time"] + acc["offset"]).cast("int").alias("time"),
+        return F.struct(
+            (e["time"] + by).cast("int").alias("time"),
             e["dur"].alias("dur"),
             (e["note"] - instr * PITCHES).cast("int").alias("note"),
             instr.alias("instr"),
             F.lit(DEFAULT_VELOCITY).alias("velocity"),
         )
-        cut = e["note"] == -1
-        return F.struct(
-            F.when(cut, acc["offset"] + acc["most"]).otherwise(acc["offset"]).alias("offset"),
-            F.when(cut, 0).otherwise(F.greatest(acc["most"], e["time"] + e["dur"])).alias("most"),
-            F.when(cut, acc["out"]).otherwise(F.concat(acc["out"], F.array(word))).alias("out"),
-        )
 
-    return F.aggregate(plain, zero, step, lambda acc: acc["out"])
+    return let(plain, words)
 
 
 def gate(compound: Column | str, least_events: int = 10, least_seconds: int = 1, most_seconds: int = 3600, most_instruments: int = 16) -> Column:
@@ -295,7 +301,6 @@ def extract_random(events: Column | str, key: Column, rate: float, seed: int = 0
 
 def extract_spans(df: DataFrame, key: str, events: str, rate: float = 0.05, seed: int = 0) -> DataFrame:
     """(key, events, controls) as flat arrays: after exponential waits, spans of five seconds become controls; draws are keyed."""
-    import numpy as np
     import xxhash
 
     def run(batches):
@@ -382,33 +387,99 @@ def windows_across(tokens: DataFrame, order: Sequence[str], token: str, size: in
     return rows.where(no < full).select(no.alias("window_no"), (F.col("__n") % size).cast("int").alias("position"), token)
 
 
-def windows_of_piece(df: DataFrame, piece: str, order: str, events: str, events_per_window: int = WINDOW_EVENTS) -> DataFrame:
-    """(piece, window_no, tokens): each piece's padded sequences one after the other, ten ticks apart, in windows of a fixed
-    number of events that begin with a flag and count time from their first event; windows that run over the time limit and
-    what doesn't fill a window are dropped. A piece's events are read by one task.
+def windows_of_piece(
+    df: DataFrame, piece: str, order: str, events: str, events_per_window: int = WINDOW_EVENTS, augmented: str | None = None, keep_ids: bool = False
+) -> DataFrame:
+    """(piece, window_no, tokens): each piece's sequences one after the other, in windows of a fixed number of events that begin
+    with a flag and count time from their first event, with the piece's id as last token if keep_ids.
+
+    A sequence follows ten ticks after the last event held. augmented: a column that is true for sequences with controls; they
+    are set off by a separator and keep their own time, and a window's flag tells whether the sequence that it began with is
+    one. Windows that run over the time limit have null tokens; what doesn't fill a window is dropped. A piece's events, which
+    are those of one work, are read by one task.
     """
 
+    def ends(e: np.ndarray) -> tuple[int, int]:
+        """The least time before the first separator, 0 for none, and the largest of all others, at least 0."""
+        apart = e[:, 2] == SEPARATOR
+        t = np.where(e[:, 2] >= CONTROL, e[:, 0] - CONTROL, e[:, 0])
+        first = int(apart.argmax()) if apart.any() else len(e)
+        return int(t[:first].min(initial=1 << 40)) if first else 0, int(t[~apart].max(initial=0))
+
+    def moved(e: np.ndarray, dt: int) -> np.ndarray:
+        apart = e[:, 2] == SEPARATOR
+        out = e.copy()
+        out[: int(apart.argmax()) if apart.any() else len(e), 0] += dt
+        return out
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[list[int]] = []
-        out, no = [], 0
-        for e in pdf.sort_values("o", kind="stable")["e"]:
-            own = [list(map(int, e[i : i + 3])) for i in range(0, len(e), 3)]
-            last = max([t for t, _, n in held if n != SEPARATOR], default=0) + 10 if held else 0
-            held += [[t + last, d, n] for t, d, n in own]
-            while len(held) >= events_per_window:
-                part, held = held[:events_per_window], held[events_per_window:]
-                first = min(t for t, _, _ in part)
-                moved = [[t - first, d, n] for t, d, n in part]
-                if max(t for t, _, _ in moved) < MAX_TIME:
-                    out.append((pdf["k"].iloc[0], no, [AUTOREGRESS] + [x for ev in moved for x in ev]))
+        held = np.empty((0, 3), np.int64)
+        out, no, flag = [], 0, AUTOREGRESS
+        pdf = pdf.sort_values("o", kind="stable")
+        for e, own in zip(pdf["e"], pdf["a"]):
+            own = ANTICIPATE if own else AUTOREGRESS
+            if not len(held):
+                flag = own
+            e = np.asarray(e, np.int64).reshape(-1, 3)
+            if own == ANTICIPATE:
+                e = np.concatenate([np.full((1, 3), SEPARATOR), e])
+            if len(held):
+                e = moved(e, ends(held)[1] + 10)
+            held = np.concatenate([held, e])
+            full = len(held) // events_per_window
+            for i in range(full):
+                part = held[i * events_per_window : (i + 1) * events_per_window]
+                part = moved(part, -ends(part)[0])
+                if ends(part)[1] < MAX_TIME:
+                    last = [int(pdf["k"].iloc[0])] if keep_ids else []
+                    out.append((pdf["k"].iloc[0], no, [flag, *part.ravel().tolist(), *last]))
+                    flag = own
+                else:
+                    out.append((pdf["k"].iloc[0], no, None))
                 no += 1
+            held = held[full * events_per_window :]
         return pd.DataFrame(out, columns=["k", "window_no", "tokens"])
 
-    rows = df.select(F.col(piece).alias("k"), F.col(order).alias("o"), flat(events).alias("e"))
+    mark = F.coalesce(F.col(augmented).cast("boolean"), F.lit(False)) if augmented else F.lit(False)
+    rows = df.select(F.col(piece).alias("k"), F.col(order).alias("o"), mark.alias("a"), flat(events).alias("e"))
     kind = dict(rows.dtypes)["k"]
     return rows.groupBy("k").applyInPandas(run, f"k {kind}, window_no int, tokens array<int>").withColumnRenamed("k", piece)
 
 
+def tokenizer_stats(tracks: DataFrame, code: str, truncated: str, rests: str, windows: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """One row: windows kept, rests added, tracks left out as short, long or with too many instruments, windows out of range, and
+    durations cut; the latter and rests of the tracks that are used (code 0).
+    """
+    used = F.col(code) == 0
+    per = tracks.agg(
+        F.coalesce(F.sum(F.when(used, F.col(rests))), F.lit(0)).cast("bigint").alias("rests"),
+        *(F.count(F.when(F.col(code) == c, 1)).alias(name) for c, name in ((1, "short"), (2, "long"), (3, "too_many_instruments"))),
+        F.coalesce(F.sum(F.when(used, F.col(truncated))), F.lit(0)).cast("bigint").alias("truncations"),
+    )
+    own = windows.agg(F.count(tokens).alias("windows"), F.count(F.when(F.col(tokens).isNull(), 1)).alias("out_of_range"))
+    return per.withColumn("__k", F.lit(1)).join(F.broadcast(own.withColumn("__k", F.lit(1))), "__k").drop("__k")
+
+
+def allowed_token(token: Column, position: Column | int, now: Column | int = 0, instruments: Column | None = None) -> Column:
+    """Whether a model may give a token at a position of the sequence: neither control nor special, of the position's kind, a
+    time not before now, and, once there are 15 instruments, a note of one of them.
+    """
+    slot = F.pmod(position if isinstance(position, Column) else F.lit(position), F.lit(3))
+    kind = ((slot == 0) & (token < DUR)) | ((slot == 1) & (token >= DUR) & (token < NOTE)) | ((slot == 2) & (token >= NOTE) & (token < NOTE + MAX_NOTE))
+    other = (token >= NOTE + MAX_NOTE) & (token < CONTROL)
+    ok = (kind | other) & ~((token >= TIME) & (token < now))
+    if instruments is not None:
+        own = F.floor((token - NOTE) / F.lit(PITCHES)).cast("int")
+        note = (token >= NOTE) & (token < NOTE + MAX_NOTE)
+        ok = ok & ((F.size(instruments) < 15) | ~note | F.array_contains(instruments, own))
+    return ok
+
+
+def masked_logits(logits: Column | str, position: Column | int, now: Column | int = 0, instruments: Column | None = None) -> Column:
+    """Logits with minus infinity where allowed_token() is false."""
+    return F.transform(_c(logits), lambda x, i: F.when(allowed_token(i, position, now, instruments), x).otherwise(float("-inf")))
+
+
 def piano_roll(df: DataFrame, key: str, events: str) -> DataFrame:
     """(key, tick, pitch, instrument): the instrument that sounds at each tick and pitch, of several the later event; drums,
     rests and separators aside, and nothing at or after the last event's time.

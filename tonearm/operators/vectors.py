@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.arrays import dot, doubles, unit
+from tonearm.operators.attribution import gram, rows_of
 from tonearm.storage import cut
 
 
@@ -62,16 +64,17 @@ def best_other(df: DataFrame, key: str, vector: str, block: int = 4096) -> DataF
         part = rows.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).collect()
         if not part:
             continue
-        sent = df.sparkSession.sparkContext.broadcast(([r.k for r in part], np.array([r.v for r in part])))
+        number = {k: i for i, k in enumerate(dict.fromkeys(r.k for r in part))}
+        sent = df.sparkSession.sparkContext.broadcast((number, np.array([number[r.k] for r in part]), np.array([r.v for r in part])))
 
         def scan(batches, sent=sent):
-            ks, y = sent.value
+            number, theirs, y = sent.value
             for b in batches:
                 if not b.num_rows:
                     continue
-                own, x = b.column(0).to_pylist(), np.array(b.column(1).to_pylist())
-                sim = x @ y.T
-                sim[np.array([[a == c for c in ks] for a in own])] = -2.0
+                own = np.array([number.get(k, -1) for k in b.column(0).to_pylist()])
+                sim = rows_of(b.column(1)) @ y.T
+                sim[own[:, None] == theirs[None, :]] = -2.0
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sim.max(1))], ["k", "best"])
 
         hit = rows.mapInArrow(scan, f"k {kind}, best double").where("best > -1.5")
@@ -91,19 +94,9 @@ def alignment(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def moments(df: DataFrame, vector: str, d: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, sample covariance) of vectors, from sums made where the rows are; the covariance is NaN for n < 2."""
-
-    def part(batches):
-        n, s, q = 0, np.zeros(d), np.zeros((d, d))
-        for b in batches:
-            if b.num_rows:
-                x = np.array([v[:d] for v in b.column(0).to_pylist()], float)
-                n, s, q = n + len(x), s + x.sum(0), q + x.T @ x
-        yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tolist()], "q": [q.ravel().tolist()]})
-
-    rows = df.select(doubles(vector).alias("v")).where("v is not null").mapInArrow(part, "n bigint, s array<double>, q array<double>")
-    n, s, q = 0, np.zeros(d), np.zeros((d, d))
-    for r in rows.toLocalIterator():
-        n, s, q = n + r.n, s + np.array(r.s), q + np.array(r.q).reshape(d, d)
+    rows = df.select(doubles(vector).alias("v")).where("v is not null").select(F.concat(F.array(F.lit(1.0)), F.slice("v", 1, d)).alias("v"))
+    sums = gram(rows, "v", d + 1)  # a one before each vector gives the number and the sums too
+    n, s, q = int(sums[0, 0]), sums[0, 1:], sums[1:, 1:]
     mean = s / max(n, 1)
     cov = (q - n * np.outer(mean, mean)) / (n - 1) if n > 1 else np.full((d, d), np.nan)
     return n, mean, cov
@@ -148,7 +141,7 @@ def kernel_mean(a: DataFrame, b: DataFrame, vector: str, kernel: str = "rational
             for b_ in batches:
                 if not b_.num_rows:
                     continue
-                x = np.array(b_.column(0).to_pylist(), float)
+                x = rows_of(b_.column(0))
                 d2 = np.maximum((x**2).mean(1)[:, None] + (y**2).mean(1)[None] - 2 * (x @ y.T) / x.shape[1], 0)
                 k = np.exp(-d2 / x.shape[1]) if kernel == "gaussian" else sum(1 / (1 + d2 / (2 * w)) for w in bandwidths) / len(bandwidths)
                 s, c = s + float(k.sum()), c + k.size
@@ -349,6 +342,37 @@ def moment_penalty(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(rows, cols, total)], "along_rows double, along_positions double, penalty double")
 
 
+def compact_silence(
+    df: DataFrame, key: str, signal: str, rate: int, threshold: float = 0.01, short: float = 0.5, longest: float = 0.25, seed: int = 0
+) -> DataFrame:
+    """df with signal compacted: a run of samples quieter than the threshold that is longer than longest seconds gives a part of
+    it, short seconds long, from a place drawn by key and run (or from its start, if it isn't longer than that).
+    """
+    most, part = int(longest * rate), int(short * rate)
+
+    @F.arrow_udf("array<double>")
+    def compact(signals: pa.Array, keys: pa.Array) -> pa.Array:
+        out = []
+        for s, k in zip(signals, keys.to_pylist()):
+            if not s.is_valid:
+                out.append(None)
+                continue
+            x = np.asarray(s.values.to_numpy(zero_copy_only=False), float)
+            quiet = np.concatenate(([False], np.abs(x) < threshold, [False]))
+            edges = np.flatnonzero(quiet[1:] != quiet[:-1])
+            keep = np.ones(len(x), bool)
+            for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
+                if b - a > most:
+                    u = int(hashlib.md5(f"{seed}|{k}|{a}".encode()).hexdigest()[:10], 16) / float(1 << 40)
+                    first = a + (int(u * (b - a - part + 1)) if b - a > part else 0)
+                    keep[a:b] = False
+                    keep[first : first + part] |= np.arange(first, min(first + part, len(x))) < b
+            out.append(x[keep])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return df.withColumn(signal, compact(doubles(signal), F.col(key).cast("string")))
+
+
 def silence_runs(df: DataFrame, key: str, signal: str, threshold: float = 0.01) -> DataFrame:
     """(key, start, size) of the maximal runs of samples quieter than the threshold, start from 0; gaps and islands."""
     cells = df.select(key, F.posexplode(doubles(signal)).alias("__p", "__x")).where(F.abs("__x") < threshold)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["problems", "scores_q", "catalog_q", "matching_q", "vectors_q", "tokens_q"]
+MODULES = ["problems", "scores_q", "catalog_q", "matching_q", "vectors_q", "tokens_q", "sources_q"]
 
 
 def core_registry():

@@ -9,6 +9,7 @@ from tonearm.functions.ids import digits_number
 from tonearm.operators import catalog as ct
 from tonearm.operators import ranking as rk
 from tonearm.operators.packed import split_packed
+from tonearm.operators.stats import percentiles
 from tonearm.plans.bases import ARTISTS, CATALOG, artists, catalog
 from tonearm.plans.registry import core
 from tonearm.session import table
@@ -98,20 +99,18 @@ def a06_first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a09_global_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution of tracks per artist over the whole catalog."""
     n = F.col("n_tracks")
-    q = lambda p: F.percentile(n, p)
-    return artists(spark, sf_dir).agg(
+    a = artists(spark, sf_dir)
+    base = a.agg(
         F.count(F.lit(1)).alias("n_artists"),
         F.sum(n).alias("n_tracks"),
         F.round(F.avg(n), 6).alias("mean"),
-        q(0.5).alias("median"),
         F.max(n).alias("most"),
-        q(0.25).alias("q25"),
-        q(0.75).alias("q75"),
-        F.round(q(1 / 3), 6).alias("q33"),
-        F.round(q(2 / 3), 6).alias("q66"),
         F.round(F.avg((n >= 60).cast("double")), 6).alias("share_60"),
         F.round(F.avg("coherence"), 6).alias("coherence_mean"),
     )
+    cuts = percentiles(a, "n_tracks", [0.5, 0.25, 0.75, 1 / 3, 2 / 3])
+    named = cuts.select(*(F.round(F.get("p", i), 6).alias(c) for i, c in enumerate(("median", "q25", "q75", "q33", "q66"))))
+    return base.withColumn("k", F.lit(1)).join(F.broadcast(named.withColumn("k", F.lit(1))), "k").drop("k")
 
 
 @core.add("a13_top_counts", f"WITH {ARTISTS} SELECT primary_genre, count(*) AS n FROM artists GROUP BY primary_genre ORDER BY n DESC, primary_genre LIMIT 3")
@@ -133,15 +132,17 @@ def a15_selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extremes, median, counts by band and what lacks a genre."""
     n = F.col("n_tracks")
     count = lambda c: F.count(F.when(c, 1))
-    return artists(spark, sf_dir).agg(
+    a = artists(spark, sf_dir)
+    base = a.agg(
         F.min(n).alias("least"),
-        F.percentile(n, 0.5).alias("median"),
         F.max(n).alias("most"),
         count(n < 60).alias("band_low"),
         count(ct.within(n, 60, 70)).alias("band_mid"),
         count(n > 70).alias("band_high"),
         count(F.col("primary_genre") == "unknown").alias("n_without_genre"),
     )
+    median = percentiles(a, "n_tracks", [0.5]).select(F.get("p", 0).alias("median"), F.lit(1).alias("k"))
+    return base.withColumn("k", F.lit(1)).join(F.broadcast(median), "k").drop("k")
 
 
 @core.add("a17_status_counts", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -180,9 +181,12 @@ _TIERED = f"""
 """
 
 
+def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ct.terciles(artists(spark, sf_dir).where("n_tracks >= 5"), "n_tracks")
+
+
 def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    tiered = ct.terciles(artists(spark, sf_dir).where("n_tracks >= 5"), "n_tracks")
-    return ct.nearest_to_median(tiered, "tier", "n_tracks", [F.desc("coherence"), F.desc("n_tracks"), F.col("artist")], k)
+    return ct.nearest_to_median(_tiered(spark, sf_dir), "tier", "n_tracks", [F.desc("coherence"), F.desc("n_tracks"), F.col("artist")], k)
 
 
 @core.add("w06_terciles", f"WITH {_TIERED} SELECT artist, n_tracks, tier FROM tiered")
@@ -224,6 +228,54 @@ def w09_diverse_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.diverse_picks(_ranked(spark, sf_dir, 5), "tier", "place", "primary_genre").select("tier", "artist", "primary_genre")
 
 
+_MEDIAN_PICKS = f"""
+    {_TIERED}, all_ AS (SELECT tier, artist, n_tracks, coherence, primary_genre FROM ranked),
+    p1 AS (SELECT *, 'low' AS t FROM all_ WHERE tier = 'low' ORDER BY abs(n_tracks - (SELECT quantile_cont(n_tracks, 0.5) FROM all_ WHERE tier = 'low')), coherence DESC, artist LIMIT 1),
+    f2 AS (SELECT * FROM all_ WHERE tier = 'mid' AND primary_genre NOT IN (SELECT primary_genre FROM p1)),
+    c2 AS (SELECT * FROM f2 UNION ALL SELECT * FROM all_ WHERE tier = 'mid' AND NOT EXISTS (SELECT 1 FROM f2)),
+    p2 AS (SELECT *, 'mid' AS t FROM c2 ORDER BY abs(n_tracks - (SELECT quantile_cont(n_tracks, 0.5) FROM c2)), coherence DESC, artist LIMIT 1),
+    f3 AS (SELECT * FROM all_ WHERE tier = 'high' AND primary_genre NOT IN (SELECT primary_genre FROM p1 UNION ALL SELECT primary_genre FROM p2)),
+    c3 AS (SELECT * FROM f3 UNION ALL SELECT * FROM all_ WHERE tier = 'high' AND NOT EXISTS (SELECT 1 FROM f3)),
+    p3 AS (SELECT *, 'high' AS t FROM c3 ORDER BY abs(n_tracks - (SELECT quantile_cont(n_tracks, 0.5) FROM c3)), coherence DESC, artist LIMIT 1)
+"""
+
+
+@core.add("w09_median_picks", f"WITH {_MEDIAN_PICKS} SELECT tier, artist, n_tracks, primary_genre FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)")
+def w09_median_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pick a tier, nearest to the median of those whose genre isn't taken."""
+    pool = _tiered(spark, sf_dir)
+    picks = ct.diverse_median_picks(pool, "tier", "n_tracks", "primary_genre", [F.col("coherence").desc(), F.col("artist").asc()])
+    return picks.select("tier", "artist", "n_tracks", "primary_genre")
+
+
+@core.add(
+    "p11_redrawn",
+    f"""
+    WITH {CATALOG}, g AS (SELECT row_no, duration, row_number() OVER (ORDER BY row_no) - 1 AS k FROM cat WHERE duration >= 2000), n AS (SELECT count(*) AS n FROM g),
+    b AS (SELECT row_no AS drawn_for, CAST(floor(('0x' || md5('5|' || row_no)[1:10])::BIGINT / 1099511627776.0 * n) AS BIGINT) AS k FROM cat, n WHERE NOT coalesce(duration >= 2000, false))
+    SELECT row_no, duration, CAST(NULL AS BIGINT) AS drawn_for FROM g UNION ALL SELECT row_no, duration, drawn_for FROM b JOIN g USING (k)
+    """,
+)
+def p11_redrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of at least 20 seconds; each shorter one is replaced by one of them, drawn by its key."""
+    c = catalog(spark, sf_dir).select("row_no", "duration")
+    return ct.redrawn(c, "row_no", F.col("duration") >= 2000, ["row_no"], 5)
+
+
+@core.add("d06_ordered_map", f"WITH {CATALOG} SELECT row_number() OVER (ORDER BY duration, row_no) - 1 AS idx, row_no * 2 AS twice FROM cat")
+def d06_ordered_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function over batches in parallel, its results in the order given."""
+
+    def twice(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pc.multiply(b.column("row_no"), 2)], ["twice"])
+
+    return ct.ordered_map(catalog(spark, sf_dir).select("row_no", "duration"), [F.col("duration").asc_nulls_last(), F.col("row_no")], twice, "twice bigint").select("idx", "twice")
+
+
 @core.add(
     "o06_walk_order",
     f"""

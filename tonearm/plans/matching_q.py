@@ -163,11 +163,11 @@ _PROMPTS = """
     t AS (SELECT *, CASE WHEN many THEN array_to_string(few, ', ') ELSE txt END AS plain, CASE WHEN many AND len(few) > 1 THEN label || 's' ELSE label END AS name FROM f),
     c AS (SELECT *, CASE WHEN u[2] < 0.2 THEN lower(plain) WHEN u[2] < 0.25 THEN upper(plain) ELSE plain END AS cased FROM t),
     p AS (SELECT c_custkey, i, spot, u[3] < 0.7 AS kept, CASE WHEN labelled < 0.5 THEN name || ': ' || cased ELSE cased END AS shown FROM c),
-    k AS (SELECT *, bool_or(kept) OVER (PARTITION BY c_custkey) AS some FROM p)
+    k AS (SELECT *, bool_or(kept) OVER (PARTITION BY c_custkey) AS any_kept FROM p)
 """
 
 
-@core.add("f10_random_prompt", f"WITH {_PROMPTS} SELECT c_custkey, string_agg(shown, ', ' ORDER BY spot) AS prompt FROM k WHERE kept OR (NOT some AND i = 0) GROUP BY c_custkey")
+@core.add("f10_random_prompt", f"WITH {_PROMPTS} SELECT c_custkey, string_agg(shown, ', ' ORDER BY spot) AS prompt FROM k WHERE kept OR (NOT any_kept AND i = 0) GROUP BY c_custkey")
 def f10_random_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded prompts of some of a track's fields."""
     c = table(spark, sf_dir, "customer")

@@ -98,7 +98,7 @@ def t07_unpad(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {SEQUENCE}, e AS (SELECT piece, row_number() OVER w - 1 AS j, time, dur, note, coalesce(lag(time) OVER w, 0) AS clock FROM ev WHERE NOT control WINDOW w AS (PARTITION BY piece ORDER BY i)),
     n AS (SELECT piece, count(CASE WHEN NOT control THEN 1 END) AS n FROM ev GROUP BY piece),
     c AS (SELECT piece, row_number() OVER (PARTITION BY piece ORDER BY i) AS q, time, dur, note FROM ev WHERE control),
-    s AS (SELECT c.piece, q, c.time, c.dur, c.note, n.n, coalesce(min(e.j), n.n) AS s FROM c JOIN n ON c.piece = n.piece LEFT JOIN e ON e.piece = c.piece AND e.clock >= c.time - 27513 - 500 GROUP BY ALL),
+    s AS (SELECT c.piece, q, c.time, c.dur, c.note, n.n, coalesce(min(e.j), n.n) AS s FROM c JOIN n ON c.piece = n.piece LEFT JOIN e ON e.piece = c.piece AND e.clock >= c.time - 27513 - 500 GROUP BY c.piece, q, c.time, c.dur, c.note, n.n),
     r AS (SELECT *, max(s) OVER (PARTITION BY piece ORDER BY q ROWS UNBOUNDED PRECEDING) AS slot FROM s),
     k AS (SELECT piece, slot AS j, 0 AS kind, q, time, dur, note FROM r WHERE slot < n UNION ALL SELECT piece, j, 1, 0, time, dur, note FROM e),
     t AS (SELECT piece, flatten(list([time, dur, note] ORDER BY j, kind, q)) AS tokens FROM k GROUP BY piece)
@@ -318,13 +318,88 @@ def t17_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.extract_spans(s, "piece", "e", 0.05, 5).select("piece", (F.size("controls") / 3).cast("int").alias("spans"))
 
 
-@core.add("t18_piece_windows")
+_WORKS = f"""
+    {SEQUENCE}, w0 AS (SELECT piece % 10 AS work, piece, i, time, dur, note, coalesce(lag(time) OVER (PARTITION BY piece ORDER BY i), 0) AS before FROM ev WHERE NOT control AND note <> 27512),
+    w1 AS (SELECT work, piece, i, 1 AS kind, time, dur, note FROM w0 UNION ALL SELECT work, piece, i, 0, unnest(range(before + 20, time, 20)), 10000, 27512 FROM w0 WHERE time > before + 20),
+    w2 AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY i, kind, time) - 1 AS pos FROM w1),
+    pc AS (SELECT work, piece, count(*) AS n, max(time) AS last, row_number() OVER (PARTITION BY work ORDER BY piece) AS k, sum(count(*)) OVER (PARTITION BY work ORDER BY piece) AS upto FROM w2 GROUP BY work, piece),
+    sh(work, k, shift) AS (SELECT work, k, CAST(0 AS BIGINT) FROM pc WHERE k = 1 UNION ALL
+        SELECT pc.work, pc.k, CASE WHEN a.upto % 341 = 0 THEN 0 ELSE sh.shift + a.last + 10 END FROM sh JOIN pc a ON a.work = sh.work AND a.k = sh.k JOIN pc ON pc.work = sh.work AND pc.k = sh.k + 1),
+    al AS (SELECT w2.work, CAST((upto - n + pos) // 341 AS INTEGER) AS window_no, upto - n + pos AS at_, w2.time + shift AS time, dur, note FROM w2 JOIN pc USING (piece) JOIN sh ON sh.work = pc.work AND sh.k = pc.k),
+    wi AS (SELECT work, window_no, min(time) AS low, max(time) AS high FROM al GROUP BY work, window_no HAVING count(*) = 341)
+"""
+
+
+@core.add(
+    "t18_piece_windows",
+    f"""
+    WITH RECURSIVE {_WORKS}
+    SELECT wi.work, wi.window_no, CASE WHEN any_value(high - low) < 10000 THEN list_concat([55026], flatten(list([CAST(time - low AS INTEGER), dur, note] ORDER BY at_))) END AS tokens
+    FROM wi JOIN al USING (work, window_no) GROUP BY wi.work, wi.window_no
+    """,
+)
 def t18_piece_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of a piece packed in windows of 341 events."""
     s = sequences(spark, sf_dir).select((F.col("piece") % 10).alias("work"), F.col("piece"), tk.pad(tk.unpad(tk.split("events")[0]), density=20).alias("e"))
     return tk.windows_of_piece(s, "work", "piece", "e")
 
 
+@core.add("t18_augmented_windows")
+def t18_augmented_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each sequence twice: as it is, and with chosen instruments as controls ahead of their time."""
+    s = sequences(spark, sf_dir).select("piece", tk.unpad(tk.split("events")[0]).alias("e"))
+    end = tk.max_time("e")
+    plain = s.select("piece", F.lit(0).alias("k"), tk.pad("e", density=20).alias("tokens"))
+    own, controls = tk.extract_instruments("e", F.sequence(F.lit(0), F.lit(40)))
+    both = s.select("piece", end.alias("end"), own.alias("own"), controls.alias("controls"))
+    woven = tk.anticipate(tk.pad("own", F.col("end"), 20), "controls")[0]
+    rows = plain.union(both.select("piece", F.lit(1), woven))
+    rows = rows.select((F.col("piece") % 10).alias("work"), (F.col("piece") * 2 + F.col("k")).alias("at"), (F.col("k") == 1).alias("augmented"), "tokens")
+    return tk.windows_of_piece(rows, "work", "at", "tokens", augmented="augmented", keep_ids=True)
+
+
+@core.add(
+    "a20_run_stats",
+    f"""
+    WITH {_COMPOUND}, t AS (SELECT piece, count(*) AS n, count(CASE WHEN dur >= 1000 THEN 1 END) AS cut,
+         CASE WHEN count(*) < 10 OR max(time) < 100 THEN 1 WHEN max(time) > 2800 THEN 2 WHEN count(DISTINCT instr % 17) > 16 THEN 3 ELSE 0 END AS code FROM cp GROUP BY piece),
+    w AS (SELECT piece % 10 AS work, sum(2 * n - 1) // 341 AS windows FROM t WHERE code = 0 GROUP BY work)
+    SELECT CAST(coalesce(sum(CASE WHEN code = 0 THEN n - 1 END), 0) AS BIGINT) AS rests, count(CASE WHEN code = 1 THEN 1 END) AS short, count(CASE WHEN code = 2 THEN 1 END) AS long,
+           count(CASE WHEN code = 3 THEN 1 END) AS too_many_instruments, CAST(coalesce(sum(CASE WHEN code = 0 THEN cut END), 0) AS BIGINT) AS truncations,
+           CAST(coalesce((SELECT sum(windows) FROM w), 0) AS BIGINT) AS windows, CAST(0 AS BIGINT) AS out_of_range FROM t
+    """,
+)
+def a20_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a tokenizer's run: what is kept, padded, left out for which reason, and cut."""
+    fewer = F.transform("words", lambda w: w.withField("instr", F.pmod(w["instr"], F.lit(17))))
+    c = _compound(spark, sf_dir).select("piece", fewer.alias("words"))
+    events, cut_ = tk.compound_to_events("words")
+    t = c.select("piece", tk.gate("words", most_seconds=28).alias("code"), cut_.alias("truncated"), events.alias("e"))
+    t = t.select("piece", "code", "truncated", tk.pad("e", density=25).alias("padded"), F.size("e").alias("n"))
+    t = t.withColumn("rests", F.size("padded") - F.col("n"))
+    used = t.where("code = 0").select((F.col("piece") % 10).alias("work"), "piece", "padded")
+    return tk.tokenizer_stats(t, "code", "truncated", "rests", tk.windows_of_piece(used, "work", "piece", "padded"))
+
+
+@core.add(
+    "t22_logit_masks",
+    """
+    WITH t AS (SELECT n_nationkey AS k, unnest(range(55028)) AS t FROM nation),
+    a AS (SELECT k, t FROM t WHERE t < 27513 AND NOT t < 10 * k AND ((k % 3 = 0 AND t < 10000) OR (k % 3 = 1 AND t >= 10000 AND t < 11000) OR (k % 3 = 2 AND t >= 11000 AND t < 27512) OR t = 27512)
+          AND (k < 14 OR t < 11000 OR t >= 27512 OR (t - 11000) // 128 <= k))
+    SELECT k AS n_nationkey, CAST(count(*) AS INTEGER) AS n, CAST(sum(t) AS DOUBLE) AS total FROM a GROUP BY k
+    """,
+)
+def t22_logit_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model may give next: by slot, time and instruments."""
+    k = F.col("n_nationkey")
+    logits = F.transform(F.sequence(F.lit(0), F.lit(tk.ANTICIPATE)), lambda i: i.cast("double"))
+    masked = tk.masked_logits(logits, k, k * 10, F.sequence(F.lit(0), k.cast("int")))
+    kept = F.filter(masked, lambda x: x > float("-inf"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", kept.alias("kept"))
+    return n.select("n_nationkey", F.size("kept").alias("n"), F.aggregate("kept", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
 @core.add(
     "t19_windows_across",
     "WITH t AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, event_id AS token FROM events) SELECT n // 1024 AS window_no, CAST(n % 1024 AS INTEGER) AS position, token FROM t WHERE n // 1024 < (SELECT count(*) // 1024 FROM t)",
@@ -472,6 +547,22 @@ def r10_timesteps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(sm.logsnr_time(11, F.col("event_id")), 9).alias("t"))
 
 
+@core.add(
+    "r10_truncated_times",
+    "SELECT event_id, true AS inside, true AS quantile_fits FROM events",
+)
+def r10_truncated_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded truncated logistic-normal times: within [0, 1), and their distribution function at the time is the draw."""
+    from tonearm.functions.scalar import draw
+
+    left = 0.075
+    low = sm.bound_of(left)
+    u, z = draw(13, F.col("event_id")), F.log((F.col("t") * (1 - left) + left) / (1 - (F.col("t") * (1 - left) + left)))
+    e = table(spark, sf_dir, "events").select("event_id", sm.truncated_time(13, F.col("event_id"), left).alias("t"), (F.lit(low) + (1 - low) * u).alias("p"))
+    fits = F.abs(sm.normal_distribution(z) - F.col("p")) < 1e-6
+    return e.select("event_id", ((F.col("t") >= -1e-9) & (F.col("t") < 1)).alias("inside"), fits.alias("quantile_fits"))
+
+
 @core.add(
     "stream_windowed_sums",
     "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",

@@ -388,6 +388,42 @@ def v23_silence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vx.silence_runs(_signals(spark, sf_dir), "vec_id", "s", 0.1)
 
 
+@core.add(
+    "v23_compact_silence",
+    """
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings), c AS (SELECT vec_id, unnest(range(64)) AS p, unnest(s) AS x FROM v),
+    q AS (SELECT vec_id, p, p - row_number() OVER (PARTITION BY vec_id ORDER BY p) AS g FROM c WHERE abs(x) < 0.15), r AS (SELECT vec_id, min(p) AS a, max(p) + 1 AS b FROM q GROUP BY vec_id, g HAVING count(*) > 3),
+    f AS (SELECT vec_id, a, b, a + CASE WHEN b - a > 6 THEN CAST(floor(('0x' || md5('9|' || vec_id || '|' || a)[1:10])::BIGINT / 1099511627776.0 * (b - a - 6 + 1)) AS BIGINT) ELSE 0 END AS f FROM r)
+    SELECT v.vec_id, list(x ORDER BY p) AS compact FROM v JOIN c ON c.vec_id = v.vec_id LEFT JOIN f ON f.vec_id = c.vec_id AND p >= a AND p < b WHERE f.a IS NULL OR (p >= f AND p < f + 6) GROUP BY v.vec_id
+    """,
+)
+def v23_compact_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as signals of which quiet stretches of more than three values keep six at most."""
+    e = embeddings(spark, sf_dir).select("vec_id", F.col("embedding").alias("compact"))
+    return vx.compact_silence(e, "vec_id", "compact", 12, 0.15, 0.5, 0.25, 9)
+
+
+@core.add(
+    "v29_code_matrix",
+    """
+    SELECT n_nationkey, [[n_nationkey, 2, 5], [1, 3, 6]] AS flat, [[n_nationkey, 2, 5], [1, 3, 6]] AS turned, [[n_nationkey, 1], [2, 3]] AS one_of_many, [[n_nationkey, 2, 5]] AS thin FROM nation
+    """,
+)
+def v29_code_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of several shapes as [book][frame]."""
+    k, i = F.col("n_nationkey"), lambda x: F.lit(x).cast("bigint")
+    m = F.array(F.array(k, i(2), i(5)), F.array(i(1), i(3), i(6)))
+    t = F.array(F.array(k, i(1)), F.array(i(2), i(3)), F.array(i(5), i(6)))
+    square = F.array(F.array(k, i(1)), F.array(i(2), i(3)))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        ar.code_matrix(m).alias("flat"),
+        ar.code_matrix(F.array(t), deep=True).alias("turned"),
+        ar.code_matrix(F.array(square, t), deep=True).alias("one_of_many"),
+        ar.code_matrix(F.array(F.array(F.array(k)), F.array(F.array(i(2))), F.array(F.array(i(5)))), deep=True).alias("thin"),
+    )
+
+
 @core.add(
     "v24_centred_clip",
     f"""

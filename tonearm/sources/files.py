@@ -114,7 +114,7 @@ def scan_roots(spark: SparkSession, roots: Sequence[str], extensions: Sequence[s
 
 def discover(spark: SparkSession, roots: Sequence[str], extensions: Sequence[str] = AUDIO) -> DataFrame:
     """(path, root, relpath), sorted by path."""
-    return scan_roots(spark, roots, extensions).select("path", "root", relpath("path", F.col("root")).alias("relpath")).orderBy("path")
+    return scan_roots(spark, roots, extensions).select("path", "root", relpath("path", F.regexp_replace("root", "^file:/+", "/")).alias("relpath")).orderBy("path")
 
 
 def latents(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:

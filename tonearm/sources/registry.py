@@ -95,13 +95,22 @@ def first_source(*makers: Callable[[], DataFrame | None]) -> DataFrame:
 MetadataFunction = Callable[[dict[str, Column]], dict[str, Column]]
 
 
-def apply_metadata(df: DataFrame, function: MetadataFunction, reject: str = "__reject__") -> DataFrame:
+def apply_metadata(
+    df: DataFrame, function: MetadataFunction, reject: str = "__reject__", payload: str | None = None, prepare: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """df with the columns that a user function makes of its columns; rows for which its reject column is true are left out.
 
-    A column of the function's replaces one of df. Functions of columns stay in the JVM; a pandas_udf is a column as well.
+    A column of the function's replaces one of df. Its __replace__ stands for the payload column where it isn't null, and its
+    __audio__, a dictionary of signals, gives a column each, made ready like the payload by prepare. Functions of columns stay
+    in the JVM; a pandas_udf is a column as well.
     """
     made = function({c: F.col(c) for c in df.columns})
-    veto = made.pop(reject, None)
+    veto, new, extra = made.pop(reject, None), made.pop("__replace__", None), made.pop("__audio__", {})
+    if new is not None:
+        if payload is None:
+            raise ValueError("a replacement needs the payload's column")
+        made[payload] = F.coalesce(new, F.col(payload))
+    made |= {name: prepare(signal) if prepare else signal for name, signal in extra.items()}
     if veto is None:
         return df.withColumns(made)
     return df.withColumns({**made, reject: F.coalesce(veto, F.lit(False))}).where(~F.col(f"`{reject}`")).drop(reject)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import tarfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,53 @@ def write_dedup(pairs: DataFrame, paths: DataFrame, failures: DataFrame, root: s
     write_document(counts, f"{root}/summary")
 
 
+def write_pairwise(left: DataFrame, right: DataFrame, order: tuple[Sequence[str], Sequence[str]], path: str, columns: Sequence[str]) -> None:
+    """CSV of two tables side by side, row by row in the order of each, as far as the shorter goes; index is the position."""
+    from tonearm.operators.catalog import sequence_numbers
+
+    a, b = (sequence_numbers(df, list(by), "index") for df, by in zip((left, right), order))
+    write_csv(a.join(b, "index"), path, ["index", *columns])
+
+
+def _shards(path: str, names: Sequence[str]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tonearm.sources.files import _store
+
+        done, now, tar, stream = [], None, None, None
+        for b in batches:
+            keys, shards = b.column("__key").to_pylist(), b.column("__shard").to_pylist()
+            contents = {n: b.column(n).to_pylist() for n in names}
+            for i, (key, shard) in enumerate(zip(keys, shards)):
+                if shard != now:
+                    if tar is not None:
+                        tar.close()
+                        stream.close()
+                    store, at, _ = _store(f"{path}/{shard:06d}.tar")
+                    stream = store.open_output_stream(at)
+                    tar, now = tarfile.open(fileobj=stream, mode="w|"), shard
+                    done.append(shard)
+                for n in names:
+                    if (content := contents[n][i]) is not None:
+                        info = tarfile.TarInfo(f"{key}.{n}")
+                        info.size = len(content)
+                        tar.addfile(info, io.BytesIO(content))
+        if tar is not None:
+            tar.close()
+            stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["shard"])
+
+    return rows
+
+
+def write_shards(df: DataFrame, path: str, key: str, fields: Sequence[str], shards: int) -> int:
+    """Tar shards under path, an existing folder all executors share: one sample a row, with a member key.field for each binary
+    field that isn't null. All rows of a shard are written by one task, which streams them; the number of shards written.
+    """
+    cols = [F.col(key).cast("string").alias("__key"), F.pmod(F.xxhash64(key), F.lit(shards)).alias("__shard"), *(F.col(f).cast("binary").alias(f) for f in fields)]
+    rows = df.select(*cols).repartition(shards, "__shard").sortWithinPartitions("__shard", "__key")
+    return len({r.shard for r in rows.mapInArrow(_shards(path, list(fields)), "shard bigint").collect()})
+
+
 def subset_manifest(records: DataFrame, order: Sequence[str], pool_index: str | None = None) -> DataFrame:
     """records as a manifest: pool_index given, or by position, then the six fields of a record."""
     from tonearm.operators.catalog import sequence_numbers
