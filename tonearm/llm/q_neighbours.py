@@ -56,3 +56,10 @@ def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     true = exact_nearest(tracks, "no", "audio_embedding", 64, 5, every=50).select("id", "other")
     both = true.join(found, ["id", "other"], "left")
     return both.groupBy(F.col("id").alias("track_no")).agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
+
+
+@llm.add("p4_recall_reached", "SELECT true AS reached")
+def p4_recall_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least nine tenths of the true neighbours were found."""
+    both = p4_recall(spark, sf_dir).agg(F.sum("n_true").alias("t"), F.sum("n_found").alias("f"))
+    return both.select((F.coalesce("f", F.lit(0)) >= 0.9 * F.coalesce("t", F.lit(0))).alias("reached"))

@@ -48,6 +48,36 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_within(members).select(F.col("a").alias("artist_no_a"), F.col("b").alias("artist_no_b"))
 
 
+@llm.add(
+    "p5_components",
+    """
+    WITH RECURSIVE r AS (
+        SELECT TRY_CAST(nullif(regexp_replace(artist_id, '[^0-9]', '', 'g'), '') AS BIGINT) AS a,
+               nullif(TRY_CAST(nullif(regexp_replace(album_id, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS b FROM autotagging),
+    e AS (SELECT DISTINCT x.a AS u, y.a AS v FROM (SELECT DISTINCT a, b FROM r) x JOIN (SELECT DISTINCT a, b FROM r) y ON x.b = y.b AND x.a <> y.a),
+    c AS (SELECT u, v FROM e UNION SELECT c.u, e.v FROM c JOIN e ON c.v = e.u), m AS (SELECT u, min(v) AS v FROM c GROUP BY u)
+    SELECT a AS artist_no, least(a, coalesce(any_value(v), a)) AS component, count(*) AS n_rows FROM r LEFT JOIN m ON u = a WHERE a IS NOT NULL GROUP BY a
+    """,
+)
+def p5_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every artist's component, by its smallest artist, and rows, from the component table after two loads."""
+    done = _two_loads(spark, sf_dir).splits
+    return done.select(F.col("node").alias("artist_no"), "component", F.col("weight").alias("n_rows"))
+
+
+@llm.add("p5_balance", "SELECT unnest(['train', 'validation', 'test']) AS split, true AS balanced, 0 AS n_torn")
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split whether its share of the rows is the target's, but for a component's share, and components in several splits."""
+    done = p5_splits(spark, sf_dir)
+    total = done.agg(F.sum("n_rows")).first()[0] or 1
+    largest = done.groupBy("component").agg(F.sum("n_rows").alias("n")).agg(F.max("n")).first()[0] or 0
+    torn = done.groupBy("component").agg(F.count_distinct("split").alias("n")).where("n > 1").count()
+    want = spark.createDataFrame(list(PROPORTIONS.items()), "split string, target double")
+    share = done.groupBy("split").agg((F.sum("n_rows") / total).alias("share"))
+    met = F.abs(F.coalesce("share", F.lit(0.0)) - F.col("target")) <= 0.001 + largest / total
+    return want.join(share, "split", "left").select("split", met.alias("balanced"), F.lit(torn).alias("n_torn"))
+
+
 @llm.add("p5_splits")
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every artist's component and split, the whole catalog in one load."""
