@@ -41,3 +41,13 @@ def test_the_rest_does_not_import_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "tonearm.llm" not in p.read_text(), p
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

@@ -121,3 +121,18 @@ def test_code_out_of_range(spark):
     df = spark.createDataFrame([(1, 0, 40)], "k int, b int, c int")
     with pytest.raises(Exception, match="code book"):
         vx.code_histogram(df, "k", "b", "c", 32).collect()
+
+
+def test_similar_pairs_of_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 12))
+    x = centres[rng.integers(0, 30, 1200)] + 0.25 * rng.normal(size=(1200, 12))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    for name, value in (("SUBBLOCK", 50), ("SENT_BLOCKS", 7)):
+        monkeypatch.setattr(vx, name, value)
+    got = vx.similar_pairs(df, "id", "v", 0.9).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 500
+    assert all(abs(r.similarity - s[r.a, r.b]) < 1e-12 for r in got)

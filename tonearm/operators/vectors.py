@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,68 +213,123 @@ def code_histogram(df: DataFrame, key: str, book: str | None, code: str, size: i
     return share.join(norms, F.col(key).eqNullSafe(F.col("__k"))).select(key, "book", "code", (F.col("__w") / F.col("__l")).alias("weight"))
 
 
-PIVOTS, PIVOT_SAMPLE, SUBBLOCK = 64, 20_000, 2_048
+#: Pivots and the sample they are taken from, rows of a block, blocks whose ranges are sent at a time.
+PIVOTS, PIVOT_SAMPLE, SUBBLOCK, SENT_BLOCKS = 256, 20_000, 2_048, 20_000
+
+
+def _pivots(x: np.ndarray, most: int) -> np.ndarray:
+    """Rows of x that lie far from each other, by the first row and then always the one farthest from those taken."""
+    taken = [x[0]]
+    near = x @ x[0]
+    for _ in range(most - 1):
+        taken.append(x[int(near.argmin())])
+        near = np.maximum(near, x @ taken[-1])
+    return np.array(taken)
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
+
+
+def _blocks(sent):
+    """Rows sorted by cell and angle in blocks of SUBBLOCK; a block's first row has the ranges of its angles to all pivots."""
+
+    def rows(batches):
+        pid, held, no = TaskContext.get().partitionId(), [], 0
+
+        def emit(ids: np.ndarray, x: np.ndarray, no: int) -> pa.RecordBatch:
+            angles = _angles(x, sent.value)
+            ends = [pa.array([e.astype(np.float32).tobytes(), *[None] * (len(ids) - 1)], pa.binary()) for e in (angles.min(0) - 1e-6, angles.max(0) + 1e-6)]
+            blk = np.full(len(ids), (pid << 32) + no, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(blk), pa.array(ids), pa.array([v.tobytes() for v in x], pa.binary()), *ends], ["blk", "id", "v", "lo", "hi"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), rows_of(b.column(1))))
+            while sum(len(i) for i, _ in held) >= SUBBLOCK:
+                ids, x = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+                yield emit(ids[:SUBBLOCK], x[:SUBBLOCK], no)
+                held, no = [(ids[SUBBLOCK:], x[SUBBLOCK:])], no + 1
+        if held and (ids := np.concatenate([i for i, _ in held])).size:
+            yield emit(ids, np.concatenate([v for _, v in held]), no)
+
+    return rows
+
+
+def _near_blocks(sent, reach: float):
+    """Pairs (a, b), a <= b, of blocks whose ranges of angles to every pivot come within reach."""
+
+    def rows(batches):
+        others, lo, hi = sent.value
+        for b in batches:
+            out = [np.empty((0, 2), np.int64)]
+            for blk, low, high in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                low, high = np.frombuffer(low, np.float32), np.frombuffer(high, np.float32)
+                met = others[((lo - high <= reach) & (low - hi <= reach)).all(1) & (others >= blk)]
+                out.append(np.stack([np.full(len(met), blk), met], axis=1))
+            pairs = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return rows
 
 
 def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, seed: int = 0) -> DataFrame:
     """(a, b, similarity), a < b, of all rows whose vectors have a cosine of at least threshold; exact.
 
-    Vectors are assigned to the nearest of at most PIVOTS pivots from a bounded sample. By the triangle inequality of
-    angles a row need meet a cell only if its angle to the pivot is at most the cell's radius plus the threshold's angle, so
-    clustered data meet few cells. Cells are cut into blocks of bounded size, and blocks are multiplied as matrices. Null
-    and zero vectors have no pairs. For copies, give different vectors only and keep their members aside.
+    Rows are sorted by their nearest pivot, of at most PIVOTS from a bounded sample, and their angle to it, and cut into blocks
+    of equal size. By the triangle inequality of angles two blocks can hold a similar pair only if their ranges of angles to
+    every pivot come within the threshold's angle, so each block meets the blocks near it, once each, and no row is copied for
+    others; blocks are multiplied as matrices. Null and zero vectors have no pairs. For copies, give different vectors only
+    and keep their members aside.
     """
-    unit_rows = cut(df.select(F.col(id_col).cast("bigint").alias("id"), unit(vector).alias("v")).where("id is not null and v is not null and exists(v, x -> x <> 0)"), "units")
-    n = unit_rows.count()
+    kept = "id is not null and v is not null and exists(v, x -> x <> 0)"
+    rows = cut(df.select(F.col(id_col).cast("bigint").alias("id"), unit(vector).alias("v")).where(kept), "units")
+    n = rows.count()
     spark = df.sparkSession
     empty = "a bigint, b bigint, similarity double"
     if n < 2:
         return spark.createDataFrame([], empty)
-    some = unit_rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, PIVOT_SAMPLE / n))).orderBy("id").limit(2 * PIVOT_SAMPLE).collect()
-    x = np.array([r.v for r in some])
-    pivots = [x[0]]
-    far = x @ x[0]
-    for _ in range(min(PIVOTS, max(1, n // 256)) - 1):
-        pivots.append(x[int(far.argmin())])
-        far = np.maximum(far, x @ pivots[-1])
-    p = np.array(pivots)
-    sent = spark.sparkContext.broadcast(p)
+    some = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, PIVOT_SAMPLE / n)))
+    x = np.array([r.v for r in some.orderBy("id").limit(2 * PIVOT_SAMPLE).collect()])
+    sent = spark.sparkContext.broadcast(_pivots(x, min(PIVOTS, len(x), max(1, n // 64))))
 
     def home(batches):
-        pv = sent.value
         for b in batches:
             if b.num_rows:
-                s = np.clip(np.array(b.column(1).to_pylist()) @ pv.T, -1, 1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.argmax(1).astype(np.int32)), pa.array(np.arccos(s).tolist(), pa.list_(pa.float64()))], ["id", "v", "cell", "angle"])
-
-    homed = cut(unit_rows.mapInArrow(home, "id bigint, v array<double>, cell int, angle array<double>"), "homed")
-    cells = homed.groupBy("cell").agg(F.max(F.element_at("angle", F.col("cell") + 1)).alias("r"), F.count(F.lit(1)).alias("n")).collect()
-    reach = math.acos(min(1.0, max(-1.0, threshold))) + 1e-9
-    radius = {r.cell: r.r for r in cells}
-    blocks = {r.cell: -(-r.n // SUBBLOCK) for r in cells}
-    sizes = F.create_map(*[F.lit(t) for c in blocks for t in (c, blocks[c])])
-    radii = F.array(*(F.lit(radius.get(c, -10.0)) for c in range(len(p))))
-    own = homed.withColumn("blk", F.pmod(F.xxhash64("id"), F.element_at(sizes, F.col("cell"))).cast("int"))
-    near = F.filter(F.sequence(F.lit(0), F.lit(len(p) - 1)), lambda c: (c >= F.col("cell")) & (F.element_at("angle", c + 1) <= F.element_at(radii, c + 1) + reach))
-    asks = own.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("cell").alias("ca"), F.explode(near).alias("cell"))
-    asks = asks.withColumn("blk", F.explode(F.sequence(F.lit(0), F.element_at(sizes, F.col("cell")) - 1)))
-    asks = asks.withColumn("part", F.pmod(F.xxhash64("a"), F.element_at(sizes, F.col("ca"))).cast("int"))
-    parts = F.explode(F.flatten(F.transform(F.array(*(F.lit(c) for c in blocks)), lambda c: F.transform(F.sequence(F.lit(0), F.element_at(sizes, c) - 1), lambda q: F.struct(c.alias("ca"), q.alias("part"))))))
-    base = own.select("cell", "blk", F.col("id").alias("b"), F.col("v").alias("vb"), parts.alias("s")).select("cell", "blk", "s.ca", "s.part", "b", "vb").where("ca <= cell")
-    keys = ["cell", "blk", "ca", "part"]
+                angles = _angles(rows_of(b.column(1)), sent.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(angles.argmin(1).astype(np.int32)), pa.array(angles.min(1))], ["id", "v", "cell", "angle"])
+
+    by = ["cell", "angle", "id"]
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SUBBLOCK))
+    homed = rows.mapInArrow(home, "id bigint, v array<double>, cell int, angle double")
+    ranged = homed.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("id", "v")
+    blocked = cut(ranged.mapInArrow(_blocks(sent), "blk bigint, id bigint, v binary, lo binary, hi binary"), "blocks")
+    ranges = blocked.where("lo is not null").select("blk", "lo", "hi")
+    slices = max(1, -(-ranges.count() // SENT_BLOCKS))
+    reach = math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
+    near = None
+    for i in range(slices):
+        held = ranges.where(F.pmod(F.xxhash64("blk"), F.lit(slices)) == i).collect()
+        if not held:
+            continue
+        ends = [np.frombuffer(b"".join(r[c] for r in held), np.float32).reshape(len(held), -1) for c in ("lo", "hi")]
+        others = spark.sparkContext.broadcast((np.array([r.blk for r in held]), *ends))
+        one = ranges.mapInArrow(_near_blocks(others, reach), "a bigint, b bigint")
+        near = one if near is None else near.union(one)
+    near = cut(near, "near")
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "similarity": np.empty(0)})
-        if not len(left) or not len(right):
-            return none
-        s = np.stack(left["va"].to_numpy()) @ np.stack(right["vb"].to_numpy()).T
+        p, q = (np.frombuffer(b"".join(v.tolist()), np.float64).reshape(len(v), -1) for v in (left["va"], right["vb"]))
+        s = p @ q.T
         i, j = np.nonzero(s >= threshold)
-        a, b = left["a"].to_numpy()[i], right["b"].to_numpy()[j]
-        ok = a < b if key[0] == key[2] else a != b
-        a, b, w = a[ok], b[ok], s[i, j][ok]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": w})
-
-    return asks.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(meet, empty)
+        a, b = left["ia"].to_numpy()[i], right["ib"].to_numpy()[j]
+        ok = a < b if key[0] == key[1] else a != b
+        a, b = a[ok], b[ok]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s[i, j][ok]})
+
+    left = blocked.select(F.col("blk").alias("a"), F.col("id").alias("ia"), F.col("v").alias("va")).join(near, "a")
+    right = blocked.select(F.col("blk").alias("b"), F.col("id").alias("ib"), F.col("v").alias("vb")).join(near, "b")
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, empty)
 
 
 def greedy_keep_first(pairs: DataFrame) -> DataFrame:

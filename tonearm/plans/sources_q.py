@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions.ids import basename
@@ -24,13 +24,14 @@ def _folders(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-_OF_PATH = F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("bigint")
+def _of_path() -> Column:
+    return F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("bigint")
 
 
 @core.add("s01_scan_files", "SELECT n_nationkey, true AS filled FROM nation")
 def s01_scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files below a folder by extension, without a dot and in any case; names and sizes only."""
-    return files.scan(spark, _folders(spark, sf_dir), ["PARQUET", ".txt"]).select(_OF_PATH.alias("n_nationkey"), (F.col("size") > 0).alias("filled"))
+    return files.scan(spark, _folders(spark, sf_dir), ["PARQUET", ".txt"]).select(_of_path().alias("n_nationkey"), (F.col("size") > 0).alias("filled"))
 
 
 @core.add("s02_scan_by_keyword", "SELECT 'PART-' AS keyword, count(*) AS n FROM nation UNION ALL SELECT 'nothing', 0")
@@ -45,7 +46,7 @@ def s02_scan_by_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s03_scan_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several roots one after the other; what lies below two is listed twice."""
     root = _folders(spark, sf_dir)
-    return files.scan_roots(spark, [root, root], [".parquet"]).groupBy(_OF_PATH.alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    return files.scan_roots(spark, [root, root], [".parquet"]).groupBy(_of_path().alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @core.add("s04_latents", "SELECT n_nationkey || '.npy' AS name, 'listed' AS kind FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'scanned' FROM nation")
@@ -54,7 +55,7 @@ def s04_latents(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "latents")
     sinks.write_lines(_nations(spark, sf_dir).select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".npy")).alias("f")), "f", f"{root}/filelist.txt")
     listed = files.latents(spark, root, [".npy"]).select(basename("path").alias("name"), F.lit("listed").alias("kind"))
-    return listed.union(files.latents(spark, _folders(spark, sf_dir), [".parquet"]).select(_OF_PATH.cast("string"), F.lit("scanned")))
+    return listed.union(files.latents(spark, _folders(spark, sf_dir), [".parquet"]).select(_of_path().cast("string"), F.lit("scanned")))
 
 
 @core.add("s05_discover", "SELECT 'n_nationkey=' || n_nationkey AS folder FROM nation")
@@ -77,7 +78,7 @@ def s07_roots_of_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s19_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first files of a folder by path, with a flag for those over a size."""
     some = files.largest_first(spark, _folders(spark, sf_dir), [".parquet"], 12, 10)
-    return some.select("idx", _OF_PATH.alias("n_nationkey"), "too_large")
+    return some.select("idx", _of_path().alias("n_nationkey"), "too_large")
 
 
 @core.add("s20_objects", "SELECT n_nationkey FROM nation")
@@ -85,7 +86,7 @@ def s20_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects by the URI of their folder."""
     root = _folders(spark, sf_dir)
     uri = root if "://" in root else "file://" + root.removeprefix("file:")
-    return files.objects(spark, [uri.replace("=", "%3D")], [".parquet"]).select(_OF_PATH.alias("n_nationkey"))
+    return files.objects(spark, [uri.replace("=", "%3D")], [".parquet"]).select(_of_path().alias("n_nationkey"))
 
 
 @core.add("s21_tar_members", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'even' END AS extra FROM nation")
