@@ -28,8 +28,8 @@ def latest_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         digits_number("album_id").alias("album_no"),
         "quality",
     )
-    last = rows.where("track_no is not null").groupBy("track_no")
-    return last.agg(F.max_by(F.struct("artist_no", "album_no", "quality"), "line_no").alias("r")).select("track_no", "r.*")
+    last = [F.max_by(c, "line_no").alias(c) for c in ("artist_no", "album_no", "quality")]
+    return rows.where("track_no is not null").groupBy("track_no").agg(*last)
 
 
 @llm.add(
