@@ -128,3 +128,16 @@ def test_stretches_hold_what_a_cover_asks_for():
         asked = pk._stretches(f, 100)
         for part in Cover({}).split(f):
             assert part in asked, (f, part, asked)
+
+
+def test_the_dictionary_counts_uses_and_rows(spark, sf):
+    from tonearm.plans import core_registry
+
+    rows = spark.read.parquet(f"{sf}/autotagging.parquet").select("line_no", "tags")
+    want = {}
+    for r in split_packed(rows, "tags").collect():
+        uses, lines, last = want.setdefault(r.value, [0, set(), 0])
+        lines.add(r.line_no)
+        want[r.value] = [uses + 1, lines, max(last, r.position)]
+    got = {r.tag: (r.n_uses, r.n_rows, r.last_pos) for r in core_registry().queries["p1_dictionary"](spark, sf).collect()}
+    assert got == {t: (u, len(x), p) for t, (u, x, p) in want.items()}

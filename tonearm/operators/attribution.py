@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.arrays import doubles
@@ -142,23 +142,41 @@ def gram(train: DataFrame, vector: str, d: int) -> np.ndarray:
 
 
 def kernel_scores(
-    train: DataFrame, queries: DataFrame, train_id: str, query_id: str, vector: str, d: int, ridge: float = 1e-3, negate: bool = False, block: int = 4096
+    train: DataFrame,
+    queries: DataFrame,
+    train_id: str,
+    query_id: str,
+    vector: str,
+    d: int,
+    ridge: float = 1e-3,
+    negate: bool = False,
+    block: int = 4096,
+    most: int | None = None,
 ) -> DataFrame:
-    """(query, train, score) with score = q (X'X + ridge I)^-1 x', or its negative, over the first d dimensions.
+    """(query, train, score) with score = q (X'X + ridge I)^-1 x', or its negative, over the first d dimensions; of each query
+    only the most largest if asked, of equals those of the higher train id.
 
     Only the d x d matrix is gathered and sent; the queries are a stated set that meets all train rows in blocks.
     """
     inverse = np.linalg.inv(gram(train, vector, d) + ridge * np.eye(d)) * (-1 if negate else 1)
-    return gather_products(queries, train, query_id, train_id, vector, inverse, block, d)
+    return gather_products(queries, train, query_id, train_id, vector, inverse, block, d, most)
 
 
 def gather_products(
-    queries: DataFrame, base: DataFrame, query_id: str, base_id: str, vector: str, matrix: np.ndarray | None = None, block: int = 4096, d: int | None = None
+    queries: DataFrame,
+    base: DataFrame,
+    query_id: str,
+    base_id: str,
+    vector: str,
+    matrix: np.ndarray | None = None,
+    block: int = 4096,
+    d: int | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """(query, train, score): products q M x' of a stated set of queries with all base vectors; cosines without a matrix.
 
-    The queries are sent in blocks of bounded size, each of which meets all base rows in one scan without a shuffle. Null ids
-    and vectors give no row.
+    The queries are sent in blocks of bounded size, each of which meets all base rows in one scan without a shuffle. most: only
+    so many of the largest scores of each query, of which each task keeps no more than that. Null ids and vectors give no row.
     """
     spark = base.sparkSession
     asks = queries.select(F.col(query_id).cast("bigint").alias("q"), doubles(vector).alias("v")).where("q is not null and v is not null")
@@ -174,19 +192,34 @@ def gather_products(
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12) if plain else q @ matrix
         sent = spark.sparkContext.broadcast((np.array([r.q for r in part]), q))
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+        def products(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for b in batches:
                 for at in range(0, b.num_rows, 512):
                     some = b.slice(at, 512)
                     x = rows_of(some.column(1), d)
                     if plain:
                         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    ts = some.column(0).to_numpy()
-                    yield pa.RecordBatch.from_pydict({"query": np.repeat(ids, len(ts)), "train": np.tile(ts, len(ids)), "score": (q @ x.T).ravel()})
+                    yield some.column(0).to_numpy(), q @ x.T
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            held_t, held_s = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            for ts, s in products(batches, q):
+                if most is None:
+                    yield pa.RecordBatch.from_pydict({"query": np.repeat(ids, len(ts)), "train": np.tile(ts, len(ids)), "score": s.ravel()})
+                    continue
+                t = np.concatenate([held_t, np.broadcast_to(ts, s.shape)], axis=1)
+                s = np.concatenate([held_s, s], axis=1)
+                top = np.lexsort((-t, -s), axis=1)[:, :most]
+                held_t, held_s = np.take_along_axis(t, top, 1), np.take_along_axis(s, top, 1)
+            if most is not None:
+                yield pa.RecordBatch.from_pydict({"query": np.repeat(ids, held_t.shape[1]), "train": held_t.ravel(), "score": held_s.ravel()})
 
         hits = rows.mapInArrow(scan, "query bigint, train bigint, score double")
         out = hits if out is None else out.union(hits)
     if out is None:
         return spark.createDataFrame([], "query bigint, train bigint, score double")
-    return out
+    if most is None:
+        return out
+    place = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("train").desc())
+    return out.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= most).drop("__r")

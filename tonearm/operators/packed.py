@@ -315,6 +315,24 @@ def _composite(value: str, n: dict[str, int], longest: int) -> bool:
     return ok[-1]
 
 
+def with_values(df: DataFrame, column: str, values: Known | None = None, name: str = "values") -> DataFrame:
+    """df with the values of a packed column as an array, null for null and without empty values; the column keeps its place."""
+    known = learn_values(df, column) if values is None else values
+    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
+    if isinstance(known, DataFrame):
+        rows = df.select(*rest, F.col(column).cast("string").alias("__field"))
+        covered = _covered_by_table(rows, known)
+        return covered.select(*rest, F.when(F.col("__field").isNotNull(), F.coalesce("__parts", F.array().cast("array<string>"))).alias(name))
+    key, sent = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def parts(fields: pa.Array) -> pa.Array:
+        return _split_all(fields.to_pylist(), _cover_of(key, sent).split)
+
+    field = F.col(column).cast("string")
+    return df.select(*rest, F.when(field.isNotNull(), parts(field)).alias(name))
+
+
 def split_packed(
     df: DataFrame,
     column: str,
@@ -328,18 +346,8 @@ def split_packed(
     give no row; a repeated value counts again; a field of any length is read whole. Columns of df called like position or
     value are replaced.
     """
-    known = learn_values(df, column) if values is None else values
     rest = [c for c in df.columns if c not in (position, value)]
-    if isinstance(known, DataFrame):
-        packed = _covered_by_table(df.select(*(F.col(f"`{c}`") for c in rest), F.col(column).cast("string").alias("__field")), known)
-    else:
-        key, sent = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(known)
-
-        @F.arrow_udf(T.ArrayType(T.StringType()))
-        def parts(fields: pa.Array) -> pa.Array:
-            return _split_all(fields.to_pylist(), _cover_of(key, sent).split)
-
-        packed = df.select(*(F.col(f"`{c}`") for c in rest), parts(F.col(column).cast("string")).alias("__parts"))
+    packed = with_values(df, column, values, "__parts")
     return packed.select(*(F.col(f"`{c}`") for c in rest), F.posexplode("__parts").alias("__at", value)).select(
         *(F.col(f"`{c}`") for c in rest), (F.col("__at") + 1).cast("int").alias(position), value
     )
@@ -375,4 +383,4 @@ def _covered_by_table(rows: DataFrame, known: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(some, pa.list_(pa.string()))], ["__field", "__parts"])
 
     covered = cut(fields.join(own, "__field", "left").mapInArrow(cover, "__field string, __parts array<string>"), "covered")
-    return join_unique(cut(rows, "rows"), covered, "__field", "inner")
+    return join_unique(cut(rows, "rows"), covered, "__field")

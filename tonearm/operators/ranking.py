@@ -70,16 +70,28 @@ def empirical_cdf(df: DataFrame, value: str, name: str = "cdf") -> DataFrame:
 
 
 def nucleus(df: DataFrame, keys: Sequence[str], p: str, item: str, top_p: float) -> DataFrame:
-    """The rows that top-p choice may draw: in falling order of p while the sum before a row is at most top_p; renormalised."""
-    order = Window.partitionBy(*keys).orderBy(F.col(p).desc(), item).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = df.withColumn("__before", F.sum(p).over(order) - F.col(p)).where(F.col("__before") <= top_p).drop("__before")
-    return kept.withColumn("renormalised", F.col(p) / F.sum(p).over(Window.partitionBy(*keys)))
+    """The rows that top-p choice may draw: in falling order of p while the sum before a row is at most top_p; renormalised.
+
+    Running sums are made by range partitions and offsets, so a query's rows needn't fit into one task.
+    """
+    rows = number_rows(df, keys, [F.col(p).desc(), item], "__no", running=[p])
+    kept = cut(rows.where(F.col(f"__sum_{p}") - F.col(p) <= top_p).select(*df.columns), "nucleus")
+    return _renormalised(kept, keys, p)
+
+
+def _renormalised(kept: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
+    """kept with p as a share of its key's sum, which is summed in the map tasks first."""
+    sums = kept.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum(p).alias("__s"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return kept.join(sums, same).select(*kept.columns, (F.col(p) / F.col("__s")).alias("renormalised"))
 
 
 def top_k_choice(df: DataFrame, keys: Sequence[str], p: str, k: int) -> DataFrame:
     """The rows whose p is at least the k-th largest of their key (all of equals), renormalised."""
     kept = df.withColumn("__r", F.rank().over(Window.partitionBy(*keys).orderBy(F.col(p).desc()))).where(F.col("__r") <= k).drop("__r")
-    return kept.withColumn("renormalised", F.col(p) / F.sum(p).over(Window.partitionBy(*keys)))
+    return _renormalised(cut(kept, "top"), keys, p)
 
 
 def largest_gap(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str]) -> DataFrame:

@@ -69,14 +69,14 @@ def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
     return ~same.to_numpy(zero_copy_only=False)
 
 
-def _in_partition(keys: int, lagged: Sequence[int], names: list[str]):
-    """Adds to sorted rows, whose first columns are the keys, their number within key and partition, and the values of the
-    lagged columns in the row of the key before them.
+def _in_partition(keys: int, lagged: Sequence[int], running: Sequence[int], names: list[str]):
+    """Adds to sorted rows, whose first columns are the keys, their number within key and partition, the values of the lagged
+    columns in the row of the key before them, and the sums of the running columns up to them.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None
-        run = 0
+        run, sums = 0, [0.0] * len(running)
         for b in batches:
             n = b.num_rows
             if not n:
@@ -98,24 +98,34 @@ def _in_partition(keys: int, lagged: Sequence[int], names: list[str]):
             gone = pa.array(new)
             held = dict(before)
             lags = [pc.if_else(gone, pa.scalar(None, b.column(i).type), held[i]) for i in lagged]
+            totals = []
+            for j, i in enumerate(running):
+                x = pc.fill_null(b.column(i).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(x)
+                first = np.maximum(start, 0)
+                total = upto - np.where(start >= 0, upto[first] - x[first], -sums[j])
+                totals.append(pa.array(total))
+                sums[j] = float(total[-1])
             run, last = int(number[-1]), b.slice(n - 1, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number.astype(np.int64)), *lags], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number.astype(np.int64)), *lags, *totals], names)
 
     return rows
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], number: str = "row_no", lagged: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], number: str = "row_no", lagged: Sequence[str] = (), running: Sequence[str] = ()
 ) -> DataFrame:
     """All rows of df with their exact number (bigint from 1) within their key by the order.
 
+    running: columns whose sum (double, nulls as 0) over the key's rows up to and with each is added as __sum_<column>.
+
     lagged: columns whose value in the partition's row of the key before is added as __lag_<column> (null where there is none),
     with the partition, __pid, and the row's number in it, __local. Null keys form a group like any other. Rows that tie in the order
     are numbered by a hash of their columns, and rows that are the same in every column in any order, each once, so that a
     recomputed task can at most swap what can't be told apart. An empty df gives an empty result. The rows are written once to
     the shared folder, since the partitions must not change between counting and numbering; the offsets are a row a partition.
     """
-    _clean(df, number, "__pid", "__before", "__hash", "__tie", "__local", *(f"__lag_{c}" for c in lagged))
+    _clean(df, number, "__pid", "__before", "__hash", "__tie", "__local", *(f"__lag_{c}" for c in lagged), *(f"__sum_{c}" for c in running))
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = dict(df.dtypes)
@@ -128,36 +138,45 @@ def number_rows(
     schema = T.StructType([*ranged.schema.fields, T.StructField("__local", T.LongType())])
     for c in lagged:
         schema = schema.add(T.StructField(f"__lag_{c}", df.schema[c].dataType))
-    rows = cut(ranged.mapInArrow(_in_partition(len(keys), [cols.index(c) for c in lagged], schema.fieldNames()), schema), "rows")
-    offsets = _offsets(rows, keys)
+    sums = [f"__sum_{c}" for c in running]
+    for c in sums:
+        schema = schema.add(T.StructField(c, T.DoubleType()))
+    local = _in_partition(len(keys), [cols.index(c) for c in lagged], [cols.index(c) for c in running], schema.fieldNames())
+    rows = cut(ranged.mapInArrow(local, schema), "rows")
+    offsets = _offsets(rows, keys, sums)
     first = F.lit(True)
     for i, k in enumerate(keys):
         first = first & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     joined = rows.join(F.broadcast(offsets), "__pid", "left")
-    joined = joined.withColumn(number, F.col("__local") + F.when(F.coalesce(first, F.lit(False)), F.coalesce("__before", F.lit(0))).otherwise(0))
+    open_ = F.coalesce(first, F.lit(False))
+    joined = joined.withColumn(number, F.col("__local") + F.when(open_, F.coalesce("__before", F.lit(0))).otherwise(0))
+    joined = joined.withColumns({c: F.col(c) + F.when(open_, F.coalesce(f"__before{c}", F.lit(0.0))).otherwise(0.0) for c in sums})
     extra = ["__pid", "__local", *(f"__lag_{c}" for c in lagged)] if lagged else []
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns), number, *extra)
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), number, *extra, *sums)
 
 
-def _offsets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(__pid, __k0.., __before): of the partitions whose first key began in an earlier one, that key and its rows before."""
+def _offsets(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """(__pid, __k0.., __before, __before<sum>..): of the partitions whose first key began in an earlier one, that key, its rows
+    before and their sums.
+    """
     named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    ends = F.struct(*named, F.col("__local").alias("n"))
+    ends = F.struct(*named, F.col("__local").alias("n"), *sums)
     per = rows.groupBy("__pid").agg(F.min(ends).alias("a"), F.max(ends).alias("z")).orderBy("__pid").collect()
-    out, open_key, held = [], (), 0
+    out, open_key, held = [], (), [0] * (1 + len(sums))
 
     def same(a: tuple, z: tuple) -> bool:
         return len(a) == len(z) and all(x == y or (x != x and y != y) for x, y in zip(a, z))
 
     for r in per:
-        a, z = tuple(r.a)[:-1], tuple(r.z)[:-1]
-        before = held if same(a, open_key) else 0
-        if before:
-            out.append((r["__pid"], *a, before))
-        open_key, held = z, r.z.n + (before if same(a, z) else 0)
+        a, z, last = tuple(r.a)[: len(keys)], tuple(r.z)[: len(keys)], tuple(r.z)[len(keys) :]
+        before = held if same(a, open_key) else [0] * len(held)
+        if before[0]:
+            out.append((r["__pid"], *a, before[0], *map(float, before[1:])))
+        open_key, held = z, [x + (y if same(a, z) else 0) for x, y in zip(last, before)]
     fields = [T.StructField("__pid", T.IntegerType())]
     fields += [T.StructField(f"__k{i}", rows.schema[k].dataType) for i, k in enumerate(keys)]
-    return rows.sparkSession.createDataFrame(out, T.StructType([*fields, T.StructField("__before", T.LongType())]))
+    fields += [T.StructField("__before", T.LongType()), *(T.StructField(f"__before{c}", T.DoubleType()) for c in sums)]
+    return rows.sparkSession.createDataFrame(out, T.StructType(fields))
 
 
 def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk_rows: int = 50_000, lagged: Sequence[str] = ()) -> DataFrame:

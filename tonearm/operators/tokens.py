@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,23 +155,41 @@ def _truthy(v: Column | int | None) -> Column:
 def anticipate(events: Column | str, controls: Column | str, delta: int = DELTA) -> tuple[Column, Column]:
     """(tokens, controls left over): each control stands before the first event by whose predecessor's time (0 for the first)
     it is at most delta ahead, and no earlier than the control before it. Controls due only after the last event are left.
+    Null if either is null.
     """
-    ev, co = _c(events), _c(controls)
-    clocks = F.concat(F.array(F.lit(0)), F.transform(F.slice(ev, F.lit(1), F.greatest(F.size(ev) - 1, F.lit(0))), lambda e: e["time"] - TIME))
-    clocks = F.slice(clocks, F.lit(1), F.size(ev))
-    n = F.size(ev)
-
-    def slots(held: Column) -> Column:
-        first = lambda c: F.array_position(F.transform(held, lambda t: t >= c["time"] - CONTROL - delta), True).cast("int")
-        return F.transform(co, lambda c: let(first(c), lambda f: F.when(f > 0, f - 1).otherwise(n)))
-
-    zero = F.array().cast("array<int>")
-    running = F.aggregate(let(clocks, slots), zero, lambda acc, s: F.concat(acc, F.array(F.greatest(s, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))))
-    placed = F.zip_with(co, running, lambda c, s: F.struct(s.alias("s"), c.alias("c")))
-    own = lambda held, i: F.transform(F.filter(held, lambda p: p["s"] == i), lambda p: p["c"])
-    tokens = let(placed, lambda held: F.flatten(F.transform(ev, lambda e, i: F.concat(own(held, i), F.array(e)))))
-    left = F.transform(F.filter(placed, lambda p: p["s"] >= n), lambda p: p["c"])
-    return tokens, left
+    names = ("time", "dur", "note")
+    kind = pa.struct([(n, pa.int32()) for n in names])
+
+    def fields(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The flat fields of a column of lists, and where each list ends."""
+        inner = lists.flatten()
+        flat_ = np.stack([inner.field(n).to_numpy(zero_copy_only=False) for n in names], axis=1) if len(inner) else np.empty((0, 3), np.int64)
+        return flat_, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        flat_ = np.concatenate([np.empty((0, 3), np.int32), *rows]).astype(np.int32)
+        ends = np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat_[:, i]) for i in range(3)], fields=list(kind)))
+
+    @F.arrow_udf(f"struct<tokens:{TRIPLE},left:{TRIPLE}>")
+    def woven(events_: pa.Array, controls_: pa.Array) -> pa.Array:
+        (e, e_ends), (c, c_ends) = fields(events_), fields(controls_)
+        tokens, left = [], []
+        for i in range(len(events_)):
+            ev = e[e_ends[i - 1] if i else 0 : e_ends[i]]
+            co = c[c_ends[i - 1] if i else 0 : c_ends[i]]
+            clock = np.maximum.accumulate(np.concatenate([[0], ev[:-1, 0] - TIME])) if len(ev) else np.empty(0, np.int64)
+            slot = np.maximum.accumulate(np.searchsorted(clock, co[:, 0] - CONTROL - delta, "left")) if len(co) else np.empty(0, np.int64)
+            due = slot < len(ev)
+            at = np.concatenate([slot[due] * 2, np.arange(len(ev)) * 2 + 1])
+            tokens.append(np.concatenate([co[due], ev])[np.argsort(at, kind="stable")])
+            left.append(co[~due])
+        null = pc.or_(pc.is_null(events_), pc.is_null(controls_))
+        list_of = pa.list_(kind)
+        return pa.StructArray.from_arrays([lists(tokens), lists(left)], fields=[pa.field("tokens", list_of), pa.field("left", list_of)], mask=null)
+
+    made = woven(_c(events), _c(controls))
+    return made["tokens"], made["left"]
 
 
 def sparsity(events: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions.ids import digits_number
-from tonearm.operators.packed import learn_values, split_packed
+from tonearm.operators.packed import split_packed, with_values
 from tonearm.operators.skew import dominant_keys, ordered_stats
 from tonearm.plans.registry import core
 from tonearm.session import table
@@ -26,12 +26,36 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each tag occurs, alone or in company, over the whole catalog."""
     rows = table(spark, sf_dir, "autotagging").select("line_no", "tags")
-    tags = split_packed(rows, "tags", learn_values(rows, "tags"))
-    return tags.groupBy(F.col("value").alias("tag")).agg(
-        F.count(F.lit(1)).alias("n_uses"), F.count_distinct("line_no").alias("n_rows"), F.max("position").alias("last_pos")
+    held = with_values(rows, "tags").select("values")
+    own = lambda v: F.filter("values", lambda x: x == v)
+    last = lambda v: F.size("values") - F.array_position(F.reverse("values"), v) + 1
+    each = F.transform(F.array_distinct("values"), lambda v: F.struct(v.alias("tag"), F.size(own(v)).alias("uses"), last(v).cast("int").alias("last")))
+    return held.select(F.explode(each).alias("t")).groupBy(F.col("t.tag").alias("tag")).agg(
+        F.sum("t.uses").alias("n_uses"), F.count(F.lit(1)).alias("n_rows"), F.max("t.last").alias("last_pos")
     )
 
 
+@core.add(
+    "p1_round_trip",
+    """
+    WITH e AS (SELECT event_id, ['genre---' || event_type, 'mood/theme---deep, slow | ' || (event_id % 5), 'it''s "' || (event_id % 3) || '"', 'genre---' || event_type] AS t FROM events WHERE event_type IS NOT NULL)
+    SELECT event_id, CAST(unnest(range(1, 5)) AS INTEGER) AS tag_pos, unnest(t) AS tag FROM e
+    """,
+)
+def p1_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags packed as JSON, as quoted values, and between tabs, where those that hold delimiters are quoted; split again."""
+    k = F.col("event_id")
+    text = lambda c: c.cast("string")
+    genre = F.concat(F.lit("genre---"), F.col("event_type"))
+    tags = F.array(genre, F.concat(F.lit("mood/theme---deep, slow | "), text(k % 5)), F.concat(F.lit("it's \""), text(k % 3), F.lit('"')), genre)
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    json, quotes = F.to_json(tags), F.array_join(F.transform(tags, quoted), "; ")
+    tabs = F.array_join(F.transform(tags, lambda x: F.when(F.contains(x, F.lit(",")), quoted(x)).otherwise(x)), "\t")
+    packed = F.when(k % 3 == 0, json).when(k % 3 == 1, quotes).otherwise(tabs)
+    e = table(spark, sf_dir, "events").where("event_type is not null").select("event_id", packed.alias("packed"))
+    return split_packed(e, "packed", position="tag_pos", value="tag").select("event_id", "tag_pos", "tag")
+
+
 @core.add(
     "p3_found",
     f"""

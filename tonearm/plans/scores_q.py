@@ -134,6 +134,20 @@ _TESTED = """
 """
 
 
+@core.add(
+    "x08_bootstrap_exact",
+    f"WITH {PAIRS} SELECT seller, 3.0::DOUBLE AS low, 3.0::DOUBLE AS high, -1.0::DOUBLE AS rank_low, -1.0::DOUBLE AS rank_high FROM pairs GROUP BY seller HAVING count(DISTINCT hat) > 3",
+)
+def x08_bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of exact relations shrink to their value: the slope of 3 x + 1, the rank correlation with - x."""
+    p = pairs(spark, sf_dir).withColumns({"up": F.col("hat") * 3 + 1, "down": -F.col("hat")})
+    some = p.groupBy("seller").agg(F.count_distinct("hat").alias("n")).where("n > 3").select("seller")
+    p = p.join(some, "seller", "left_semi")
+    a = st.bootstrap(p, "seller", "query", "hat", "up", st.slope_of, 100).select("seller", _r("low", 9).alias("low"), _r("high", 9).alias("high"))
+    b = st.bootstrap(p, "seller", "query", "hat", "down", st.rank_correlation_of, 100)
+    return a.join(b.select("seller", _r("low", 9).alias("rank_low"), _r("high", 9).alias("rank_high")), "seller")
+
+
 @core.add("x11_rank_pvalues", f"WITH {PAIRS}, {_TESTED.format(pairs='pairs')} SELECT query, round(r, 6) + 0.0 AS spearman, n, round(p, 8) + 0.0 AS pvalue FROM tested")
 def x11_rank_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of each query with its p-value."""
@@ -398,10 +412,9 @@ def j02_base_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def j13_complete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seller with every query, 0 where there is no score; the queries ride along as one array."""
+    """Every seller with every query, 0 where there is no score."""
     p = parts(spark, sf_dir)
-    queries = p.groupBy().agg(F.collect_set("query").alias("qs")).first().qs
-    grid = p.select("seller").distinct().withColumn("query", F.explode(F.array(*(F.lit(q) for q in sorted(queries)))))
+    grid = at.complete_grid(p.select("seller").distinct(), p.select("query").distinct())
     some = p.where("(seller + query) % 4 <> 0").select("seller", "query", "cents")
     return grid.join(some, ["seller", "query"], "left").select("seller", "query", F.coalesce("cents", F.lit(0)).alias("cents"))
 

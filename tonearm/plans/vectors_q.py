@@ -247,9 +247,12 @@ def v14_rank_vs_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean cosine at each influence rank: kernel scores ranked, cosines gathered by rank."""
     e = embeddings(spark, sf_dir)
     train, queries = e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0")
-    ranked = rk.ranked_by_score(at.kernel_scores(train, queries, "vec_id", "vec_id", "embedding", D), "query", "train", "score", 50)
-    cos = at.gather_products(queries, train, "vec_id", "vec_id", "embedding").withColumnRenamed("score", "cosine")
-    b = rk.by_rank(ranked.join(cos, ["query", "train"]), "rank", "cosine")
+    best = at.kernel_scores(train, queries, "vec_id", "vec_id", "embedding", D, most=50)
+    ranked = rk.ranked_by_score(best, "query", "train", "score", 50)
+    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("x"))
+    t = train.select(F.col("vec_id").alias("train"), F.col("embedding").alias("y"))
+    cos = ranked.join(q, "query").join(t, "train").withColumn("cosine", ar.cosine("x", "y"))
+    b = rk.by_rank(cos, "rank", "cosine")
     return b.select(F.col("rank").cast("bigint").alias("rank"), _r("mean").alias("mean"), _r("std").alias("std"), "n")
 
 
