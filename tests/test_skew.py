@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tonearm.operators.skew import chunks, dominant_keys, hot_keys, join_unique, number_rows, ordered_stats
+from tonearm.operators.skew import chunks, dominant_keys, hot_keys, join_unique, number_rows, ordered_stats, salted_join
 
 
 def _rows(seed: int, n: int = 3000):
@@ -86,3 +86,23 @@ def test_joins_of_hot_keys(spark):
     for how in ("left", "inner"):
         want = sorted(map(str, df.join(table, "k", how).select("k", "o", "v").collect()))
         assert sorted(map(str, join_unique(df, table, "k", how, 100).select("k", "o", "v").collect())) == want
+
+
+def test_joins_of_keys_hot_on_both_sides(spark):
+    a = spark.createDataFrame([(1, i) for i in range(90)] + [(2, i) for i in range(60)] + [(i, i) for i in range(3, 40)] + [(None, -1)], "k int, x int")
+    b = spark.createDataFrame([(1, i) for i in range(70)] + [(3, i) for i in range(80)] + [(i, i) for i in range(2, 40)] + [(None, -1)], "k int, y int")
+    want = sorted(map(str, a.join(b, "k").select("k", "x", "y").collect()))
+    assert sorted(map(str, salted_join(a, b, "k", 20).select("k", "x", "y").collect())) == want
+    assert sorted(map(str, salted_join(a, b, "k").select("k", "x", "y").collect())) == want
+
+
+def test_joins_by_several_keys_with_nulls(spark):
+    rows = [(1, None, i) for i in range(80)] + [(None, 2, i) for i in range(70)] + [(i, i % 3, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "a int, b int, x int")
+    table = df.groupBy("a", "b").count()
+    for floor in (20, 10**6):
+        got = sorted(map(str, join_unique(df, table, ["a", "b"], "inner", floor, null_safe=True).collect()))
+        per = Counter((a, b) for a, b, _ in rows)
+        assert got == sorted(f"Row(a={a}, b={b}, x={x}, count={per[a, b]})" for a, b, x in rows)
+        plain = join_unique(df, table, ["a", "b"], "left", floor)
+        assert plain.count() == len(rows) and plain.where("count is null").count() == 150

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.operators.skew import number_rows
+from tonearm.operators.skew import join_unique, number_rows
 from tonearm.operators.stats import percentiles
 from tonearm.storage import cut
 
@@ -81,11 +81,9 @@ def nucleus(df: DataFrame, keys: Sequence[str], p: str, item: str, top_p: float)
 
 def _renormalised(kept: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
     """kept with p as a share of its key's sum, which is summed in the map tasks first."""
-    sums = kept.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum(p).alias("__s"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return kept.join(sums, same).select(*kept.columns, (F.col(p) / F.col("__s")).alias("renormalised"))
+    sums = kept.groupBy(*keys).agg(F.sum(p).alias("__s"))
+    both = join_unique(kept, sums, keys, "inner", null_safe=True)
+    return both.select(*kept.columns, (F.col(p) / F.col("__s")).alias("renormalised"))
 
 
 def top_k_choice(df: DataFrame, keys: Sequence[str], p: str, k: int) -> DataFrame:

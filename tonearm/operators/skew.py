@@ -38,22 +38,62 @@ def hot_keys(df: DataFrame, keys: Sequence[str], total: int, floor: int = HOT_RO
     return counts.where(F.col("__rows") > bound).withColumn("__bound", F.lit(bound).cast("bigint"))
 
 
-def join_unique(df: DataFrame, table: DataFrame, key: str, how: str = "left", floor: int = HOT_ROWS) -> DataFrame:
+def join_unique(
+    df: DataFrame, table: DataFrame, key: str | Sequence[str], how: str = "left", floor: int = HOT_ROWS, null_safe: bool = False
+) -> DataFrame:
     """df joined to a table that has each key once, without a task for all rows of a hot key: the at most HOT_SHARE hot keys'
     rows of the table are broadcast, the other rows meet in a shuffle in which no key has more than the bound.
 
-    df should be a scan (a cut table), as its keys are counted first. Null keys match nothing.
+    df should be a scan (a cut table), as its keys are counted first. Null keys match nothing, or, null_safe, each other. The
+    columns of df come first, then those of the table without its keys.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in table.columns if c not in keys]
+    named = table.select(*(F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)), *rest)
+
+    def same(own: Sequence[str], prefix: str, safe: bool) -> Column:
+        out = F.lit(True)
+        for i, k in enumerate(own):
+            out = out & (F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) if safe else F.col(k) == F.col(f"{prefix}{i}"))
+        return out
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, same(keys, "__j", null_safe), how).select(*df.columns, *rest)
+
     total = df.count()
     if total <= floor:
-        return df.join(table, key, how)
-    hot = cut(hot_keys(df.where(F.col(key).isNotNull()), [key], total, floor).select(key), "hot")
-    mark = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-    marked = df.join(mark, key, "left")
-    few = table.join(F.broadcast(hot), key, "left_semi")
-    one = marked.where("__hot").drop("__hot").join(F.broadcast(few), key, how)
-    rest = marked.where("__hot is null").drop("__hot").join(table, key, how)
-    return one.unionByName(rest)
+        return met(df, named)
+    counted = df if null_safe else df.dropna(subset=keys)
+    hot = cut(hot_keys(counted, keys, total, floor).select(*(F.col(k).alias(f"__h{i}") for i, k in enumerate(keys))), "hot")
+    marked = df.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), same(keys, "__h", True), "left").select(*df.columns, "__hot")
+    few = named.join(F.broadcast(hot), same([f"__j{i}" for i in range(len(keys))], "__h", True), "left_semi")
+    return met(marked.where("__hot"), F.broadcast(few)).unionByName(met(marked.where("__hot is null"), named))
+
+
+def salted_join(a: DataFrame, b: DataFrame, key: str, floor: int = HOT_ROWS) -> DataFrame:
+    """The inner join of two tables by a key that may be hot on both sides. The rows of a key that is hot on a side are spread
+    there over as many salts as its measured number needs, and met by copies of the other side's rows, so that no task has
+    more than a bounded part of a key's rows. Hot keys are at most HOT_SHARE a side.
+
+    Both should be scans (cut tables), as their keys are counted first; the names of their other columns must differ.
+    """
+    sizes = a.count(), b.count()
+    if max(sizes) <= floor:
+        return a.join(b, key)
+    per: dict = {}
+    for side, (rows, total) in enumerate(zip((a, b), sizes)):
+        for r in hot_keys(rows.where(F.col(key).isNotNull()), [key], total, floor).collect():
+            per.setdefault(r[key], [1, 1])[side] = -(-r["__rows"] // r["__bound"])
+    if not per:
+        return a.join(b, key)
+    fields = [a.schema[key], T.StructField("__na", T.IntegerType()), T.StructField("__nb", T.IntegerType())]
+    table = F.broadcast(a.sparkSession.createDataFrame([(k, *n) for k, n in per.items()], T.StructType(fields)))
+    left, right = (t.join(table, key, "left").fillna(1, ["__na", "__nb"]) for t in (a, b))
+    own = lambda df, n: F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if c != key)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.withColumn("__sa", own(a, "__na")).withColumn("__sb", every("__nb")).drop("__na", "__nb")
+    right = right.withColumn("__sb", own(b, "__nb")).withColumn("__sa", every("__na")).drop("__na", "__nb")
+    return left.join(right, [key, "__sa", "__sb"]).drop("__sa", "__sb")
 
 
 def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.operators.skew import number_rows
+from tonearm.operators.skew import join_unique, number_rows
 
 
 def _c(c: Column | str) -> Column:
@@ -62,11 +62,10 @@ def percentiles(df: DataFrame, value: str, cuts: Sequence[float], keys: Sequence
     rows = number_rows(rows if keys else rows.withColumn("__all", F.lit(0)), own, ["__v"], "__no")
     sizes = rows.groupBy(*own).agg(F.max("__no").alias("__n"))
     places = [F.lit(float(c)) * (F.col("__n") - 1) for c in cuts]
-    sizes = sizes.select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(own)), "__n")
-    near = rows.join(F.broadcast(sizes) if not keys else sizes, _same(own), "inner")
-    wanted = F.array(*(F.floor(p) for p in places), *(F.ceil(p) for p in places))
-    near = near.where(F.array_contains(wanted, F.col("__no") - 1))
-    got = near.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct(F.col("__no") - 1, F.col("__v")))).alias("__m"), F.max("__n").alias("__n"))
+    wanted = F.array_distinct(F.array(*(F.floor(p) for p in places), *(F.ceil(p) for p in places)))
+    wanted = sizes.select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(own)), "__n", F.explode(wanted).alias("__at"))
+    near = rows.join(wanted, _same(own) & (F.col("__no") - 1 == F.col("__at")))  # a row at most for each key and number
+    got = near.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("__at", "__v"))).alias("__m"), F.max("__n").alias("__n"))
 
     def between(p: Column) -> Column:
         low, high = F.element_at("__m", F.floor(p)), F.element_at("__m", F.ceil(p))
@@ -96,8 +95,8 @@ def with_average_rank(df: DataFrame, value: str, keys: Sequence[str], name: str,
         return df.withColumn(name, place + (ties - 1) / 2.0)
     rows = number_rows(df, keys, [order], "__no")
     by = [*keys, value]
-    ranks = rows.groupBy(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(by))).agg(((F.min("__no") + F.max("__no")) / 2.0).alias(name))
-    return rows.join(ranks, _same(by)).select(*df.columns, name)
+    ranks = rows.groupBy(*by).agg(((F.min("__no") + F.max("__no")) / 2.0).alias(name))
+    return join_unique(rows, ranks, by, "inner", null_safe=True).select(*df.columns, name)
 
 
 def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "spearman", groups_fit: bool = False) -> DataFrame:

@@ -125,12 +125,14 @@ def x08_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b.withColumnsRenamed(names), "seller")
 
 
-# Student's distribution has a closed form for an even number of degrees of freedom, which the tables have (n is even).
+# Student's distribution has a closed form for an even number of degrees of freedom, which the tables have (n is even); small
+# p-values are summed as the rest of the series for 1 / |r|.
 _TESTED = """
     rk AS (SELECT query, rank() OVER (PARTITION BY query ORDER BY hat) + (count(*) OVER (PARTITION BY query, hat) - 1) / 2.0 AS rx,
                   rank() OVER (PARTITION BY query ORDER BY star) + (count(*) OVER (PARTITION BY query, star) - 1) / 2.0 AS ry FROM {pairs}),
     co AS (SELECT query, corr(rx, ry) AS r, count(*) AS n FROM rk GROUP BY query),
-    tested AS (SELECT query, r, n, greatest(1 - abs(r) * list_sum(list_transform(range((n - 2) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(1 - r * r, j))), 0) AS p FROM co)
+    tested AS (SELECT query, r, n, CASE WHEN r * r < 0.02 THEN 1 - abs(r) * list_sum(list_transform(range((n - 2) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(1 - r * r, j)))
+               ELSE abs(r) * list_sum(list_transform(range((n - 2) // 2, (n - 2) // 2 + 4000), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) + j * ln(1 - r * r)) / sqrt(pi()))) END AS p FROM co)
 """
 
 
@@ -155,11 +157,18 @@ def x11_rank_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("query", _r("spearman").alias("spearman"), "n", _r("pvalue", 8).alias("pvalue"))
 
 
-@core.add("x11_fisher")
+@core.add(
+    "x11_fisher",
+    f"""
+    WITH {PAIRS}, {_TESTED.format(pairs="pairs")}, h AS (SELECT avg(r) AS average, -sum(ln(p)) AS half, count(*) AS n FROM tested)
+    SELECT round(average, 6) + 0.0 AS average, round(log10(list_sum(list_transform(range(n), lambda i: exp(i * ln(half) - half - lgamma(i + 1))))), 3) AS log_fisher, n AS n_valid, n AS n_all FROM h
+    """,
+)
 def x11_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average rank correlation and Fisher's combined p-value."""
     ranked = st.rank_correlation(pairs(spark, sf_dir), ["query"], "hat", "star")
-    return st.combined(st.with_correlation_p(ranked, "spearman", "n"), "spearman", "pvalue")
+    out = st.combined(st.with_correlation_p(ranked, "spearman", "n"), "spearman", "pvalue")
+    return out.select(_r("average").alias("average"), F.round(F.log10("fisher_pvalue"), 3).alias("log_fisher"), "n_valid", "n_all")
 
 
 @core.add(
