@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.operators.skew import join_unique, salted_join
 from tonearm.storage import cut
 
 #: Vectors that the first level and the codebooks are fitted on, rows a cell is made for, cells of an index, and of its
@@ -219,8 +220,8 @@ def direction_classes(df: DataFrame, id_col: str, vector: str, d: int, keep: int
     few = one.withColumn("k", F.row_number().over(lowest)).where(F.col("k") <= keep)
     classes = few.groupBy("key").agg(F.min("id").alias("cls"), F.min_by("vec", "id").alias("vec"), F.sort_array(F.collect_list("id")).alias("first"))
     classes = cut(classes, "classes")
-    members = one.select("id", "key").join(classes.select("key", "cls"), "key").select("id", "cls")
-    return members, classes.select("cls", "vec", "first")
+    members = join_unique(one.select("id", "key"), classes.select("key", "cls"), "key", "inner").select("id", "cls")
+    return cut(members, "members"), classes.select("cls", "vec", "first")
 
 
 def _drawn(classes: DataFrame, n: int, wanted: float, seed: int) -> DataFrame:
@@ -424,8 +425,8 @@ def nearest(
     found = found.select("q", F.when(F.col("x") >= 0, F.col("x")).otherwise(-F.col("x") - 1).alias("x"), "cosine")
     others = found.join(classes.select(F.col("cls").alias("x"), "first"), "x").select(F.col("q").alias("cls"), "cosine", "first")
     own = classes.where(F.size("first") > 1).select("cls", F.lit(1.0).alias("cosine"), "first")
-    lists = others.union(own).select("cls", "cosine", F.explode("first").alias("other"))
-    met = asking.join(lists, "cls").where("other <> id")
+    lists = cut(others.union(own).select("cls", "cosine", F.explode("first").alias("other")), "lists")
+    met = salted_join(asking, lists, "cls").where("other <> id")
     place = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return met.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
 
@@ -464,7 +465,7 @@ def exact_nearest(df: DataFrame, id_col: str, vector: str, d: int = 64, k: int =
     found = out.where("cosine > -2").withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= k)
     others = found.join(classes.select(F.col("cls").alias("x"), "first"), "x").select(F.col("q").alias("cls"), "cosine", "first")
     own = classes.where(F.size("first") > 1).select("cls", F.lit(1.0).alias("cosine"), "first")
-    lists = others.union(own).select("cls", "cosine", F.explode("first").alias("other"))
-    met = asking.join(lists, "cls").where("other <> id")
+    lists = cut(others.union(own).select("cls", "cosine", F.explode("first").alias("other")), "lists")
+    met = salted_join(asking, lists, "cls").where("other <> id")
     place = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return met.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("id", "other", "cosine", "rank")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm.reading import HASHES, words
-from tonearm.operators.skew import HOT_ROWS, HOT_SHARE
+from tonearm.operators.skew import HOT_ROWS, HOT_SHARE, salted_join
 from tonearm.storage import cut
 
 UNIT = 1024
@@ -215,10 +215,14 @@ def _spots(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 def _may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold each key."""
-    keep = np.ones(len(keys), bool)
-    for spot in _spots(keys, len(filter_) * 8):
-        keep &= (filter_[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Whether the filter may hold each key; the second and third bit are looked up only where the first is set."""
+    mask = np.uint64(len(filter_) * 8 - 1)
+    held = lambda spot: (filter_[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    some = np.flatnonzero(held(keys & mask))
+    more = _mix(keys[some] + _M)
+    some = some[held(more & mask) & held((more >> np.uint64(32)) & mask)]
+    keep = np.zeros(len(keys), bool)
+    keep[some] = True
     return keep
 
 
@@ -428,6 +432,7 @@ def near_same(
     a = cut(word_sets(evals, eval_id, eval_text, least), "sets")
     b = cut(word_sets(train, train_id, train_text, least), "sets")
     pairs = similar_classes(a, b, t)
-    left = a.select(F.col("id").alias("eval"), F.col("cls").alias("cls_a")).distinct()
-    right = b.select(F.col("id").alias("train"), F.col("cls").alias("cls_b")).distinct()
-    return pairs.join(left, "cls_a").join(right, "cls_b").select("eval", "train", "similarity")
+    left = cut(a.select(F.col("id").alias("eval"), F.col("cls").alias("cls_a")).distinct(), "members")
+    right = cut(b.select(F.col("id").alias("train"), F.col("cls").alias("cls_b")).distinct(), "members")
+    half = cut(salted_join(cut(pairs, "pairs"), left, "cls_a").select("eval", "cls_b", "similarity"), "half")
+    return salted_join(half, right, "cls_b").select("eval", "train", "similarity")
