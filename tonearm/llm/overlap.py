@@ -163,39 +163,66 @@ def _different(b: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
 _SEGMENT = "key bigint, cls_a bigint, n int, p int, s bigint"
 
 
+def _chain(batch: _Batch, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, begin, end) of the runs that follow one another from each string's begin at a level."""
+    x, at = np.arange(len(batch.n)), batch.start[:-1]
+    out = [np.empty((0, 3), np.int64)]
+    while True:
+        on = at < batch.start[1:][x]
+        x, at = x[on], at[on]
+        e = end[at]
+        on = e <= batch.start[1:][x]
+        x, at, e = x[on], at[on], e[on]
+        if not len(x):
+            break
+        out.append(np.stack([x, at, e], axis=1))
+        at = e
+    return tuple(np.concatenate(out).T)
+
+
 def _segments(sel_sent, t: Fraction):
+    def bands_of(n: int) -> list[tuple[int, int]]:
+        """The bands of the lengths that a string of n words can meet, each with the most edits."""
+        most: dict[int, int] = {}
+        for m in range(math.ceil(t * n), math.floor(n / t) + 1):
+            y = int(band(m))
+            most[y] = max(most.get(y, 0), most_edits(n, m, t))
+        return list(most.items())
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sel, edits = sel_sent.value, {}
         for b in batches:
             cls, raws = _different(b)
+            if not len(cls):
+                continue
             batch = _Batch(raws, sel)
-            ends = [batch.ends(i, g).tolist() for i, g in enumerate(sel.levels)]
-            gain = batch.gain.tolist()
-            out: list[tuple[int, int, int, int, int]] = []
-            for x in range(len(cls)):
-                a, z = int(batch.start[x]), int(batch.start[x + 1])
-                n = z - a
+            sizes, which = np.unique(batch.n, return_inverse=True)
+            for n in sizes.tolist():
                 if n not in edits:
-                    most: dict[int, int] = {}
-                    for m in range(math.ceil(t * n), math.floor(n / t) + 1):
-                        y = int(band(m))
-                        most[y] = max(most.get(y, 0), most_edits(n, m, t))
-                    edits[n] = most
-                chosen: dict[int, list[tuple[int, int, int]]] = {}
-                for y, k in edits[n].items():
-                    if k not in chosen:
-                        for level in range(len(sel.levels)):
-                            parts, at, end = [], a, ends[level]
-                            while at < z and (e := end[at]) <= z:
-                                parts.append((gain[at] - gain[e], at, e))
-                                at = e
-                            if len(parts) > k:
-                                break
-                        chosen[k] = [(level, at, e) for _, at, e in sorted(parts)[: k + 1]]
-                    out += [(level, at, e, x, y) for level, at, e in chosen[k]]
-            if not out:
-                continue
-            level, at, e, x, y = np.array(out, np.int64).T
+                    edits[n] = bands_of(n)
+            per = [edits[n] for n in sizes.tolist()]
+            most = max(map(len, per))
+            table = np.full((2, most, len(sizes)), -1)
+            for i, own in enumerate(per):
+                for j, (y, k) in enumerate(own):
+                    table[:, j, i] = y, k
+            of_band, of_edits = table[:, :, which]
+            # The runs of each level, each string's best ones first; a band takes those of the highest level that has enough.
+            level_of = np.full((most, len(cls)), -1)
+            chains = []
+            for level, gain in enumerate(sel.levels):
+                x, at, e = _chain(batch, batch.ends(level, gain))
+                order = np.lexsort((at, batch.gain[at] - batch.gain[e], x))
+                x, at, e = x[order], at[order], e[order]
+                counts = np.bincount(x, minlength=len(cls))
+                chains.append((x, at, e, np.arange(len(x)) - (np.cumsum(counts) - counts)[x]))
+                level_of[(level_of < 0) & (of_edits >= 0) & (counts[None] > of_edits)] = level
+            got = [np.empty((0, 5), np.int64)]
+            for level, (x, at, e, place) in enumerate(chains):
+                for j in range(most):
+                    m = (level_of[j][x] == level) & (place <= of_edits[j][x])
+                    got.append(np.stack([np.full(int(m.sum()), level), at[m], e[m], x[m], of_band[j][x[m]]], axis=1))
+            level, at, e, x, y = np.concatenate(got).T
             key = batch.keys(level, y, at, e)
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays(
