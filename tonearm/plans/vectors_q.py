@@ -264,6 +264,9 @@ def v15_frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d,)], "distance double")
 
 
+_MMD = f"""
+    {EMB}, a AS (SELECT * FROM emb WHERE vec_id % 2 = 0), b AS (SELECT * FROM emb WHERE vec_id % 2 = 1)
+"""
 _PLANE = """
     v AS (SELECT vec_id % 2 AS side, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)
 """
@@ -285,6 +288,17 @@ def v15_frechet_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d,)], "distance double").select(F.round("distance", 9).alias("distance"))
 
 
+_G = "avg(exp(-greatest((x.norm * x.norm + y.norm * y.norm - 2 * list_dot_product(x.e, y.e)) / 64, 0) / 64))"
+
+
+@core.add("l07_gaussian_discrepancy", f"WITH {_MMD} SELECT round((SELECT {_G} FROM a x, a y) + (SELECT {_G} FROM b x, b y) - 2 * (SELECT {_G} FROM a x, b y), 12) AS mmd")
+def l07_gaussian_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a Gaussian kernel."""
+    e = embeddings(spark, sf_dir)
+    d = vx.discrepancy(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "embedding", "gaussian")
+    return spark.createDataFrame([(d,)], "mmd double").select(F.round("mmd", 12).alias("mmd"))
+
+
 @core.add(
     "v17_principal_plane",
     f"""
@@ -302,9 +316,6 @@ def v17_principal_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", _r(F.get("projection", 0), 7).alias("first"), _r(F.get("projection", 1), 7).alias("second"))
 
 
-_MMD = f"""
-    {EMB}, a AS (SELECT * FROM emb WHERE vec_id % 2 = 0), b AS (SELECT * FROM emb WHERE vec_id % 2 = 1)
-"""
 _K = "avg(1 / (1 + greatest((x.norm * x.norm + y.norm * y.norm - 2 * list_dot_product(x.e, y.e)) / 64, 0) / 2))"
 
 
