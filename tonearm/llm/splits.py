@@ -4,7 +4,8 @@ Records that share an entity, also by way of others, form a component and get on
 table (node, component), beside a table (via, node) of a node of every linking value seen. A new load is mapped onto them,
 only its links, among them those to nodes of earlier loads, are contracted, by hooking every component to its smallest
 neighbour and pointer jumping, and the table is relabelled. Components that had a split keep it, new ones fill the deficits
-of the splits, and a merge of components with different splits is quarantined.
+of the splits, and a merge of components with different splits is quarantined. The tables grow with the data, so they are
+joined by shuffles; only hot keys and heavy components, whose numbers are bounded, are broadcast.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ def link_edges(df: DataFrame, node: str, via: str, floor: int = HOT_ROWS) -> Dat
     else:
         seen = seen.withColumn("__salt", F.lit(0).cast("bigint"))
     centres = seen.groupBy("__via", "__salt").agg(F.min("u").alias("v"), F.max("u").alias("__last"))
-    spokes = seen.join(centres.where("v <> __last"), ["__via", "__salt"]).where("u <> v").select("u", "v")
+    spokes = seen.join(centres.where("v <> __last").hint("merge"), ["__via", "__salt"]).where("u <> v").select("u", "v")
     hubs = centres.groupBy("__via").agg(F.min("v").alias("__hub"), F.max("v").alias("__last")).where("__hub <> __last")
-    rim = centres.select("__via", F.col("v").alias("u")).join(hubs, "__via").where("u <> __hub")
+    rim = centres.select("__via", F.col("v").alias("u")).join(hubs.hint("merge"), "__via").where("u <> __hub")
     return spokes.union(rim.select("u", F.col("__hub").alias("v"))).distinct()
 
 
@@ -91,11 +92,11 @@ def update_components(known: DataFrame | None, nodes: DataFrame, edges: DataFram
     else:
         known = known.select("node", "component")
         old = known.withColumn("old_component", F.col("component"))
-        fresh = nodes.join(known, "node", "left_anti")
+        fresh = nodes.join(known.hint("merge"), "node", "left_anti")
         old = old.unionByName(fresh.select("node", F.col("node").alias("component"), F.lit(None).cast("bigint").alias("old_component")))
         ku = known.select(F.col("node").alias("u"), F.col("component").alias("__cu"))
         kv = known.select(F.col("node").alias("v"), F.col("component").alias("__cv"))
-        contracted = edges.join(ku, "u", "left").join(kv, "v", "left")
+        contracted = edges.join(ku.hint("merge"), "u", "left").join(kv.hint("merge"), "v", "left")
         contracted = contracted.select(F.coalesce("__cu", "u").alias("u"), F.coalesce("__cv", "v").alias("v"))
     merged = components(contracted).select(F.col("node").alias("component"), F.col("component").alias("__new"))
     out = join_unique(cut(old, "old"), merged, "component")
@@ -201,10 +202,10 @@ def _load(known: DataFrame | None, pairs: DataFrame, proportions: dict[str, floa
     merged = update_components(known, pairs.select("node"), link_edges(linked, "node", "via"))
     if known is not None:
         prior = known.select("node", F.col("split").alias("__prior"))
-        merged = merged.join(prior, "node", "left")
+        merged = merged.join(prior.hint("merge"), "node", "left")
     else:
         merged = merged.withColumn("__prior", F.lit(None).cast("string"))
-    members = cut(merged.join(counts, "node", "left").select("node", "component", "weight", "__prior"), "members")
+    members = cut(merged.join(counts.hint("merge"), "node", "left").select("node", "component", "weight", "__prior"), "members")
     per = members.groupBy("component").agg(F.sum("weight").alias("weight"), F.collect_set("__prior").alias("prior"))
     placed = assign_splits(cut(per, "weights"), proportions, seed).select("component", "split", "status")
     return cut(join_unique(members, placed, "component", "inner").select("node", "component", "weight", "split", "status"), "splits")
@@ -241,9 +242,9 @@ def load_linked(
     first = cut(pairs.where("via is not null").groupBy("via").agg(F.min("node").alias("node")), "first")
     if known is None:
         return _keep(Loaded(_load(None, pairs, proportions, seed, None), first), path)
-    met = cut(known.links.join(first.select("via"), "via", "left_semi").select("via", "node"), "met")
+    met = cut(known.links.join(first.select("via").hint("merge"), "via", "left_semi").select("via", "node"), "met")
     done = _load(known.splits, pairs, proportions, seed, met)
-    links = known.links.select("via", "node").unionByName(first.join(met, "via", "left_anti"))
+    links = known.links.select("via", "node").unionByName(first.join(met.hint("merge"), "via", "left_anti"))
     return _keep(Loaded(done, links if path else cut(links, "links")), path)
 
 
@@ -264,5 +265,5 @@ def pairs_within(members: DataFrame, block: int = 512) -> DataFrame:
     m = m.withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__n")).cast("int"))
     one = m.select("component", F.col("node").alias("a"), F.col("__own").alias("__i"), F.explode(F.sequence("__own", F.col("__n") - 1)).alias("__j"))
     two = m.select("component", F.col("node").alias("b"), F.col("__own").alias("__j"), F.explode(F.sequence(F.lit(0), "__own")).alias("__i"))
-    met = one.join(two, ["component", "__i", "__j"]).where("a < b or (__i < __j and a <> b)")
+    met = one.join(two.hint("merge"), ["component", "__i", "__j"]).where("a < b or (__i < __j and a <> b)")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
