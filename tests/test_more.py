@@ -218,3 +218,46 @@ def test_vectors_of_different_lengths():
     assert rows_of(column, 2).tolist() == [[1.0, 2.0], [4.0, 5.0]] and rows_of(column.slice(1)).tolist() == [[4.0, 5.0, 6.0]]
     with pytest.raises(ValueError):
         rows_of(pa.array([[1.0], [1.0, 2.0]]))
+
+
+def test_grids_in_blocks(spark):
+    from tonearm.operators.attribution import complete_grid
+    from tonearm.operators.matching import leave_one_out
+
+    rows, few = spark.createDataFrame([(i, i % 3) for i in range(20)], "x int, s int"), spark.createDataFrame([(i,) for i in range(11)], "m int")
+    for block in (3, 100):
+        got = complete_grid(rows, few, block)
+        assert got.columns == ["x", "s", "m"] and sorted(tuple(r) for r in got.collect()) == sorted((x, x % 3, m) for x in range(20) for m in range(11))
+    assert complete_grid(rows, few.limit(0)).count() == 0
+    left = leave_one_out(rows, "s", spark.createDataFrame([(1,), (2,)], "n int"), "n").groupBy("model_id").count().collect()
+    assert {r.model_id: r["count"] for r in left} == {0: 20, 1: 13, 2: 14}
+
+
+def test_a_cache_without_its_label_is_made_anew(spark, tmp_path):
+    import shutil
+
+    where, calls = str(tmp_path / "c"), []
+
+    def make():
+        calls.append(1)
+        return spark.range(4)
+
+    for _ in range(2):
+        assert registry.cached(spark, where, {"m": "1"}, make).count() == 4
+    assert len(calls) == 1
+    shutil.rmtree(tmp_path / "c" / "_made_of")
+    assert registry.cached(spark, where, {"m": "1"}, make).count() == 4 and len(calls) == 2
+
+
+def test_largest_scores_are_kept_in_the_scan(spark):
+    from tonearm.operators.attribution import gather_products
+
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(5, 6)), rng.normal(size=(700, 6))
+    asks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id int, v array<double>")
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(5)
+    every = gather_products(asks, base, "id", "id", "v").collect()
+    best = gather_products(asks, base, "id", "id", "v", most=7).collect()
+    for i in range(5):
+        want = sorted((r for r in every if r.query == i), key=lambda r: -r.score)[:7]
+        assert {(r.train, round(r.score, 9)) for r in best if r.query == i} == {(r.train, round(r.score, 9)) for r in want}

@@ -62,12 +62,12 @@ def join_unique(
 
     total = df.count()
     if total <= floor:
-        return met(df, named)
+        return met(df, named.hint("merge"))
     counted = df if null_safe else df.dropna(subset=keys)
     hot = cut(hot_keys(counted, keys, total, floor).select(*(F.col(k).alias(f"__h{i}") for i, k in enumerate(keys))), "hot")
     marked = df.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), same(keys, "__h", True), "left").select(*df.columns, "__hot")
     few = named.join(F.broadcast(hot), same([f"__j{i}" for i in range(len(keys))], "__h", True), "left_semi")
-    return met(marked.where("__hot"), F.broadcast(few)).unionByName(met(marked.where("__hot is null"), named))
+    return met(marked.where("__hot"), F.broadcast(few)).unionByName(met(marked.where("__hot is null"), named.hint("merge")))
 
 
 def salted_join(a: DataFrame, b: DataFrame, key: str, floor: int = HOT_ROWS) -> DataFrame:
