@@ -51,6 +51,7 @@ def p8_shortage(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = 2.0 * (sized.agg(F.sum("n_tokens")).first()[0] or 0)
     held = sized.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("held"), F.max("n_tokens").alias("longest"))
     got = shares(mix(sized, targets, total), targets).join(held, "source", "left")
-    want = F.least(F.col("target_share") * total, F.col("max_repeats") * F.coalesce("held", F.lit(0)))
+    there = got.where("held > 0").agg(F.sum("target_share")).first()[0] or 1.0  # shares are those of the sources that are there
+    want = F.least(F.col("target_share") / there * total, F.col("max_repeats") * F.coalesce("held", F.lit(0)))
     kept = (F.col("most_copies") <= F.col("max_repeats")) & (F.abs(F.col("n_tokens") - want) <= F.coalesce("longest", F.lit(0)) + 1)
     return got.select("source", kept.alias("kept"))
