@@ -379,18 +379,18 @@ def r01_hashed_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @core.add(
     "r02_cells",
     f"""
-    WITH {ARTISTS}, a AS (SELECT artist, n_tracks, artist % 100 AS v FROM artists),
-    c1 AS (SELECT artist, n_tracks, 'low' AS band, md5('42|low|' || artist) AS h FROM a WHERE v <= 40 ORDER BY h, artist LIMIT 3),
-    c2 AS (SELECT artist, n_tracks, 'mid' AS band, md5('42|mid|' || artist) AS h FROM a WHERE v BETWEEN 30 AND 70 AND artist NOT IN (SELECT artist FROM c1) ORDER BY h, artist LIMIT 4),
-    c3 AS (SELECT artist, n_tracks, 'high' AS band, md5('42|high|' || artist) AS h FROM a WHERE v >= 50 AND artist NOT IN (SELECT artist FROM c1 UNION ALL SELECT artist FROM c2) ORDER BY h, artist LIMIT 3)
+    WITH {ARTISTS}, a AS (SELECT artist, n_tracks, artist % 10 AS v FROM artists WHERE artist IS NOT NULL),
+    c1 AS (SELECT artist, n_tracks, 'low' AS band, md5('42|low|' || artist) AS h FROM a WHERE v <= 4 ORDER BY h, artist LIMIT 3),
+    c2 AS (SELECT artist, n_tracks, 'mid' AS band, md5('42|mid|' || artist) AS h FROM a WHERE v BETWEEN 3 AND 7 AND artist NOT IN (SELECT artist FROM c1) ORDER BY h, artist LIMIT 4),
+    c3 AS (SELECT artist, n_tracks, 'high' AS band, md5('42|high|' || artist) AS h FROM a WHERE v >= 5 AND artist NOT IN (SELECT artist FROM c1 UNION ALL SELECT artist FROM c2) ORDER BY h, artist LIMIT 2)
     SELECT artist, n_tracks, band, CAST(row_number() OVER (ORDER BY k, h, artist) AS INTEGER) AS draw_no
     FROM (SELECT *, 1 AS k FROM c1 UNION ALL SELECT *, 2 FROM c2 UNION ALL SELECT *, 3 FROM c3)
     """,
 )
 def r02_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artists drawn cell by cell, none twice; a cell with too few would be an error (R2)."""
-    a = artists(spark, sf_dir).select("artist", "n_tracks", (F.col("artist") % 100).alias("v"))
-    cells = [{"band": "low", "high": 40, "count": 3}, {"band": "mid", "low": 30, "high": 70, "count": 4}, {"band": "high", "low": 50, "count": 3}]
+    a = artists(spark, sf_dir).select("artist", "n_tracks", (F.col("artist") % 10).alias("v"))
+    cells = [{"band": "low", "high": 4, "count": 3}, {"band": "mid", "low": 3, "high": 7, "count": 4}, {"band": "high", "low": 5, "count": 2}]
     return ct.draw_cells(a.where("artist is not null"), "artist", "v", cells, 42).drop("v")
 
 
