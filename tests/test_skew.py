@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tonearm.operators.skew import chunks, dominant_keys, hot_keys, join_unique, number_rows, ordered_stats, salted_join
 
@@ -106,3 +107,11 @@ def test_joins_by_several_keys_with_nulls(spark):
         assert got == sorted(f"Row(a={a}, b={b}, x={x}, count={per[a, b]})" for a, b, x in rows)
         plain = join_unique(df, table, ["a", "b"], "left", floor)
         assert plain.count() == len(rows) and plain.where("count is null").count() == 150
+
+
+def test_names_of_columns_do_not_matter(spark):
+    df = spark.createDataFrame([(1, 5, "a", 2), (1, 7, "b", 3), (2, 1, None, 4)], "n int, gap int, changes string, amount int").withColumn("row_no", F.lit(0))
+    got = {r.n: (r.n_rows, r.max_gap, r.n_changes, r.total_amount) for r in ordered_stats(df, "n", "gap", "changes", "amount").collect()}
+    assert got == {1: (2, 2, 1, 5), 2: (1, None, 0, 4)}
+    with pytest.raises(ValueError):
+        ordered_stats(df.withColumnRenamed("n", "n_rows"), "n_rows", "gap")

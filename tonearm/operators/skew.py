@@ -240,29 +240,29 @@ def ordered_stats(
     that steps and changes across states are counted when the states of a key are merged in order. Null order values come
     first and make no gap; null keys form a group; null values are equal to each other.
     """
-    cols = dict.fromkeys(c for c in (key, order, value, amount) if c)
-    lagged = [order, value] if value and value != order else [order]
-    rows = chunks(df.select(*cols), [key], [F.col(order).asc_nulls_first()], chunk_rows, lagged)
+    names = {"__key": key, "__at": order, "__value": value, "__amount": amount}
+    named = df.select(*(F.col(f"`{c}`").alias(n) for n, c in names.items() if c))
+    rows = chunks(named, ["__key"], [F.col("__at").asc_nulls_first()], chunk_rows, ["__at", "__value"] if value else ["__at"])
     inner = (F.col("__local") > 1) & ((F.col("row_no") - 1) % chunk_rows > 0)
-    rows = rows.withColumn("__gap", F.when(inner, F.col(order) - F.col(f"__lag_{order}")))
+    rows = rows.withColumn("__gap", F.when(inner, F.col("__at") - F.col("__lag___at")))
     state = [
         F.count(F.lit(1)).alias("n"),
-        F.min(order).alias("first_at"),
-        F.max(order).alias("last_at"),
+        F.min("__at").alias("first_at"),
+        F.max("__at").alias("last_at"),
         F.max("__gap").alias("gap"),
         F.min("row_no").alias("first_no"),
     ]
     if value:
-        rows = rows.withColumn("__changed", (inner & ~F.col(f"__lag_{value}").eqNullSafe(F.col(value))).cast("bigint"))
+        rows = rows.withColumn("__changed", (inner & ~F.col("__lag___value").eqNullSafe(F.col("__value"))).cast("bigint"))
         state += [
             F.sum("__changed").alias("changes"),
-            F.min_by(F.struct(value), "row_no").alias("first_value"),
-            F.max_by(F.struct(value), "row_no").alias("last_value"),
+            F.min_by(F.struct("__value"), "row_no").alias("first_value"),
+            F.max_by(F.struct("__value"), "row_no").alias("last_value"),
         ]
     if amount:
-        state.append(F.sum(F.col(amount)).alias("amount"))
-    states = rows.groupBy(key, "chunk_no", "__pid").agg(*state)
-    along = Window.partitionBy(key).orderBy("first_no")
+        state.append(F.sum("__amount").alias("amount"))
+    states = rows.groupBy("__key", "chunk_no", "__pid").agg(*state)
+    along = Window.partitionBy("__key").orderBy("first_no")
     states = states.withColumn("bridge", F.col("first_at") - F.lag("last_at").over(along))
     out = [
         F.sum("n").alias("n_rows"),
@@ -277,7 +277,10 @@ def ordered_stats(
         out.append((F.sum("changes") + F.sum("turned")).alias("n_changes"))
     if amount:
         out.append(F.sum("amount").alias("total_amount"))
-    return states.groupBy(key).agg(*out)
+    done = states.groupBy("__key").agg(*out)
+    if key in done.columns:
+        raise ValueError(f"the key {key!r} has the name of a result; rename it first")
+    return done.withColumnRenamed("__key", key)
 
 
 def dominant_keys(df: DataFrame, key: str, order: str, share: float, chunk_rows: int = 50_000) -> DataFrame:
