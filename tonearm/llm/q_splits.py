@@ -78,7 +78,30 @@ def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return want.join(share, "split", "left").select("split", met.alias("balanced"), F.lit(torn).alias("n_torn"))
 
 
-@llm.add("p5_splits")
+@llm.add(
+    "p5_splits",
+    """
+    WITH RECURSIVE r AS (
+        SELECT TRY_CAST(nullif(regexp_replace(artist_id, '[^0-9]', '', 'g'), '') AS BIGINT) AS a,
+               nullif(TRY_CAST(nullif(regexp_replace(album_id, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS b FROM autotagging),
+    e AS (SELECT DISTINCT x.a AS u, y.a AS v FROM (SELECT DISTINCT a, b FROM r) x JOIN (SELECT DISTINCT a, b FROM r) y ON x.b = y.b AND x.a <> y.a),
+    c AS (SELECT u, v FROM e UNION SELECT c.u, e.v FROM c JOIN e ON c.v = e.u), m AS (SELECT u, min(v) AS v FROM c GROUP BY u),
+    own AS (SELECT a, least(a, coalesce(any_value(v), a)) AS component, count(*) AS n_rows FROM r LEFT JOIN m ON u = a WHERE a IS NOT NULL GROUP BY a),
+    comp AS (SELECT component, CAST(sum(n_rows) AS DOUBLE) AS w, ('0x' || md5('0|' || component)[1:15])::BIGINT AS h FROM own GROUP BY component),
+    tot AS (SELECT sum(w) AS total FROM comp),
+    hv AS (SELECT component, w, row_number() OVER (ORDER BY w DESC, component) AS k FROM comp, tot WHERE w >= 0.001 * total),
+    g(k, component, pick, d) AS (
+        SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0, [0.8 * total, 0.1 * total, 0.1 * total] FROM tot UNION ALL
+        SELECT k, component, pick, list_transform(d, lambda x, i: CASE WHEN i = pick THEN x - w ELSE x END)
+        FROM (SELECT hv.k, hv.component, w, d, CASE WHEN d[1] >= d[2] AND d[1] >= d[3] THEN 1 WHEN d[2] >= d[3] THEN 2 ELSE 3 END AS pick FROM g JOIN hv ON hv.k = g.k + 1)),
+    dl AS (SELECT list_transform(d, lambda x: greatest(x, 0)) AS d FROM g ORDER BY k DESC LIMIT 1),
+    li AS (SELECT component, sum(w) OVER (ORDER BY h % 1024, h, component ROWS UNBOUNDED PRECEDING) - w / 2 AS mid, sum(w) OVER () AS whole FROM comp, tot WHERE w < 0.001 * total),
+    cut AS (SELECT CASE WHEN list_sum(d) > 0 THEN d[1] / list_sum(d) ELSE 0.8 END AS a, CASE WHEN list_sum(d) > 0 THEN d[2] / list_sum(d) ELSE 0.1 END AS b FROM dl),
+    pl AS (SELECT component, ['train', 'validation', 'test'][pick] AS split FROM g WHERE k > 0 UNION ALL
+           SELECT component, CASE WHEN mid < a * whole THEN 'train' WHEN mid < a * whole + b * whole THEN 'validation' ELSE 'test' END FROM li, cut)
+    SELECT a AS artist_no, component, n_rows, split, 'new' AS status FROM own JOIN pl USING (component)
+    """,
+)
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every artist's component and split, the whole catalog in one load."""
     done = load(None, _records(spark, sf_dir), "artist_no", "album_no", PROPORTIONS)

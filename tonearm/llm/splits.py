@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonearm.functions.scalar import shuffled
 from tonearm.operators.skew import HOT_ROWS, hot_keys, join_unique
 from tonearm.storage import cut
 
@@ -140,7 +141,8 @@ def assign_splits(weights: DataFrame, proportions: dict[str, float], seed: int =
         heavy[r.component] = s
         deficit[s] -= r.weight
     deficit = {s: max(0.0, d) for s, d in deficit.items()}
-    light = new.where(F.col("weight") < bar).withColumn("__h", F.xxhash64(F.lit(seed), "component"))
+    digits = F.substring(shuffled(seed, "component"), 1, 15)
+    light = new.where(F.col("weight") < bar).withColumn("__h", F.conv(digits, 16, 10).cast("bigint"))
     light = light.withColumn("__b", F.pmod("__h", F.lit(BUCKETS)))
     sums = {r["__b"]: r.w for r in light.groupBy("__b").agg(F.sum("weight").alias("w")).collect()}
     before, at = {}, 0.0
