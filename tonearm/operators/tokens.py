@@ -5,6 +5,7 @@ Columns stay in generated code; the few loops whose state depends on all earlier
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -321,19 +322,20 @@ def extract_random(events: Column | str, key: Column, rate: float, seed: int = 0
 
 def extract_spans(df: DataFrame, key: str, events: str, rate: float = 0.05, seed: int = 0) -> DataFrame:
     """(key, events, controls) as flat arrays: after exponential waits, spans of five seconds become controls; draws are keyed."""
-    import xxhash
+    import hashlib
 
     def run(batches):
         for pdf in batches:
             out = []
             for k, flat_events in zip(pdf["k"], pdf["e"]):
                 e = np.asarray(flat_events, np.int64).reshape(-1, 3)
-                rng = np.random.default_rng(xxhash.xxh64_intdigest(str(k), seed=seed))
-                raised, at = np.zeros(len(e), bool), 0
+                raised, at, no = np.zeros(len(e), bool), 0, 0
                 while at < len(e):  # from one span's end to the next one's, by search in the sorted times
-                    first = np.searchsorted(e[at:, 0], e[at, 0] + int(TICKS * rng.exponential(1.0 / rate))) + at
+                    u = int(hashlib.md5(f"{seed}|{k}|{no}".encode()).hexdigest()[:10], 16) / float(1 << 40)
+                    first = np.searchsorted(e[at:, 0], e[at, 0] + math.floor(-TICKS * math.log(1 - u) / rate)) + at
                     at = np.searchsorted(e[first:, 0], e[first, 0] + DELTA) + first if first < len(e) else len(e)
                     raised[first:at] = True
+                    no += 1
                 out.append((k, e[~raised].ravel().tolist(), (e[raised] + CONTROL).ravel().tolist()))
             yield pd.DataFrame(out, columns=["k", "events", "controls"])
 

@@ -311,7 +311,21 @@ def t17_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("piece", F.size("e").alias("n"), F.size(a[1]).alias("chosen"), F.size(b[1]).alias("random"))
 
 
-@core.add("t17_spans")
+@core.add(
+    "t17_spans",
+    f"""
+    WITH RECURSIVE {SEQUENCE}, e AS (SELECT piece, time, row_number() OVER (PARTITION BY piece ORDER BY i) AS k FROM ev WHERE NOT control AND note <> 27512),
+    q(piece, k, spanned, nxt, fin, no, hits) AS (
+        SELECT DISTINCT piece, CAST(0 AS BIGINT), true, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ev UNION ALL
+        SELECT piece, k, (spanned AND NOT ended) OR begins, nxt, CASE WHEN begins THEN time + 500 ELSE fin END, no, hits + CASE WHEN (spanned AND NOT ended) OR begins THEN 1 ELSE 0 END
+        FROM (SELECT *, NOT (spanned AND NOT ended) AND time >= nxt AS begins
+              FROM (SELECT q.piece, e.k, e.time, q.spanned, q.fin, q.hits, q.spanned AND e.time >= q.fin AS ended, q.no + CASE WHEN q.spanned AND e.time >= q.fin THEN 1 ELSE 0 END AS no,
+                           CASE WHEN q.spanned AND e.time >= q.fin
+                                THEN e.time + CAST(floor(-100 * ln(1 - ('0x' || md5('5|' || q.piece || '|' || q.no)[1:10])::BIGINT / 1099511627776.0) / 0.05) AS BIGINT) ELSE q.nxt END AS nxt
+                    FROM q JOIN e ON e.piece = q.piece AND e.k = q.k + 1)))
+    SELECT piece, CAST(arg_max(hits, k) AS INTEGER) AS spans FROM q GROUP BY piece
+    """,
+)
 def t17_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events turned into controls in spans after exponential waits."""
     s = sequences(spark, sf_dir).select("piece", tk.unpad(tk.split("events")[0]).alias("e"))
